@@ -22,9 +22,15 @@ def op2_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_merge_dropout(spark, sf_dir):
+    from .merge_dropout import digests
+
+    return digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", rate=0.1, seed=1)
+
+
 def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op8_merge_dropout)}
 ORACLES: dict[str, str] = {}
