@@ -22,6 +22,12 @@ def op2_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_fingerprints(spark, sf_dir):
+    from .fingerprints import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op8_merge_dropout(spark, sf_dir):
     from .merge_dropout import digests
 
@@ -32,5 +38,5 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op8_merge_dropout)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op8_merge_dropout)}
 ORACLES: dict[str, str] = {}
