@@ -28,6 +28,12 @@ def op3_fingerprints(spark, sf_dir):
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark, sf_dir):
+    from .license_scan import summary
+
+    return summary(table(spark, sf_dir, "documents"))
+
+
 def op8_merge_dropout(spark, sf_dir):
     from .merge_dropout import digests
 
@@ -38,5 +44,5 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op8_merge_dropout)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op5_license_scan, op8_merge_dropout)}
 ORACLES: dict[str, str] = {}
