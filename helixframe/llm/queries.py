@@ -34,6 +34,12 @@ def op5_license_scan(spark, sf_dir):
     return summary(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark, sf_dir):
+    from .source_mix import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
 def op8_merge_dropout(spark, sf_dir):
     from .merge_dropout import digests
 
@@ -44,5 +50,5 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op5_license_scan, op8_merge_dropout)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op5_license_scan, op7_source_mix, op8_merge_dropout)}
 ORACLES: dict[str, str] = {}
