@@ -251,9 +251,21 @@ class Coder:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
+_CODERS: dict[tuple, Coder] = {}
+
+
 def _coder(docs: DataFrame, model: str, rate: float, seed: int, variants: int):
     loaded = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model))  # fixed by the vocabulary file
-    return functools.lru_cache(maxsize=1)(lambda: Coder(loaded.value, rate, seed, variants))
+
+    def get() -> Coder:
+        # a worker builds its tables once
+        key = (model, rate, seed, variants)
+        if key not in _CODERS:
+            _CODERS.clear()
+            _CODERS[key] = Coder(loaded.value, rate, seed, variants)
+        return _CODERS[key]
+
+    return get
 
 
 def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
