@@ -46,9 +46,15 @@ def op8_merge_dropout(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", rate=0.1, seed=1)
 
 
+def op9_pivot_index(spark, sf_dir):
+    from .pivot_index import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op5_license_scan, op7_source_mix, op8_merge_dropout)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op5_license_scan, op7_source_mix, op8_merge_dropout, op9_pivot_index)}
 ORACLES: dict[str, str] = {}
