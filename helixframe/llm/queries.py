@@ -52,9 +52,15 @@ def op9_pivot_index(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_jaccard_forest(spark, sf_dir):
+    from .jaccard_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op5_license_scan, op7_source_mix, op8_merge_dropout, op9_pivot_index)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op5_license_scan, op7_source_mix, op8_merge_dropout, op9_pivot_index, op10_jaccard_forest)}
 ORACLES: dict[str, str] = {}
