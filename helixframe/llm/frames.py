@@ -49,3 +49,11 @@ def partitions(spark: SparkSession) -> int:
 def map_batches(frame: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with the columns in the schema's types."""
     return frame.mapInArrow(kernel, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
