@@ -57,3 +57,33 @@ def run_groups(rows: DataFrame, kernel: Callable[[pa.Table], pa.RecordBatch | No
         yield from out
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(each, schema)
+
+
+def run_packs(rows: DataFrame, key: str, kernel: Callable[[pa.Table], pa.RecordBatch], schema: str, pack: int) -> DataFrame:
+    """kernel applied to packs of whole key groups, of about ``pack`` rows each; no group may be larger than that."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < pack:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            k = table.column(key).to_numpy()
+            cuts = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, 0)  # starts of groups; the last group stays
+            start = 0
+            while True:
+                later = cuts[(cuts > start) & (cuts <= start + pack)]
+                if table.num_rows - start < pack or not len(later):
+                    break
+                yield kernel(table.slice(start, int(later.max()) - start))
+                start = int(later.max())
+            held, n = table.slice(start).to_batches(), table.num_rows - start
+        if held:
+            yield kernel(pa.Table.from_batches(held))
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(each, schema)
