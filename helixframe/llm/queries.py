@@ -74,5 +74,5 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op4_suffix_dedup, op5_license_scan, op6_debruijn_dedup, op7_source_mix, op8_merge_dropout, op9_pivot_index, op10_jaccard_forest)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op4_suffix_dedup, op5_license_scan, op6_debruijn_dedup, op7_source_mix, op8_merge_dropout, op9_pivot_index, op10_jaccard_forest, pipeline)}
 ORACLES: dict[str, str] = {}

@@ -23,10 +23,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import cut
+from .vec import slices, text_buffer, white_words
 
 WEIGHTS = (5, 2, 1)
 GOLDEN = 0.6180339887498949
@@ -79,11 +81,14 @@ class Mix:
     schedule: DataFrame  # slot, source, block, epoch
 
 
+def _turn(seed: int, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
 def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, slots: int = 1 << 20, least_blocks: int = 1024, cells: int = 4096, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """The schedule and the documents' places in their sources. slots: about so many blocks are taken in all."""
     spark = docs.sparkSession
-    text = F.col(text_col)
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("turn")))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), _turn(seed, id_col, text_col).alias("turn")))
     aims = targets(rows.select("source", "size"), share, repeats)
     # blocks of a source: of equal length
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -136,3 +141,34 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     none = m.documents.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
     id_col = how.get("id_col", "doc_id")
     return some.unionByName(none, allowMissingColumns=True).select(F.col("doc_id").alias(id_col), "size", "source_size", F.col("target"), F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: a row with all columns of docs for each document and time round in which words of it are taken.
+    The text is those words, with what stands between them; a line break joins words of blocks that aren't neighbours."""
+    m = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **how)
+    parts = pieces(m).join(m.schedule.select("number", "block", "epoch"), ["number", "block"])
+    ranges = parts.groupBy("number", "start", "doc_id", "turn", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("_ranges"))
+    ranges = ranges.select(F.col("doc_id").alias("_d"), F.col("turn").alias("_t"), "_ranges")
+    rows = docs.withColumn("_turn", _turn(seed, id_col, text_col)).dropDuplicates([id_col, "_turn"])
+    joined = rows.join(ranges, (F.col("_turn") == F.col("_t")) & F.col(id_col).eqNullSafe(F.col("_d"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_ranges")
+
+    def kernel(batches):
+        for batch in slices(batches, text_col):
+            at = batch.schema.get_field_index(text_col)
+            buf, off = text_buffer(batch.column(at))
+            start, stop, word_off = white_words(buf, off)
+            out = []
+            for i, spans in enumerate(batch.column(batch.num_columns - 1)):
+                a, b = start[word_off[i] : word_off[i + 1]], stop[word_off[i] : word_off[i + 1]]
+                merged: list[list[int]] = []
+                for first, end in zip(spans.values.field("first").to_pylist(), spans.values.field("stop").to_pylist(), strict=True):
+                    if merged and merged[-1][1] == first:
+                        merged[-1][1] = end
+                    else:
+                        merged.append([first, end])
+                out.append("\n".join(buf[a[x] : b[y - 1]].tobytes().decode("utf-8", "surrogatepass") for x, y in merged))
+            columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(kernel, docs.schema)
