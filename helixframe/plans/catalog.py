@@ -19,8 +19,17 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    import importlib
+
+    for module in ("counting",):
+        importlib.import_module(f"helixframe.plans.{module}")
