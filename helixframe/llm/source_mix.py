@@ -148,10 +148,10 @@ def mixed_texts(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col
     The text is those words, with what stands between them; a line break joins words of blocks that aren't neighbours."""
     m = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **how)
     parts = pieces(m).join(m.schedule.select("number", "block", "epoch"), ["number", "block"])
-    ranges = parts.groupBy("number", "start", "doc_id", "turn", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("_ranges"))
-    ranges = ranges.select(F.col("doc_id").alias("_d"), F.col("turn").alias("_t"), "_ranges")
-    rows = docs.withColumn("_turn", _turn(seed, id_col, text_col)).dropDuplicates([id_col, "_turn"])
-    joined = rows.join(ranges, (F.col("_turn") == F.col("_t")) & F.col(id_col).eqNullSafe(F.col("_d"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_ranges")
+    ranges = parts.groupBy("number", "start", "doc_id", "turn", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("__mix_ranges"))
+    ranges = ranges.select(F.col("doc_id").alias("__mix_id"), F.col("turn").alias("__mix_t"), "__mix_ranges")
+    rows = docs.withColumn("__mix_turn", _turn(seed, id_col, text_col)).dropDuplicates([id_col, "__mix_turn"])
+    joined = rows.join(ranges, (F.col("__mix_turn") == F.col("__mix_t")) & F.col(id_col).eqNullSafe(F.col("__mix_id"))).select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_ranges")
 
     def kernel(batches):
         for batch in slices(batches, text_col):

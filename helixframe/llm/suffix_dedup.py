@@ -269,11 +269,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256. With texts_out: all columns of docs, the text cut (bytes
     of a character that was cut through go with it), and n_chars of it."""
     spark = docs.sparkSession
-    spans = stored(repeated_starts(docs, id_col, text_col), "spans").withColumnsRenamed({"doc_id": "_d", "row": "_r"})
+    spans = stored(repeated_starts(docs, id_col, text_col), "spans").withColumnsRenamed({"doc_id": "__sd_id", "row": "__sd_row", "spans": "__sd_spans"})
     release(spark)
     kept_columns = docs.columns if texts_out else [id_col, text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
-    joined = rows.join(spans, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_r")), "left").drop("_d", "_r")
+    joined = rows.join(spans, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__sd_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__sd_row")), "left").drop("__sd_id", "__sd_row")
 
     def remaining(batch: pa.RecordBatch):
         buf, off = text_buffer(batch.column(batch.schema.get_field_index(text_col)))
