@@ -129,7 +129,7 @@ def min_alt_counts(spark, p_err: float, p_value: float, most: int = 1024) -> Dat
     """M4: n, least_k: the least k whose upper binomial tail is below the p-value, for every cover up to ``most``."""
     rows = []
     for n in range(1, most + 1):
-        log_pmf = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p_err) + (n - i) * math.log1p(-p_err) for i in range(min(n, 80) + 1)]
+        log_pmf = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p_err) + (n - i) * math.log1p(-p_err) for i in range(n + 1)]
         tail = np.cumsum(np.exp(log_pmf)[::-1])[::-1]
         hit = np.flatnonzero(tail < p_value)
         rows.append((n, int(hit[0]) if len(hit) else n + 1))

@@ -103,7 +103,7 @@ register("m2_snp_knee", lambda s, d: slam.snp_knee(_sites(s, d), 5).select(_r("t
   c AS (SELECT bin, ln(1 + sum(m) OVER (ORDER BY bin DESC)) AS c, sum(m) OVER () AS sites FROM f), g AS (SELECT bin, sites, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) + bin / 99.0::DOUBLE - 1 AS gain FROM c), o AS (SELECT * FROM g ORDER BY gain DESC, bin LIMIT 1)
   SELECT {_q('least(0.6::DOUBLE, greatest(0.1::DOUBLE, CASE WHEN sites < 1000 OR gain < 0.02::DOUBLE THEN 0.22::DOUBLE ELSE (bin + 0.5::DOUBLE) / 100 END))')} AS threshold, CAST(sites AS BIGINT) AS sites FROM o""")
 register("m3_snp_em", lambda s, d: slam.snp_em(_sites(s, d))[1].select("chr", "pos"))
-register("m4_snp_binomial", lambda s, d: slam.snp_binomial(_sites(s, d), 0.05, 0.01, 3).select("chr", "pos"), f"WITH {_SITES}, t AS (SELECT n, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05::DOUBLE) + (n - i) * ln(0.95::DOUBLE))) AS tail FROM (SELECT DISTINCT n, k FROM st), range(0, 200) r(i) WHERE i >= k AND i <= n GROUP BY ALL) SELECT chr, pos FROM st JOIN t USING (n, k) WHERE n >= 3 AND k >= 2 AND k / n::DOUBLE >= 0.2::DOUBLE AND tail < 0.01::DOUBLE")
+register("m4_snp_binomial", lambda s, d: slam.snp_binomial(_sites(s, d), 0.05, 0.01, 3).select("chr", "pos"), f"WITH {_SITES}, t AS (SELECT n, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05::DOUBLE) + (n - i) * ln(0.95::DOUBLE))) AS tail FROM (SELECT DISTINCT n, k FROM st), range(0, 2000) r(i) WHERE i >= k AND i <= n GROUP BY ALL) SELECT chr, pos FROM st JOIN t USING (n, k) WHERE n >= 3 AND k >= 2 AND k / n::DOUBLE >= 0.2::DOUBLE AND tail < 0.01::DOUBLE")
 _curve = lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("chr"), (F.col("l_partkey") % 60).alias("pos")).agg(F.max("l_quantity").alias("value")).withColumn("value", F.when(F.col("pos") % 5 > 0, F.col("value")))
 _CURVE = "c AS (SELECT chr, pos, CASE WHEN pos % 5 > 0 THEN m END AS value FROM (SELECT l_suppkey AS chr, l_partkey % 60 AS pos, max(l_quantity) AS m FROM lineitem GROUP BY l_suppkey, l_partkey % 60))"
 register("w5_median_smooth", lambda s, d: slam.smooth(_curve(s, d), ["chr"]).select("chr", "pos", "smooth"), f"WITH {_CURVE} SELECT chr, pos, quantile_cont(value, 0.5) OVER (PARTITION BY chr ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM c")
