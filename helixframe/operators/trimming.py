@@ -81,12 +81,12 @@ def trim_pairs(reads: DataFrame, adapter: str, adapter2: str | None = None, cuto
 
 def find_adapter(adapter: str, most: int = 0):
     """0-based place of the adapter in the read with at most ``most`` mismatches, -1 for none; the first best place."""
-    a = np.frombuffer(adapter.encode(), np.uint8)
+    a = np.frombuffer(adapter.encode("utf-32-le"), np.uint32)
 
     @F.pandas_udf("int")
     def places(reads: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def place(r: str) -> int:
-            x = np.frombuffer(r.encode(), np.uint8)
+            x = np.frombuffer(r.encode("utf-32-le"), np.uint32)
             if len(x) < len(a):
                 return -1
             miss = (np.lib.stride_tricks.sliding_window_view(x, len(a)) != a).sum(1)
