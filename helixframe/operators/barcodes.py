@@ -84,3 +84,44 @@ def add_tags(aligned: DataFrame, tags: DataFrame, key: str = "read", need_cb: bo
     """CB and UB of each read; UB only with CB unless need_cb is false."""
     t = tags.select(key, "cb", F.when(F.col("cb").isNotNull() | F.lit(not need_cb), F.col("ub")).alias("ub"))
     return aligned.join(t, key, "left")
+
+
+def _deletions(col: Column, most: int) -> Column:
+    """All strings left by up to ``most`` deletions."""
+    once = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    out = F.array(col)
+    for _ in range(most):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda s: F.length(s) > 1), once))))
+    return out
+
+
+def match_edits(reads: DataFrame, whitelist: DataFrame, seq: str = "seq", most: int = 2) -> DataFrame:
+    """Read, cb, distance of the listed sequences within ``most`` edits, the least distance of a read only. Two strings that
+    near share one that both become by as many deletions, which is what is joined on."""
+    a = reads.select("read", F.col(seq).alias("_s"), F.explode(_deletions(F.col(seq), most)).alias("_k"))
+    b = whitelist.select("cb", F.explode(_deletions(F.col("cb"), most)).alias("_k"))
+    near = a.join(b, "_k").select("read", "_s", "cb").distinct().withColumn("distance", F.levenshtein("_s", "cb")).where(F.col("distance") <= most)
+    best = near.withColumn("_b", F.min("distance").over(Window.partitionBy("read"))).where("distance = _b")
+    return best.select("read", "cb", "distance")
+
+
+def correct_inline(reads: DataFrame, whitelist: DataFrame, seq: str = "seq") -> DataFrame:
+    """Read, cb, status: exact, corrected (one variant), rescued (up to two N, one listed sequence), ambiguous (several
+    variants, cb null) or none."""
+    listed = whitelist.select("cb")
+    ns = F.length(seq) - F.length(F.replace(F.col(seq), F.lit("N"), F.lit("")))
+    r = reads.select("read", F.col(seq).alias("_s"), ns.alias("_n"))
+    exact = r.join(listed, F.col("_s") == F.col("cb")).select("read", "cb", F.lit("exact").alias("status"))
+    rest = r.join(exact.select("read"), "read", "left_anti")
+    one = rest.where("_n = 0").join(neighbourhood(listed).select("variant", "cb"), F.col("_s") == F.col("variant")).select("read", "cb", F.lit("corrected").alias("status"))
+    fill = rest.where("_n between 1 and 2").withColumn("_t", F.explode(F.array(*[F.lit(c) for c in "ACGT"]))).withColumn("_t2", F.explode(F.when(F.col("_n") == 2, F.array(*[F.lit(c) for c in "ACGT"])).otherwise(F.array(F.lit("N")))))
+    at = F.instr("_s", "N")
+    first = F.concat(F.expr("substring(_s, 1, instr(_s, 'N') - 1)"), "_t", F.expr("substring(_s, instr(_s, 'N') + 1)"))
+    both = F.when(F.col("_n") == 2, F.replace(first, F.lit("N"), F.col("_t2"))).otherwise(first)
+    rescued = fill.where(at > 0).withColumn("_f", both).join(listed, F.col("_f") == F.col("cb")).select("read", "cb", F.lit("rescued").alias("status")).distinct()
+    n = F.count("*").over(Window.partitionBy("read"))
+    near = one.unionByName(rescued).withColumn("_c", n)
+    single = near.where("_c = 1").drop("_c")
+    several = near.where("_c > 1 and status = 'corrected'").select("read").distinct().select("read", F.lit(None).cast("string").alias("cb"), F.lit("ambiguous").alias("status"))
+    known = exact.unionByName(single).unionByName(several)
+    return reads.select("read").join(known, "read", "left").withColumn("status", F.coalesce("status", F.lit("none")))

@@ -194,3 +194,44 @@ def remove_crowded(cells: DataFrame, threshold: int) -> DataFrame:
 def passers(simple: DataFrame, tested: DataFrame) -> DataFrame:
     """U5."""
     return simple.select("cb").unionByName(tested.select("cb")).distinct()
+
+
+def flex_empty_drops(matrix: DataFrame, totals: DataFrame, retain: int, ambient_most: int = 100, least: int = 500, p: float = 0.01, rounds: int = 10000, seed: int = 1) -> DataFrame:
+    """Cb, p of the cells that pass. Ambient are the cells of at most ambient_most molecules within the first ``retain``; all
+    genes get a Good-Turing share of them; candidates have at least ``least`` molecules; the gate is on p itself."""
+    window = ranked(totals).where(F.col("rank") <= retain)
+    low = matrix.join(window.where(F.col("n") <= ambient_most).select("cb"), "cb", "left_semi").groupBy("gene").agg(F.sum("n").alias("count"))
+    genes = matrix.select("gene").distinct().join(low, "gene", "left").na.fill(0, ["count"]).orderBy("gene").toPandas()  # a row for each gene
+    genes["share"] = good_turing(genes["count"])
+    profile = matrix.sparkSession.createDataFrame(genes[["gene", "share"]])
+    tested = empty_drops(matrix, profile, window.where(F.col("n") >= least), rounds, seed)
+    return tested.where(F.col("p") <= p).select("cb", "p")
+
+
+def filter_samples(matrix: DataFrame, expected: int, retain: int = 80000, crowded: int | None = None, least: tuple[int, int, int] = (100, 100, 50), **how) -> DataFrame:
+    """Gem, tag, molecules of the cells called in each sample tag. matrix: gem, tag, gene, n. A tag's cells are those
+    of the order-of-magnitude call and, unless too few cells could be tested or were rescued, those that pass the test; cells of
+    crowded GEM barcodes go. The loop runs over the tags, of which an assay has a few."""
+    m = matrix.withColumn("cb", F.concat_ws("-", "gem", "tag"))
+    total = m.groupBy("gem", "tag", "cb").agg(F.sum("n").alias("n"))
+    out = None
+    for tag in [r.tag for r in total.select("tag").distinct().orderBy("tag").collect()]:
+        own, mine = total.where(F.col("tag") == tag), m.where(F.col("tag") == tag)
+        cut = order_of_magnitude(own.select("cb", "n"), most=max(2, expected)).first()
+        simple = own.where(F.col("n") >= cut.cutoff)
+        low, high = own.where("n <= 100").count(), own.where("n >= 500").count()
+        called = simple.select("cb")
+        if low >= least[0] and high >= least[1]:
+            rescued = flex_empty_drops(mine.select("cb", "gene", "n"), own.select("cb", "n"), retain, **how).select("cb").join(called, "cb", "left_anti")
+            if not simple_fallback(low, high, rescued.count(), least):
+                called = passers(called, rescued)
+        part = own.join(called, "cb", "left_semi")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return total.select("gem", "tag", "n").limit(0)
+    return (remove_crowded(out, crowded) if crowded is not None else out).select("gem", "tag", "n")
+
+
+def sample_summary(called: DataFrame) -> DataFrame:
+    """Tag, cells, molecules, with a TOTAL row."""
+    return called.rollup("tag").agg(F.count("*").alias("cells"), F.sum("n").alias("molecules")).select(F.coalesce(F.col("tag").cast("string"), F.lit("TOTAL")).alias("tag"), "cells", "molecules")

@@ -218,3 +218,25 @@ COMPATIBLE = {"IU": ("ISF", "ISR"), "ISF": ("ISF",), "ISR": ("ISR",), "MU": ("MS
 def compatible(aligns: DataFrame, format_: str) -> DataFrame:
     """F14."""
     return aligns.where(F.col("orientation").isin(*COMPATIBLE[format_]))
+
+
+def error_model(bases: DataFrame, bins: int = 6, pseudo: float = 1.0) -> DataFrame:
+    """Bin, before, state, logp: transitions between neighbouring states of an alignment (state = reference base * 9 + read
+    base), for each stretch of the read. bases: read, at, length, ref, base (0-8)."""
+    s = _states(bases, bins).where("before is not null").groupBy("bin", "before", "state").agg(F.count("*").alias("n"))
+    total = F.sum(F.col("n") + pseudo).over(Window.partitionBy("bin", "before"))
+    return s.select("bin", "before", "state", F.log((F.col("n") + pseudo) / total).alias("logp"))
+
+
+def _states(bases: DataFrame, bins: int) -> DataFrame:
+    s = bases.select("read", "at", F.least(F.lit(bins - 1), F.floor(F.col("at") * bins / F.col("length"))).alias("bin"), (F.col("ref") * 9 + F.col("base")).alias("state"), (F.col("ref") * 9 + F.col("ref")).alias("match"))
+    w = Window.partitionBy("read").orderBy("at")
+    return s.withColumn("before", F.lag("state").over(w)).withColumn("match_before", F.lag("match").over(w))
+
+
+def error_likelihood(bases: DataFrame, model: DataFrame, bins: int = 6) -> DataFrame:
+    """Read, err: log transitions of the alignment less those of the same reference without errors."""
+    s = _states(bases, bins).where("before is not null")
+    front = s.join(model, ["bin", "before", "state"], "left").groupBy("read").agg(F.sum("logp").alias("front"))
+    back = s.select("read", "bin", F.col("match_before").alias("before"), F.col("match").alias("state")).join(model, ["bin", "before", "state"], "left").groupBy("read").agg(F.sum("logp").alias("back"))
+    return front.join(back, "read").select("read", (F.coalesce("front", F.lit(0.0)) - F.coalesce("back", F.lit(0.0))).alias("err"))

@@ -219,3 +219,27 @@ def read_weights(aligns: DataFrame, value: str, keys: list[str]) -> DataFrame:
 def top_positions(sites: DataFrame, n: int) -> DataFrame:
     """O5."""
     return sites.orderBy(F.desc("k"), "chr", "pos").limit(n)
+
+
+def join_weights(dump: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """Dumped reads with their external weights, by a hash of the key columns (and the columns themselves); 1 where there is
+    none."""
+    w = weights.select(*keys, "weight").withColumn("_h", F.xxhash64(*keys))
+    return dump.drop("weight").withColumn("_h", F.xxhash64(*keys)).join(w, ["_h", *keys], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).drop("_h")
+
+
+def base_composition(reads: DataFrame) -> DataFrame:
+    """Mate, pos, a column for each base, mean quality. reads: mate, seq, qual."""
+    each = reads.select("mate", F.posexplode(F.zip_with(F.split("seq", ""), F.split("qual", ""), lambda b, q: F.struct(b.alias("b"), (F.ascii(q) - 33).alias("q")))).alias("pos", "x"))
+    return each.groupBy("mate", "pos").agg(*[F.count(F.when(F.col("x.b") == c, 1)).alias(c) for c in "ACGTN"], F.avg("x.q").alias("mean_qual"))
+
+
+def requantify(dump: DataFrame, trim5: int, trim3: int, mask: DataFrame | None = None, **how) -> DataFrame:
+    """Rates again from dumped bases (read, gene, strand, ref, alt, pos, length, chr, gpos, weight) with other trims or
+    another mask; reads with a masked place go."""
+    kept = dump.where((F.lit(trim5 + trim3) < F.col("length")) & (F.col("pos") >= trim5) & (F.col("pos") < F.col("length") - trim3))
+    if mask is not None:
+        bad = dump.join(mask.select("chr", F.col("pos").alias("gpos")), ["chr", "gpos"], "left_semi").select("read").distinct()
+        kept = kept.join(bad, "read", "left_anti")
+    per = conversions(kept).join(dump.groupBy("read").agg(F.min("gene").alias("gene"), F.min("weight").alias("w")), "read")
+    return new_to_total(histogram(per), **how)
