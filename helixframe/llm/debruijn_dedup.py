@@ -81,10 +81,12 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     slim = runs.select("key", "path", "doc_id", "row", "lo", F.size("edges").alias("n"))
     paths = stored(runs.groupBy("key", "path").agg(F.min("doc_id").alias("source")), "paths")
+    release(spark)
     forks = paths.groupBy("key").agg(F.count("*").alias("ways")).where("ways > 1").select("key")
     apart = paths.join(forks, "key")
     held = runs.select("key", "path", "doc_id", "edges").join(apart, ["key", "path"]).where("doc_id = source").dropDuplicates(["key", "path"])
     edges = stored(held.select("key", "path", "source", F.posexplode("edges").alias("t", "edge")), "edges")
+    release(spark)
     least = edges.groupBy("edge").agg(F.min("source").alias("least"))
     sources = edges.join(least, "edge").groupBy("key", "path").agg(F.array_sort(F.collect_list(F.struct("t", "least"))).alias("ts"))
     sources = sources.select("key", "path", F.transform("ts", lambda x: x["least"]).alias("leasts"))
