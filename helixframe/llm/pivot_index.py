@@ -1,7 +1,8 @@
 """Operator 9: embedding near-dedup by a pivot-permutation index.
 
-``pivots`` reference vectors are drawn from the data by a hash (a bounded sample). A vector is described by its
-``nearest`` pivots in order, and enters the inverted list of each. Two vectors of one label that share a pivot and
+At most ``pivots`` reference vectors are drawn far apart from a bounded sample of the data, so that the members of a
+dense group are described by pivots outside it, on which they agree. A vector is described by its ``nearest`` pivots in
+order, and enters the inverted list of each. Two vectors of one label that share a pivot and
 ``shared`` pivots in all are compared by cosine in double precision; those at ``threshold`` or more are linked. A pair
 is compared in the list of its least shared pivot only, so each link counts once.
 
@@ -26,6 +27,11 @@ from pyspark.sql import functions as F
 from .components import components, local_components
 from .frames import cut
 
+#: Vectors that pivots are chosen from, for each pivot.
+SAMPLE = 16
+#: No two pivots are nearer than this cosine, so that a dense group can't take most of them.
+NEAR = 0.8
+
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str):
     v = F.col("vector")
@@ -38,13 +44,24 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str):
 
 
 def draw_pivots(classes: DataFrame, pivots: int, seed: int) -> np.ndarray:
-    """At most ``pivots`` distinct unit vectors of the most frequent length, by hash order."""
+    """At most ``pivots`` unit vectors of the most frequent length: of the first ``SAMPLE`` times as many distinct ones by
+    hash the first, then again and again the one farthest from those drawn, until all have one at cosine ``NEAR``."""
     width = classes.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not width:
         return np.zeros((0, 0))
-    got = classes.where(F.size("vector") == width[0].n).select("vector", F.xxhash64(F.lit(seed), F.col("vector")).alias("h")).orderBy("h", "vector").limit(pivots).collect()
-    x = np.array([r.vector for r in got])
-    return _unit(x)
+    got = classes.where(F.size("vector") == width[0].n).select("vector", F.xxhash64(F.lit(seed), F.col("vector")).alias("h")).orderBy("h", "vector").limit(SAMPLE * pivots).collect()
+    return _spread(_unit(np.array([r.vector for r in got])), pivots)
+
+
+def _spread(x: np.ndarray, pivots: int) -> np.ndarray:
+    drawn, near = [0], x @ x[0]
+    while len(drawn) < min(pivots, len(x)):
+        far = int(near.argmin())
+        if near[far] >= NEAR:
+            break
+        drawn.append(far)
+        near = np.maximum(near, x @ x[far])
+    return x[drawn]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -124,6 +141,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = 1
     drawn = draw_pivots(classes.select("vector"), pivots, seed)
     if not len(drawn):
         return rows.select(F.col("vec_id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    least = min(shared, len(drawn))
     described = cut(describe(classes, drawn, nearest))
     # blocks of each list: numbered by a hash, so that no task ever ranks a list
     listed = described.select("label", F.explode("near").alias("pivot"), "first", "n", "near", "vector")
@@ -143,7 +161,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = 1
                 held[own].append((first, n, near, np.array(vector)))
         found = None
         if held[i] and held[j] and not (i == j and len(held[i]) < 2):
-            found = _compare(held[i], None if i == j else held[j], pivot, shared, threshold)
+            found = _compare(held[i], None if i == j else held[j], pivot, least, threshold)
         if found is not None:
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["first", "links", "root"])
 

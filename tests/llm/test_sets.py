@@ -179,6 +179,23 @@ def test_pivot_index(spark):
     assert op.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.33, 0.5, 1.0])
+def test_pivot_index_dense_group(spark, share):
+    from helixframe.llm import pivot_index as op
+
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    n, hot, dim = 1200, int(1200 * share), 64
+    centre = unit(rng.standard_normal((1, dim)))
+    off = rng.standard_normal((hot, dim))
+    shell = 0.955**0.5 * centre + 0.045**0.5 * unit(off - (off @ centre.T) * centre)
+    x = np.vstack([shell, unit(rng.standard_normal((n - hot, dim)))]) if hot < n else shell
+    total = int((x @ x.T >= 0.93).sum()) - n
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    found = op.near_duplicates(table).agg(F.sum("n_links")).first()[0]
+    assert 0.99 * total <= found <= total
+
+
 def test_jaccard_forest(spark, docs, empty):
     from helixframe.llm import jaccard_forest as op
 
