@@ -1,6 +1,6 @@
 """Operator 9: embedding near-dedup by a pivot-permutation index.
 
-At most ``pivots`` reference vectors are drawn far apart from a bounded sample of the data, so that the members of a
+At most ``pivots`` reference vectors of each vector length are drawn far apart from a bounded sample of the data, so that the members of a
 dense group are described by pivots outside it, on which they agree. A vector is described by its ``nearest`` pivots in
 order, and enters the inverted list of each. Two vectors of one label that share a pivot and
 ``shared`` pivots in all are compared by cosine in double precision; those at ``threshold`` or more are linked. A pair
@@ -43,14 +43,17 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str):
     return rows.select("vec_id", "label", F.when(good, F.transform("vector", plus)).alias("vector"))
 
 
-def draw_pivots(classes: DataFrame, pivots: int, seed: int) -> np.ndarray:
-    """At most ``pivots`` unit vectors of the most frequent length: of the first ``SAMPLE`` times as many distinct ones by
-    hash the first, then again and again the one farthest from those drawn, until all have one at cosine ``NEAR``."""
-    width = classes.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not width:
-        return np.zeros((0, 0))
-    got = classes.where(F.size("vector") == width[0].n).select("vector", F.xxhash64(F.lit(seed), F.col("vector")).alias("h")).orderBy("h", "vector").limit(SAMPLE * pivots).collect()
-    return _spread(_unit(np.array([r.vector for r in got])), pivots)
+def draw_pivots(classes: DataFrame, pivots: int, seed: int) -> dict[int, np.ndarray]:
+    """Per vector length at most ``pivots`` unit vectors: of the first about ``SAMPLE`` times as many distinct ones by hash
+    the first, then again and again the one farthest from those drawn, until all have one at cosine ``NEAR``."""
+    seen = classes.select("vector", F.size("vector").alias("width"), F.xxhash64(F.lit(seed), F.col("vector")).alias("h"))
+    # twice the share of the hashes that holds the sample of a length; all of a length that has few
+    part = F.lit(2.0 * SAMPLE * pivots) / F.count("*")
+    shares = seen.groupBy("width").agg(F.when(part >= 1, F.lit(2**63 - 1)).otherwise((part * 2.0**64 - 2.0**63).cast("bigint")).alias("last"))
+    got: dict[int, list] = {}
+    for r in seen.join(shares, "width").where("h <= last").select("width", "h", "vector").distinct().collect():
+        got.setdefault(r.width, []).append((r.h, r.vector))
+    return {width: _spread(_unit(np.array([v for _, v in sorted(got[width])[: SAMPLE * pivots]])), pivots) for width in sorted(got)}
 
 
 def _spread(x: np.ndarray, pivots: int) -> np.ndarray:
@@ -69,23 +72,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def describe(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """The classes with near: their nearest pivots, in order."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # pivots x dimensions, fixed by parameters
+def describe(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
+    """The classes with near: the nearest pivots of their length, in order. Pivots of all lengths are numbered through."""
+    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # pivots x dimensions of each length
     schema = classes.schema
     at = schema.fieldNames().index("vector")
 
     def kernel(batches):
-        p = shared.value
+        drawn = shared.value
+        first = dict(zip(drawn, np.cumsum([0, *map(len, drawn.values())]).tolist(), strict=False))
         for batch in batches:
             col = batch.column(at)
             flat, off = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.array([len(x) for x in col]))]).astype(int)
-            near = np.zeros((len(col), min(nearest, max(1, len(p)))), np.int32)
-            ok = np.diff(off) == p.shape[1]
-            if ok.any():
-                x = _unit(np.stack([flat[off[i] : off[i + 1]] for i in np.flatnonzero(ok)]))
-                near[ok] = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, : near.shape[1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], names=[*schema.fieldNames(), "near"])
+            near: list = [None] * len(col)
+            width = np.diff(off)
+            for w in np.unique(width).tolist():
+                rows, p = np.flatnonzero(width == w), drawn[w]
+                x = _unit(np.stack([flat[off[i] : off[i + 1]] for i in rows]))
+                for i, found in zip(rows.tolist(), np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :nearest], strict=True):
+                    near[i] = (found + first[w]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*schema.fieldNames(), "near"])
 
     return classes.mapInArrow(kernel, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", near array<int>")
 
@@ -100,7 +106,8 @@ def _compare(one: list, other: list | None, pivot: int, shared: int, threshold:
     for i, r in enumerate(both):
         member[i, r[2]] = 1
     right = slice(n, None) if other is not None else slice(0, n)
-    mask = (member[:n] @ member[right].T >= shared) & (member[:n, :pivot] @ member[right, :pivot].T == 0)
+    # where fewer pivots describe a length, all of them must be shared
+    mask = (member[:n] @ member[right].T >= np.minimum(shared, [len(r[2]) for r in one])[:, None]) & (member[:n, :pivot] @ member[right, :pivot].T == 0)
     mask &= width[:n, None] == width[right][None, :]
     if other is None:
         mask = np.triu(mask, 1)
@@ -141,7 +148,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = 1
     drawn = draw_pivots(classes.select("vector"), pivots, seed)
     if not len(drawn):
         return rows.select(F.col("vec_id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    least = min(shared, len(drawn))
     described = cut(describe(classes, drawn, nearest))
     # blocks of each list: numbered by a hash, so that no task ever ranks a list
     listed = described.select("label", F.explode("near").alias("pivot"), "first", "n", "near", "vector")
@@ -161,7 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = 1
                 held[own].append((first, n, near, np.array(vector)))
         found = None
         if held[i] and held[j] and not (i == j and len(held[i]) < 2):
-            found = _compare(held[i], None if i == j else held[j], pivot, least, threshold)
+            found = _compare(held[i], None if i == j else held[j], pivot, shared, threshold)
         if found is not None:
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["first", "links", "root"])
 

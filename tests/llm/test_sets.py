@@ -196,6 +196,21 @@ def test_pivot_index_dense_group(spark, share):
     assert 0.99 * total <= found <= total
 
 
+def test_pivot_index_lengths_and_few_rows(spark):
+    from helixframe.llm import pivot_index as op
+
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for width, n in ((16, 40), (9, 20), (5, 1)):
+        for base in rng.standard_normal((n, width)):
+            for k in range(2):
+                want[len(rows)] = len(rows) - k
+                rows.append((len(rows), (base + 0.01 * k * rng.standard_normal(width)).tolist(), 0))
+    for some in (rows, rows[:2]):
+        out = op.near_duplicates(spark.createDataFrame(some, "vec_id bigint, embedding array<double>, label int")).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {r[0]: (1, want[r[0]]) for r in some}
+
+
 def test_jaccard_forest(spark, docs, empty):
     from helixframe.llm import jaccard_forest as op
 
