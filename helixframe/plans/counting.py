@@ -145,7 +145,7 @@ register("f6_umi_validity", lambda s, d: reads(s, d).select(F.coalesce(S.umi_sta
 register("j26_tag_injection", lambda s, d: barcodes.add_tags(table(s, d, "lineitem").select(F.col("l_orderkey").alias("read")), reads(s, d).where("read % 3 > 0").select("read", F.when(F.col("read") % 3 == 1, F.col("cb")).alias("cb"), F.col("umi").alias("ub"))).groupBy("cb", "ub").agg(F.count("*").alias("n")), f"WITH {READS}, t AS (SELECT read, CASE WHEN read % 3 = 1 THEN cb END AS cb, CASE WHEN read % 3 = 1 THEN umi END AS ub FROM reads WHERE read % 3 > 0) SELECT cb, ub, count(*) AS n FROM lineitem LEFT JOIN t ON l_orderkey = read GROUP BY ALL")
 
 # sequences: words of documents and of URLs as reads
-_docs = lambda s, d: table(s, d, "documents").select("doc_id", F.translate(F.substring("text", 1, 60), " .,\n", "ACGT").alias("seq"))
+_docs = lambda s, d: table(s, d, "documents").select("doc_id", F.translate("text", " .,\n", "ACGT").alias("seq"))
 _DOCS = "sq AS (SELECT doc_id, translate(substr(text, 1, 60), ' .,' || chr(10), 'ACGT') AS seq FROM documents)"
 register("p1_fixed_barcode", lambda s, d: _docs(s, d).select("doc_id", S.fixed_slice(F.col("seq"), 1, 16).alias("cb"), S.fixed_slice(F.col("seq"), 17, 10).alias("umi")), f"WITH {_DOCS} SELECT doc_id, rpad(substr(seq, 1, 16), 16, 'N') AS cb, rpad(substr(seq, 17, 10), 10, 'N') AS umi FROM sq")
 register("p9_reverse_complement", lambda s, d: reads(s, d).select("read", S.reverse_complement(F.col("umi")).alias("rc"), S.two_bit(F.col("umi")).alias("code"), S.n_class(F.regexp_replace("umi", "GG", "GN")).alias("n")), f"WITH {READS} SELECT read, reverse(translate(umi, 'ACGT', 'TGCA')) AS rc, CAST((CASE WHEN true THEN k END) AS BIGINT) AS code, CASE WHEN instr(u, 'N') = 0 THEN -1 WHEN length(replace(u, 'N', '')) = 3 THEN instr(u, 'N') - 1 ELSE -2 END AS n FROM (SELECT read, umi, (instr('ACGT', umi[1]) - 1) * 64 + (instr('ACGT', umi[2]) - 1) * 16 + (instr('ACGT', umi[3]) - 1) * 4 + instr('ACGT', umi[4]) - 1 AS k, regexp_replace(umi, 'GG', 'GN', 'g') AS u FROM reads)")

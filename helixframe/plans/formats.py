@@ -27,10 +27,11 @@ register("k14_report_json", lambda s, d: writers.report_json(table(s, d, "region
 register("k19_fastq_lines", lambda s, d: writers.fastq_lines(table(s, d, "supplier").select(F.col("s_name").alias("name"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"), (F.col("s_nationkey") % 2).alias("y")), "y"), "SELECT s_nationkey % 2 AS y, '@' || s_name || chr(10) || 'ACGT' || chr(10) || '+' || chr(10) || 'IIII' AS value FROM supplier")
 register("k23_overlap_tags", lambda s, d: writers.overlap_tags(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("read")).agg(F.sort_array(F.collect_set(F.concat(F.lit("g"), F.col("l_suppkey") % 5))).alias("genes"), F.when(F.max("l_suppkey") > 80, "exonic_antisense").when(F.max("l_suppkey") > 40, "over_half").when(F.max("l_suppkey") > 20, "intronic").otherwise("intergenic").alias("class"))), "SELECT l_orderkey AS read, string_agg(DISTINCT 'g' || (l_suppkey % 5), ',' ORDER BY 'g' || (l_suppkey % 5)) AS ZG, CASE WHEN max(l_suppkey) > 40 THEN 'exonic' WHEN max(l_suppkey) > 20 THEN 'intronic' ELSE 'none' END AS ZX FROM lineitem GROUP BY l_orderkey")
 _reads = lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("read"), F.translate(F.substring("text", 1, 40), "eatsn", "ACGTA").alias("seq"))
+_texts = lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("read"), F.translate("text", "eatsn", "ACGTA").alias("seq"))
 register("p3_adapter_place", lambda s, d: _reads(s, d).select("read", trimming.find_adapter("AG", 0)("seq").alias("place")), "SELECT doc_id AS read, instr(translate(substr(text, 1, 40), 'eatsn', 'ACGTA'), 'AG') - 1 AS place FROM documents")
-register("p6_adapter_trim", lambda s, d: _reads(s, d).select("read", trimming.adapter_cuts("AGATCGGAAGAGC")("seq").alias("kept")))
-register("p7_adapter_trim_32", lambda s, d: _reads(s, d).select("read", trimming.adapter_cuts("AGATCGGAAGAGC", parity="3.2")("seq").alias("kept")))
-register("p8_trim_pairs", lambda s, d: trimming.trim_pairs(_reads(s, d).where("length(seq) = 40").select(F.col("read").cast("string").alias("name"), "seq", F.lit("I" * 40).alias("qual"), F.reverse("seq").alias("seq2"), F.lit("I" * 30 + "#" * 10).alias("qual2")), "AGATCGGAAGAGC").select("name", F.length("seq").alias("n1"), F.length("seq2").alias("n2")))
+register("p6_adapter_trim", lambda s, d: _texts(s, d).select("read", trimming.adapter_cuts("AGATCGGAAGAGC")("seq").alias("kept")))
+register("p7_adapter_trim_32", lambda s, d: _texts(s, d).select("read", trimming.adapter_cuts("AGATCGGAAGAGC", parity="3.2")("seq").alias("kept")))
+register("p8_trim_pairs", lambda s, d: trimming.trim_pairs(_texts(s, d).select(F.col("read").cast("string").alias("name"), "seq", F.expr("repeat('I', length(seq))").alias("qual"), F.reverse("seq").alias("seq2"), F.expr("repeat('I', length(seq) - 10) || repeat('#', least(length(seq), 10))").alias("qual2")), "AGATCGGAAGAGC").select("name", F.length("seq").alias("n1"), F.length("seq2").alias("n2")))
 register("p13_mismatch_tags", lambda s, d: trimming.mismatches(table(s, d, "nation").select("n_name", F.rpad("n_name", 12, "x").alias("read_bases"), F.rpad(F.lit("ARGENTINA"), 12, "x").alias("ref_bases"))).select("n_name", "nm", "md"))
 register("p21_contig_names", lambda s, d: table(s, d, "supplier").select("s_suppkey", F.regexp_replace(F.concat(F.lit("ENSG"), "s_suppkey", F.lit("."), "s_nationkey"), r"\.\d+$", "").alias("gene")), "SELECT s_suppkey, 'ENSG' || s_suppkey AS gene FROM supplier")
 register("p22_transcript_sequence", lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("tr")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x")).select("tr", F.array_join(F.transform("x", lambda e: F.substring(F.lit("ACGTACGTAC"), (e["l_partkey"] % 7).cast("int") + 1, F.lit(3))), "").alias("seq")), "SELECT l_orderkey AS tr, string_agg(substr('ACGTACGTAC', CAST(l_partkey % 7 AS INT) + 1, 3), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem GROUP BY l_orderkey")

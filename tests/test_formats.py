@@ -109,3 +109,16 @@ def test_adapter_places(spark):
     assert [tuple(r) for r in got] == [(3, "CC"), (3, "CC"), (-1, None)]
     md = trimming.mismatches(spark.createDataFrame([("ACGT", "AGGA")], "read_bases string, ref_bases string")).first()
     assert (md.nm, md.md) == (2, "1G1A0")
+
+
+def test_trimming_queries_take_whole_texts(spark, tmp_path):
+    from helixframe.plans import catalog
+
+    adapter = "AGATCGGAAGAGC"
+    texts = ["C" * 60 + adapter + "C" * 9, "C" * 25, "C" * 50, "C" * 5, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda q: catalog.queries()[q](spark, str(tmp_path)).collect()
+    for q in ("p6_adapter_trim", "p7_adapter_trim_32"):
+        assert {r[0]: r[1] for r in run(q)} == {0: 60, 1: 25, 2: 50, 3: 5, 4: None, 5: 0}
+    # the second mate loses its ten last letters to quality; pairs under 20 letters go
+    assert {r.name: (r.n1, r.n2) for r in run("p8_trim_pairs")} == {"0": (60, 72), "2": (50, 40)}
