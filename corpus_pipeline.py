@@ -12,7 +12,7 @@ null texts go in stage 1; documents of which no word is taken go in stage 4.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import jaccard_forest, language_id, merge_dropout, source_mix, suffix_dedup
@@ -48,7 +48,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return merge_dropout.encode(docs, PIECES, rate=0.1, seed=1).select("doc_id", "pieces", F.size("pieces").cast("bigint").alias("n_pieces"))
+    # rows of one id, from the rounds of the mix, are cut differently; those with one text too
+    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars"))
+    rounds = docs.select("doc_id", "text", F.xxhash64("text", again).alias("round"))
+    return merge_dropout.encode(rounds, PIECES, rate=0.1, seed=1, round_col="round").select("doc_id", "pieces", F.size("pieces").cast("bigint").alias("n_pieces"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mixing", mixing), ("pieces", pieces)]

@@ -4,8 +4,12 @@ A text is cut into units that no piece of the vocabulary can cross: a run of spa
 next space, line breaks on their own. In a unit every pair of neighbouring symbols whose join is a piece is a
 candidate merge. Candidates are processed best score first, leftmost first among equals; a candidate (its
 unit, where it starts, where its two symbols meet and where it ends) whose keyed hash falls below the dropout rate
-is skipped for good. The key is the seed with the text's variant (``hash of the id mod variants``), so that texts
-are segmented in varied ways and reruns agree. With rate 0 the segmentation is the model's own.
+is skipped for good. The key is the seed with the hash of the row's id (of its text where that is null), the place of
+the unit in the text and the unit, so that each occurrence of a word is segmented anew and reruns agree. With rate 0
+the segmentation is the model's own.
+
+Distinct units of a batch are merged once without dropout. An occurrence none of whose merges is dropped takes those
+pieces; any other is merged on its own.
 
 Characters outside the vocabulary become byte pieces, as do the three bytes of a literal U+2581 (the mark for a
 space), so that decoding restores every text exactly.
@@ -13,7 +17,7 @@ space), so that decoding restores every text exactly.
 Two routes give the same pieces: units of up to ``SHORT`` symbols are merged together, one step of all agendas at
 a time, as arrays; longer ones one by one with a heap.
 
-Defined results: null and empty texts have no pieces; repeated rows with one id get one segmentation; other
+Defined results: null and empty texts have no pieces; repeated rows with one id get one segmentation, unless ``round_col`` differs; other
 columns of the input pass by untouched.
 """
 
@@ -56,8 +60,9 @@ class PieceModel:
 
 
 class Coder:
-    def __init__(self, model: PieceModel, rate: float, seed: int, variants: int):
-        self.prefix, self.rate, self.seed, self.variants = model.prefix, int(rate * 2.0**64) if rate < 1 else 2**64 - 1, seed, variants
+    def __init__(self, model: PieceModel, rate: float, seed: int, variants: int = 0):
+        """variants: without effect, each occurrence of a unit has a key of its own."""
+        self.prefix, self.rate, self.seed = model.prefix, int(rate * 2.0**64) if rate < 1 else 2**64 - 1, seed
         self.byte_id = np.zeros(256, np.int32)
         self.ids: dict[str, int] = {}
         self.raw: list[bytes] = []
@@ -89,12 +94,14 @@ class Coder:
         for c, i in self.one.items():
             self.of_char[ord(c)] = i
         self.of_char[32] = self.ids[_MARK]
-        self.long_cache: dict[tuple[bytes, int], list[int]] = {}
 
     def dropped(self, unit: np.ndarray, start: np.ndarray, mid: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """unit: hash of the unit with the variant."""
+        """unit: key of the occurrence."""
+        return mix64(unit ^ self.merge_key(start, mid, stop)) < np.uint64(self.rate)
+
+    def merge_key(self, start: np.ndarray, mid: np.ndarray, stop: np.ndarray) -> np.ndarray:
         where = (start.astype(np.uint64) << np.uint64(42)) | (mid.astype(np.uint64) << np.uint64(21)) | stop.astype(np.uint64)
-        return mix64(unit ^ mix64(where + np.uint64(self.seed))) < np.uint64(self.rate)
+        return mix64(where + np.uint64(self.seed))
 
     def join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left.astype(np.int64) << 32 | right
@@ -106,20 +113,24 @@ class Coder:
         """Piece of each code point, -1 where it has none."""
         return np.where(chars < len(self.of_char), self.of_char[np.minimum(chars, len(self.of_char) - 1)], -1)
 
-    def together(self, ids: np.ndarray, size: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Merge the units in the rows of ids (padded with -2), one step of every agenda at a time.
+    def together(self, ids: np.ndarray, size: np.ndarray, unit: np.ndarray | None, made: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge the units in the rows of ids (padded with -2), one step of every agenda at a time; without unit nothing is
+        dropped. The merges are added to made: rows, keys.
 
         Returns ids and starts (in symbols), -2 beyond each unit's pieces, and the numbers of pieces.
         """
+        drop = unit is not None
+        unit = unit if drop else np.zeros(len(ids), np.uint64)
         n, width = ids.shape
         count = size.copy()
         start = np.broadcast_to(np.arange(width, dtype=np.int32), ids.shape).copy()
         stop = start + 1
         out_ids, out_start, out_count = np.full_like(ids, -2), start.copy(), count.copy()
         rank, joined = self.join(ids[:, :-1], ids[:, 1:]) if width > 1 else (np.full((n, 0), _NONE), np.zeros((n, 0), np.int64))
-        r, c = np.nonzero(rank < _NONE)
-        gone = self.dropped(unit[r], start[r, c], start[r, c + 1], stop[r, c + 1])
-        rank[r[gone], c[gone]] = _NONE
+        if drop:
+            r, c = np.nonzero(rank < _NONE)
+            gone = self.dropped(unit[r], start[r, c], start[r, c + 1], stop[r, c + 1])
+            rank[r[gone], c[gone]] = _NONE
         rows = np.arange(n)
         while len(rows):
             best = rank.argmin(1) if rank.shape[1] else np.zeros(len(rows), np.int64)
@@ -132,6 +143,8 @@ class Coder:
                     break
             i = np.arange(len(rows))
             new, end = joined[i, best], stop[i, best + 1]
+            if made is not None:
+                made.append((rows, self.merge_key(start[i, best], start[i, best + 1], end)))
             # close the gap at best + 1
             col = np.arange(ids.shape[1] - 1)
             source = col + (col > best[:, None])
@@ -146,7 +159,7 @@ class Coder:
                 k, a = i[ok], at[ok]
                 if len(k):
                     p, q = self.join(ids[k, a], ids[k, a + 1])
-                    hit = np.flatnonzero(p < _NONE)
+                    hit = np.flatnonzero(p < _NONE) if drop else np.zeros(0, np.int64)
                     gone = hit[self.dropped(unit[k[hit]], start[k[hit], a[hit]], start[k[hit], a[hit] + 1], stop[k[hit], a[hit] + 1])]
                     p[gone] = _NONE
                     rank[k, a], joined[k, a] = p, q
@@ -188,7 +201,7 @@ class Coder:
         return int(rank[0]), int(joined[0])
 
     def encode(self, texts: pa.Array, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of all texts, and the n+1 offsets of the texts in them. variant: of each text."""
+        """Pieces of all texts, and the n+1 offsets of the texts in them. variant: key of each text, 64 bits."""
         given = texts.to_pylist()
         put = " " if self.prefix else ""
         chars = np.frombuffer("".join([put + t if t else "" for t in given]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -203,11 +216,14 @@ class Coder:
         begin[off] = True
         start = np.flatnonzero(begin[:-1])
         stop = np.append(start[1:], len(chars))
-        key = SpanHash(chars.astype(np.uint64) + np.uint64(1))(start, stop)
-        key = mix64(key + variant[row_of(start, off)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        key, start, size = key[first], start[first], (stop - start)[first]
-        pool, at, n = [], np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        word = SpanHash(chars.astype(np.uint64) + np.uint64(1))(start, stop)
+        size = stop - start
+        text = row_of(start, off)
+        key = mix64(word + mix64(variant.astype(np.int64).astype(np.uint64)[text] + (start - off[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        _, first, slot = np.unique(word, return_index=True, return_inverse=True)
+        # a slot of the results for each distinct unit, and after them for each occurrence that is merged on its own
+        slots = len(first) + (len(start) if self.rate else 0)
+        pool, at, n = [], np.zeros(slots, np.int64), np.zeros(slots, np.int64)
         total = 0
 
         def add(which: np.ndarray, ids: np.ndarray, where: np.ndarray, counts: np.ndarray) -> None:
@@ -228,23 +244,49 @@ class Coder:
             pool.append(flat)
             total += len(flat)
 
-        for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, SHORT)):
-            group = np.flatnonzero((size > low) & (size <= high))
-            for cut in range(0, len(group), 1 << 15):
-                which = group[cut : cut + (1 << 15)]
-                ids = np.full((len(which), int(size[which].max())), -2, np.int64)
-                ids[np.arange(ids.shape[1]) < size[which][:, None]] = self.symbols(chars[ragged(start[which], size[which])])
-                got, where, counts = self.together(ids, size[which], key[which])
-                used = np.arange(got.shape[1]) < counts[:, None]
-                add(which, got[used], (where + start[which][:, None])[used], counts)
-        for u in np.flatnonzero(size > SHORT):
-            parts = self.alone(self.symbols(chars[start[u] : start[u] + size[u]]).tolist(), int(key[u]))
-            add(np.array([u]), np.array([p for p, _ in parts]), np.array([s for _, s in parts]) + start[u], np.array([len(parts)]))
+        def merge(units: np.ndarray, to: np.ndarray, drop: bool, made: list | None = None) -> None:
+            """Pieces of these units to these slots."""
+            for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, SHORT)):
+                group = np.flatnonzero((size[units] > low) & (size[units] <= min(high, SHORT)))
+                for cut in range(0, len(group), 1 << 15):
+                    which = group[cut : cut + (1 << 15)]
+                    u = units[which]
+                    ids = np.full((len(u), int(size[u].max())), -2, np.int64)
+                    ids[np.arange(ids.shape[1]) < size[u][:, None]] = self.symbols(chars[ragged(start[u], size[u])])
+                    steps: list = []
+                    got, where, counts = self.together(ids, size[u], key[u] if drop else None, steps if made is not None else None)
+                    if made is not None:
+                        made.extend((to[which[rows]], keys) for rows, keys in steps)
+                    used = np.arange(got.shape[1]) < counts[:, None]
+                    add(to[which], got[used], (where + start[u][:, None])[used], counts)
+            for k in np.flatnonzero(size[units] > SHORT):
+                u = units[k]
+                parts = self.alone(self.symbols(chars[start[u] : start[u] + size[u]]).tolist(), int(key[u]))
+                add(to[[k]], np.array([p for p, _ in parts]), np.array([s for _, s in parts]) + start[u], np.array([len(parts)]))
+
+        made: list = []
+        plain = np.flatnonzero(size[first] <= SHORT) if self.rate else np.arange(len(first))
+        merge(first[plain], plain, False, made if self.rate else None)
+        if self.rate:
+            again = size > SHORT
+            if made:
+                of, merges = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+                merges = merges[np.argsort(of, kind="stable")]
+                many = np.bincount(of, minlength=len(first))
+                begins = (np.cumsum(many) - many)[slot]
+                for cut in range(0, len(slot), 1 << 17):
+                    some = slice(cut, cut + (1 << 17))
+                    count = many[slot[some]]
+                    owner = np.repeat(np.arange(cut, cut + len(count)), count)
+                    again[owner[mix64(key[owner] ^ merges[ragged(begins[some], count)]) < np.uint64(self.rate)]] = True
+            again = np.flatnonzero(again)
+            slot[again] = len(first) + np.arange(len(again))
+            merge(again, slot[again], True)
         pool_ = np.concatenate(pool)
-        lengths = n[inverse]
+        lengths = n[slot]
         where = np.concatenate([[0], np.cumsum(lengths)])
         unit_at = np.searchsorted(np.flatnonzero(begin[:-1]), off)
-        return pool_[ragged(at[inverse], lengths)], where[unit_at]
+        return pool_[ragged(at[slot], lengths)], where[unit_at]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join([self.raw[i] for i in ids.tolist()])
@@ -254,26 +296,26 @@ class Coder:
 _CODERS: dict[tuple, Coder] = {}
 
 
-def _coder(docs: DataFrame, model: str, rate: float, seed: int, variants: int):
+def _coder(docs: DataFrame, model: str, rate: float, seed: int):
     loaded = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model))  # fixed by the vocabulary file
 
     def get() -> Coder:
         # a worker builds its tables once
-        key = (model, rate, seed, variants)
+        key = (model, rate, seed)
         if key not in _CODERS:
             _CODERS.clear()
-            _CODERS[key] = Coder(loaded.value, rate, seed, variants)
+            _CODERS[key] = Coder(loaded.value, rate, seed)
         return _CODERS[key]
 
     return get
 
 
-def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, pieces (array of ids) of the whole text of each row."""
-    return _run(docs, model, rate, seed, variants, id_col, text_col, "pieces array<int>", lambda coder, texts, ids, off: [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))])
+def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", round_col: str | None = None) -> DataFrame:
+    """id, pieces (array of ids) of the whole text of each row. round_col: tells rows of one id apart in the key of dropout."""
+    return _run(docs, model, rate, seed, id_col, text_col, round_col, "pieces array<int>", lambda coder, texts, ids, off: [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))])
 
 
-def digests(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", round_col: str | None = None) -> DataFrame:
     """id, n_pieces, pieces_sha256 (of the ids as little-endian 32-bit), decoded_sha256 (of the decoded text) and
     lossless (the decoded text is the input) of each row."""
     import hashlib
@@ -284,11 +326,11 @@ def digests(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, varia
         sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
         return [pa.array(np.diff(off), pa.int64()), sha(c.astype("<i4").tobytes() for c in cut), sha(b.encode("utf-8", "surrogatepass") for b in back), pa.array([b == (t or "") for b, t in zip(back, texts.to_pylist(), strict=True)], pa.bool_())]
 
-    return _run(docs, model, rate, seed, variants, id_col, text_col, "n_pieces bigint, pieces_sha256 string, decoded_sha256 string, lossless boolean", out)
+    return _run(docs, model, rate, seed, id_col, text_col, round_col, "n_pieces bigint, pieces_sha256 string, decoded_sha256 string, lossless boolean", out)
 
 
-def _run(docs, model, rate, seed, variants, id_col, text_col, schema, out):
-    get = _coder(docs, model, rate, seed, variants)
+def _run(docs, model, rate, seed, id_col, text_col, round_col, schema, out):
+    get = _coder(docs, model, rate, seed)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def kernel(batches):
@@ -299,14 +341,15 @@ def _run(docs, model, rate, seed, variants, id_col, text_col, schema, out):
             yield pa.RecordBatch.from_arrays([batch.column(0), *out(coder, texts, ids, off)], names=["id", *names])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    variant = F.pmod(F.xxhash64(F.col(id_col)), F.lit(variants)).cast("int")
+    variant = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(""), F.col(text_col))).otherwise(F.xxhash64(F.col(id_col)))
+    variant = F.xxhash64(variant, F.col(round_col)) if round_col else variant
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), variant.alias("variant"))
     return rows.mapInArrow(kernel, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, model: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
     """id, text of each row's pieces; no pieces, or null, give an empty text."""
-    get = _coder(rows, model, 0.0, 0, 1)
+    get = _coder(rows, model, 0.0, 0)
 
     def kernel(batches):
         coder = get()

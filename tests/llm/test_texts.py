@@ -198,3 +198,25 @@ def test_heap_and_arrays_agree(monkeypatch):
     monkeypatch.setattr(op, "SHORT", 0)
     b, _ = coder.encode(texts, v)
     assert a.tolist() == b.tolist()
+
+
+def test_every_occurrence_is_cut_anew(spark):
+    from helixframe.llm import merge_dropout as op
+
+    rows = spark.createDataFrame([(i, " segmentation" * 20) for i in range(40)], "doc_id bigint, text string")
+    model = op.PieceModel.load(PIECES)
+    seen, first = set(), set()
+    for r in op.encode(rows, PIECES, rate=0.3).collect():
+        words = " ".join(model.pieces[p] for p in r.pieces).split("▁")
+        seen |= set(words)
+        first.add(tuple(words))
+    assert len(first) == 40 and len(seen) > 20
+
+
+def test_rounds_of_the_mix_are_cut_differently(spark):
+    import corpus_pipeline as pipe
+
+    text = "the same words of one document are taken twice " * 5
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text))] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    one, two = [list(r.pieces) for r in pipe.pieces(spark, docs, "").collect()]
+    assert one != two
