@@ -35,7 +35,7 @@ WINDOW, GRAM = 13, 5
 def _walks(buf: np.ndarray, offsets: np.ndarray):
     """key, first edge, edge after the last, and row of each run; the words' hash; offsets of the rows in words."""
     start, stop, word_off = white_words(buf, offsets)
-    words = SpanHash(SpanHash(buf.astype(np.uint64) + np.uint64(1))(start, stop))
+    words = SpanHash(SpanHash(buf.astype(np.uint64) + np.uint64(1), narrow=True)(start, stop))
     key, lo, hi = anchor_runs(words.sliding(GRAM), word_off, WINDOW, GRAM)
     return key, lo, hi, row_of(lo, word_off), words, word_off
 

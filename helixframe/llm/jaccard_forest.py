@@ -47,7 +47,7 @@ def depth_for(threshold: float, target: float) -> int:
 def shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, SpanHash, np.ndarray]:
     """Hashes of all shingles of a batch, the n+1 offsets of the rows in them, the words' hash and their offsets."""
     start, stop, word_off = white_words(buf, offsets)
-    words = SpanHash(SpanHash(buf.astype(np.uint64) + np.uint64(1))(start, stop))
+    words = SpanHash(SpanHash(buf.astype(np.uint64) + np.uint64(1), narrow=True)(start, stop))
     n = np.diff(word_off)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     off = np.concatenate([[0], np.cumsum(count)])

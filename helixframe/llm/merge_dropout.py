@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vec import SpanHash, mix64, ragged, row_of, slices, text_buffer
+from .vec import SpanHash, distinct_spans, mix64, ragged, row_of, slices
 
 SHORT = 48
 _NONE = np.iinfo(np.int32).max
@@ -220,7 +220,7 @@ class Coder:
         size = stop - start
         text = row_of(start, off)
         key = mix64(word + mix64(variant.astype(np.int64).astype(np.uint64)[text] + (start - off[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        _, first, slot = np.unique(word, return_index=True, return_inverse=True)
+        first, slot = distinct_spans(chars, start, stop)
         # a slot of the results for each distinct unit, and after them for each occurrence that is merged on its own
         slots = len(first) + (len(start) if self.rate else 0)
         pool, at, n = [], np.zeros(slots, np.int64), np.zeros(slots, np.int64)

@@ -119,7 +119,7 @@ def _runs(texts: DataFrame) -> DataFrame:
     def kernel(batches):
         for batch in slices(batches, "text", 2 << 20):
             buf, off = text_buffer(batch.column(1))
-            h = SpanHash(buf.astype(np.uint64) + np.uint64(1))
+            h = SpanHash(buf.astype(np.uint64) + np.uint64(1), narrow=True)
             grams = h.sliding(GRAM)
             key, lo, hi = anchor_runs(grams, off, LENGTH, GRAM)
             row = row_of(lo, off)
@@ -136,7 +136,7 @@ def _runs(texts: DataFrame) -> DataFrame:
 def cut_pieces(buf: np.ndarray, off: np.ndarray, bitmap: np.ndarray) -> dict[str, np.ndarray]:
     """Pieces of the runs whose bytes' hash passes the sieve: core, piece (hashes), row, at (first start, in the
     buffer), v0, v1 (first and last start inside the text)."""
-    h = SpanHash(buf.astype(np.uint64) + np.uint64(1))
+    h = SpanHash(buf.astype(np.uint64) + np.uint64(1), narrow=True)
     grams = h.sliding(GRAM)
     key, lo, hi = anchor_runs(grams, off, LENGTH, GRAM)
     some = passes(bitmap, h(lo, hi - 1 + LENGTH))

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vec import SpanHash, row_of, slices, text_buffer
+from .vec import distinct_spans, row_of, slices, text_buffer
 
 END = 256
+#: So many words or fewer are walked one by one.
+FEW = 8
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -120,6 +122,24 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.keys[at] == key, self.targets[at]
 
+    def walk(self, symbols: list[int], state: int, count: int) -> tuple[int, int, bool]:
+        """State, pieces and whether the word is lost after these last symbols of one word."""
+        seen: dict[int, int] = {}  # target of each edge met, -1 for none
+        for s in [*symbols, END] if self.ends else symbols:
+            while True:
+                key = state * 257 + s
+                if key not in seen:
+                    at = min(int(np.searchsorted(self.keys, key)), len(self.keys) - 1)
+                    seen[key] = int(self.targets[at]) if self.keys[at] == key else -1
+                if seen[key] >= 0:
+                    state = seen[key]
+                    break
+                count += int(self.pops[state])
+                state = int(self.fail[state])
+                if state < 0:
+                    return 0, count, True
+        return state, count, False
+
     def lengths(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Pieces of each word buf[start:stop], 0 for one that can't be spelled. All words advance together."""
         n = np.zeros(len(start), np.int64)
@@ -129,6 +149,10 @@ class Automaton:
         count, dead = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
         for j in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -j, "left"))
+            if j >= 64 and live <= FEW:
+                for w in np.flatnonzero(~dead[:live]).tolist():
+                    state[w], count[w], dead[w] = self.walk(buf[first[w] + j : stop[order[w]]].tolist(), int(state[w]), int(count[w]))
+                break
             symbol = buf[np.minimum(first[:live] + j, len(buf) - 1)].astype(np.int64)
             if self.ends:
                 symbol[size[:live] - 1 == j] = END
@@ -174,7 +198,7 @@ def count_texts(automaton: Automaton, texts: pa.Array, lower: bool = True) -> tu
         texts = pa.array([None if t is None else t.lower() for t in texts.to_pylist()], pa.large_string())
     buf, off = text_buffer(texts)
     start, stop = words(buf, off)
-    _, first, inverse = np.unique(SpanHash(buf.astype(np.uint64) + np.uint64(1))(start, stop), return_index=True, return_inverse=True)
+    first, inverse = distinct_spans(buf, start, stop)
     lengths = automaton.lengths(buf, start[first], stop[first])[inverse]
     row, n = row_of(start, off), len(texts)
     unknown = lengths == 0

@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Spans are hashed in two prime fields of this size. Modulo a power of two, long words over two letters that differ
+#: everywhere (Thue-Morse words) would have equal hashes whatever the base.
+_PRIME = (1 << 31) - 1
+_BASES = (0x2C1B3C6D, 0x165667B1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -28,38 +30,103 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        p = np.full(size, base, U64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U64))
-    return out[0], out[1]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Congruent to x modulo the prime, below 2**31 + 2."""
+    x = (x & U64(_PRIME)) + (x >> U64(31))
+    return (x & U64(_PRIME)) + (x >> U64(31))
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    x = _fold(x)
+    return np.where(x >= U64(_PRIME), x - U64(_PRIME), x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
+@functools.lru_cache(maxsize=2)
+def _powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for base in _BASES:
+        pair = []
+        for b in (base, pow(base, -1, _PRIME)):
+            p = np.ones(1, np.uint32)
+            while len(p) < size:
+                p = np.concatenate([p, _rest(p.astype(U64) * U64(pow(b, len(p), _PRIME))).astype(np.uint32)])
+            pair.append(p)
+        out.append(tuple(pair))
+    return out
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse modulo the prime, at least n of each."""
     return _powers(1 << max(16, int(n).bit_length()))
 
 
 class SpanHash:
-    """Hashes of any span of a sequence of 64-bit values in constant time each."""
-
-    def __init__(self, values: np.ndarray):
-        self.pw, self.ipw = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, U64)
-        np.cumsum(values.astype(U64, copy=False) * self.pw[: len(values)], out=self.sums[1:])
+    """Hashes of any span of a sequence of 64-bit values in constant time each: 62 bits, from polynomials in two prime
+    fields, and the length."""
+
+    def __init__(self, values: np.ndarray, narrow: bool = False):
+        """narrow: all values are below 512, and hashed as they are."""
+        n = len(values)
+        self.lanes = []
+        if narrow:
+            halves = (values.astype(U64, copy=False),) * 2
+        else:
+            mixed = mix64(values)
+            halves = (mixed & U64(_PRIME), (mixed >> U64(31)) & U64(_PRIME))
+        for half, (pw, ipw) in zip(halves, powers(n + 1), strict=True):
+            term = half * pw[:n]
+            if not narrow or n >= 1 << 23:
+                term = _fold(term)
+            sums = np.zeros(n + 1, U64)
+            np.cumsum(term, out=sums[1:])
+            self.lanes.append((sums, ipw))
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        h = (self.sums[stop] - self.sums[start]) * self.ipw[start]
-        h ^= (np.asarray(stop - start)).astype(U64) * U64(0xD6E8FEB86659FD93)
-        return mix64(h)
+        one, two = (_rest(_fold(sums[stop] - sums[start]) * ipw[start]) for sums, ipw in self.lanes)
+        return mix64(((one << U64(31)) | two) ^ (np.asarray(stop - start)).astype(U64) * U64(0xD6E8FEB86659FD93))
 
     def sliding(self, width: int) -> np.ndarray:
         """Hash of each span of this width."""
-        n = max(0, len(self.sums) - width)
-        return mix64((self.sums[width:] - self.sums[:n]) * self.ipw[:n])
+        start = np.arange(max(0, len(self.lanes[0][0]) - width))
+        return self(start, start + width)
+
+
+def byte_grams(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` bytes (a multiple of 8)."""
+    n = max(0, len(buf) - width + 1)
+    padded = np.ascontiguousarray(buf)
+    out = np.zeros(n, U64)
+    for k in range(0, width, 8):
+        eight = np.ndarray((n,), "<u8", padded, offset=k, strides=(1,)) if n else out
+        out = mix64(out ^ eight) * U64(0x9E3779B97F4A7C15 + 2 * k)
+    return mix64(out)
+
+
+def distinct_spans(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First span of each distinct content, and the place of each span's content in that list. Exact: spans of one hash
+    are compared with the first of them, and those that differ are told apart by their own values."""
+    h = SpanHash(values.astype(U64), values.dtype == np.uint8)(start, stop)
+    _, first, slot = np.unique(h, return_index=True, return_inverse=True)
+    head = first[slot]
+    size = stop - start
+    wrong = size != size[head]
+    for cut in range(0, len(start), 1 << 16):
+        part = slice(cut, cut + (1 << 16))
+        n = np.where(wrong[part], 0, size[part])
+        differs = values[ragged(start[part], n)] != values[ragged(start[head[part]], n)]
+        if differs.any():
+            wrong[cut + np.unique(np.repeat(np.arange(len(n)), n)[differs])] = True
+    if wrong.any():
+        seen: dict[bytes, int] = {}
+        extra = []
+        for k in np.flatnonzero(wrong).tolist():
+            content = values[start[k] : stop[k]].tobytes()
+            if content not in seen:
+                seen[content] = len(first) + len(extra)
+                extra.append(k)
+            slot[k] = seen[content]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return first, slot
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -220,3 +220,46 @@ def test_rounds_of_the_mix_are_cut_differently(spark):
     docs = spark.createDataFrame([(1, text, "en", "a", len(text))] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     one, two = [list(r.pieces) for r in pipe.pieces(spark, docs, "").collect()]
     assert one != two
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    from helixframe.llm import merge_dropout, token_counts
+    from helixframe.llm.vec import SpanHash, distinct_spans
+
+    rows = [(i, t) for n in (512, 1024, 2048, 4096) for i, t in enumerate(thue_morse(n))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert all(r.lossless for r in merge_dropout.digests(docs, PIECES, rate=0.0).collect())
+    one = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs.where("length(text) = 1024"), VOCABULARY).collect()}
+    for i, t in enumerate(thue_morse(1024)):
+        alone = token_counts.token_counts(spark.createDataFrame([(i, t)], "doc_id bigint, text string"), VOCABULARY)
+        assert alone.first().n_tokens == one[i]
+    buf = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    stop = np.cumsum([len(t) for _, t in rows])
+    start = stop - [len(t) for _, t in rows]
+    assert len(set(SpanHash(buf.astype(np.uint64) + np.uint64(1), narrow=True)(start, stop).tolist())) == len(rows)
+    first, slot = distinct_spans(buf, np.concatenate([start, start]), np.concatenate([stop, stop]))
+    assert sorted(first.tolist()) == list(range(8)) and slot[:8].tolist() == slot[8:].tolist()
+
+
+def test_spans_of_one_hash_are_told_apart(monkeypatch):
+    from helixframe.llm import vec
+
+    monkeypatch.setattr(vec.SpanHash, "__call__", lambda self, start, stop: np.zeros(len(start), np.uint64))
+    buf = np.frombuffer(b"aabbabaab", np.uint8)
+    start, stop = np.array([0, 2, 4, 6, 0, 3, 8]), np.array([2, 4, 6, 8, 1, 4, 9])
+    first, slot = vec.distinct_spans(buf, start, stop)
+    content = [buf[a:b].tobytes() for a, b in zip(start, stop)]
+    assert [content[first[s]] for s in slot] == content and len(first) == len(set(content))
+
+
+def test_very_long_word(spark):
+    from helixframe.llm import token_counts as op
+
+    text = "qzxj" * 50_000
+    long, short = op.token_counts(spark.createDataFrame([(1, text), (2, text[:400])], "doc_id bigint, text string"), VOCABULARY).orderBy("doc_id").collect()
+    assert long.n_words == 1 and abs(long.n_tokens / short.n_tokens - 500) < 20
