@@ -160,10 +160,11 @@ def row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 1500, windows_per_row: int = 4, max_languages: int = 256, epochs: int = 6, seed: int = 7) -> ByteConvNet | None:
-    """Train on at most sample_rows of the rows; languages beyond the max_languages most frequent aren't learnt."""
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 1500, windows_per_row: int = 4, epochs: int = 6, seed: int = 7) -> ByteConvNet | None:
+    """Train on at most sample_rows of the rows, drawn evenly from the languages (the most frequent ones, should there be more
+    languages than that)."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
+    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(sample_rows).collect()
     if not counts:
         return None
     many = F.create_map(*[F.lit(x) for r in counts for x in (r[0], float(r[1]))])
@@ -187,8 +188,8 @@ def held_out(id_col: str) -> Column:
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
-    """Every row of docs with its columns, held_out, lang_pred and score. labelled: the rows to learn from; by
-    default those of docs that aren't held out."""
+    """Every row of docs with its columns, held_out, lang_pred and score, which take the place of columns of docs by these
+    names. labelled: the rows to learn from; by default those of docs that aren't held out."""
     if labelled is None:
         labelled = docs.where(~held_out(id_col))
     net = fit(labelled, id_col, text_col, lang_col, **how)

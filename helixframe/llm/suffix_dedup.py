@@ -1,28 +1,30 @@
 """Operator 4: suffix-array dedup by the difference-cover algorithm.
 
-A byte goes where it is covered by a string of ``LENGTH`` bytes that also starts anywhere else. Strings are compared
-inside texts only and judged on the input.
+A byte goes where it is covered by a string of ``length`` bytes that also starts anywhere else (``ANY``), in a row with another
+id (``OTHER``), or at an earlier place (``LATER``, which leaves the first occurrence; places are ordered by id, text hash and
+offset). Strings are compared inside texts only and judged on the input.
 
 A suffix array over all bytes of a large corpus is sorted many times over to tell apart suffixes of which most
 share nothing with any other, so the order is only built where two strings can be equal:
 
 1. Each start of a string is keyed by the least hash among the ``GRAM``-byte grams of its string; equal strings have
    equal keys. Neighbouring starts with one key are a run. Where a key's gram occurs once, nothing in its run is repeated.
-2. Runs that agree in all of their bytes are repeated throughout.
-3. What is left are runs that share a key and differ somewhere. Their starts are lined up at the gram and cut
-   into pieces of ``PIECE`` starts. The bytes that all strings of a piece have in common are its core; a core that
-   occurs once ends the piece, pieces that are equal throughout are repeated throughout.
-4. Pieces that share a core and differ beside it are written as symbols: bytes left of the core, one symbol for the
-   core, bytes right of it. The suffixes of these symbol strings are sorted by the difference-cover algorithm: sampled triples
-   (positions 1 and 2 modulo 3) are sorted and named, the names' own suffixes are sorted by recursion, and the
-   remaining suffixes are merged in. Starts whose strings agree with a neighbour's in that order are repeated. The groups
-   are dealt over the tasks by their core, so that tasks sort independent parts of the one suffix order.
-5. Groups of more than ``GROUP`` different pieces are not gathered: their strings are counted one by one, by hash.
-
-Every step is exact (up to equal 64-bit hashes of unequal strings) and no step drops a case.
-
-Defined results: null and empty texts have no bytes; repeated rows are documents of their own, which repeat each other;
-rows with a null id take part like others.
+2. Runs that agree in all of their bytes are one class: it stands for all of them from here on.
+3. The starts of one run of each class are lined up at the gram and cut into pieces of ``PIECE`` starts. The bytes that all
+   strings of a piece have in common are its core; equal pieces are one kind, and a core of one kind ends there.
+4. Kinds that share a core and differ beside it are written as symbols: bytes left of the core, one symbol for the
+   core, bytes right of it. Their suffixes are ordered by the difference-cover algorithm as Spark sorts (:func:`order`):
+   sampled triples (positions 1 and 2 modulo 3) are sorted and named, the strings of names are ordered by recursion, and
+   the remaining suffixes, keyed by their first symbol and the order of the suffix behind it, are sorted in. Since the kinds
+   are lined up at their core, equal strings start at equal positions, and only suffixes of one core and position have to be
+   told apart; the core and the position therefore lead every sort key.
+5. Neighbours in that order whose first ``PIECE`` symbols agree, byte by byte, are equal strings.
+
+Sorts deal ties over the tasks by the kind, so groups of any size are spread. Classes, kinds and cores are told apart by 124
+bits of hashes from prime fields.
+
+Defined results: null and empty texts have no bytes; repeated rows are documents of their own, which repeat each other (but
+have one place and one id for ``LATER`` and ``OTHER``); rows with a null id take part like others, and come first.
 """
 
 from __future__ import annotations
@@ -34,270 +36,420 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import run_packs
-from .frames import release, stored
+from .frames import partitions, stored
 from .sieve import passes, sieve
-from .vec import SpanHash, anchor_runs, mix64, ragged, row_of, slices, text_buffer
-
-LENGTH, GRAM, PIECE, GROUP = 400, 32, 32, 4096
-
-
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array of a sequence of integers (below 2**63), by the difference cover {1, 2} modulo 3."""
-    n = len(symbols)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: list(symbols[i:])), np.int64)
-    s = np.zeros(n + 3, np.int64)
-    s[:n] = np.unique(symbols, return_inverse=True)[1] + 1
-    bits = int(s.max() + 1).bit_length()
-    if 3 * bits > 63:
-        raise ValueError("too many symbols for one task")
-    # sort sampled triples and name them
-    sample = np.flatnonzero(np.arange(n + (n % 3 == 1)) % 3)
-    sample = np.concatenate([sample[sample % 3 == 1], sample[sample % 3 == 2]])
-    triple = (s[sample] << 2 * bits) | (s[sample + 1] << bits) | s[sample + 2]
-    order = np.argsort(triple, kind="stable")
-    ordered = triple[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(fresh)
-    if fresh.all():
-        sorted_sample = sample[order]
-    else:
-        sorted_sample = sample[suffix_order(names)]
-    rank = np.zeros(n + 4, np.int64)
-    rank[sorted_sample] = np.arange(1, len(sorted_sample) + 1)
-    sorted_sample = sorted_sample[sorted_sample < n]
-    # merge the remaining suffixes: each finds its place among the sampled ones by bisection
-    rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], s[rest]))]
-    low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(sorted_sample), np.int64)
-    while (low < high).any():
-        mid = (low + high) // 2
-        i = sorted_sample[np.minimum(mid, len(sorted_sample) - 1)]
-        one = i % 3 == 1
-        next_i, next_j = np.where(one, rank[i + 1], s[i + 1]), np.where(one, rank[rest + 1], s[rest + 1])
-        less = (s[i] < s[rest]) | ((s[i] == s[rest]) & ((next_i < next_j) | ((next_i == next_j) & ~one & (rank[i + 2] < rank[rest + 2]))))
-        active = low < high
-        low = np.where(active & less, mid + 1, low)
-        high = np.where(active & ~less, mid, high)
-    out = np.empty(n, np.int64)
-    at = low + np.arange(len(rest))
-    out[at] = rest
-    free = np.ones(n, bool)
-    free[at] = False
-    out[free] = sorted_sample
-    return out
+from .vec import SpanHash, anchor_runs, byte_grams, mix64, ragged, row_of, slices, text_buffer
+
+GRAM, PIECE = 32, 16
+ANY, OTHER, LATER = "any", "other", "later"
+#: Bytes of the strings of the contract, and of a passage of about fifty short words.
+LENGTH, PASSAGE = 400, 200
+
+_U = np.uint64
+
+
+class Strings:
+    """The runs of a batch's strings of one length."""
+
+    def __init__(self, batch: pa.RecordBatch, length: int, prepared: tuple | None = None):
+        self.length = length
+        if prepared is None:
+            self.buf, self.off = text_buffer(batch.column(1))
+            prepared = self.buf, self.off, SpanHash(self.buf.astype(_U) + _U(1), narrow=True), byte_grams(self.buf, GRAM)
+        self.prepared = prepared
+        self.buf, self.off, self.h, self.grams = prepared
+        least, self.lo, self.hi = anchor_runs(self.grams, self.off, length, GRAM)
+        self.gram = least
+        self.key = mix64(least + _U(length))
+        self.row = row_of(self.lo, self.off)
+        self.batch = batch
+
+    def places(self) -> np.ndarray:
+        """How often each run holds its gram."""
+        count = self.hi - self.lo + self.length - GRAM
+        equal = np.concatenate([[0], np.cumsum(self.grams[ragged(self.lo, count)] == np.repeat(self.gram, count))])
+        end = np.cumsum(count)
+        return (equal[end] - equal[end - count]).astype(np.int32)
+
+    def whole(self) -> np.ndarray:
+        return self.h(self.lo, self.hi - 1 + self.length)
+
+    def names(self) -> np.ndarray:
+        """A name of each run by its text, id and place."""
+        of_row = mix64(self.batch.column(2).to_numpy().view(_U) + mix64(self.batch.column(0).fill_null(-1).to_numpy().view(_U)))
+        return mix64(self.key ^ mix64(of_row[self.row] + (self.lo - self.off[self.row]).astype(_U)))
+
+    def pieces(self, some: np.ndarray) -> dict[str, np.ndarray]:
+        """Pieces of these runs: core, piece (hashes), run, at (first start, in the buffer), v0, v1 (first and last start
+        that the piece has)."""
+        reach = self.length - GRAM
+        lo, hi = self.lo[some], self.hi[some]
+        # every place of the key's gram in a run; a start belongs to the first such place in its string
+        count = hi - lo + reach
+        place, run = ragged(lo, count), np.repeat(np.arange(len(lo)), count)
+        found = self.grams[place] == self.gram[some][run]
+        place, run = place[found], run[found]
+        before = np.full(len(place), -1, np.int64)
+        before[1:] = np.where(run[1:] == run[:-1], place[:-1], -1)
+        first, stop = np.maximum(lo[run], before + 1), np.minimum(hi[run], place + 1)
+        ok = first < stop
+        place, run, first, stop = place[ok], run[ok], first[ok], stop[ok]
+        base = place - reach
+        q0, q1 = (first - base) // PIECE, (stop - 1 - base) // PIECE
+        each = np.repeat(np.arange(len(place)), q1 - q0 + 1)
+        q = ragged(q0, q1 - q0 + 1)
+        at = base[each] + q * PIECE
+        run = run[each]
+        # every start lies in one piece of one run
+        v0, v1 = np.maximum(0, first[each] - at), np.minimum(PIECE - 1, stop[each] - 1 - at)
+        core = mix64(self.h(at + PIECE - 1, at + self.length) ^ mix64(self.key[some][run] + q.astype(_U)))
+        left, right = self.h(at + v0, at + PIECE - 1), self.h(at + self.length, at + v1 + self.length)
+        piece = mix64(mix64(left + _U(3)) ^ mix64(right * _U(5) + v0.astype(_U) * _U(64) + v1.astype(_U)))
+        return {"core": core, "piece": piece, "run": np.flatnonzero(some)[run], "at": at, "v0": v0, "v1": v1}
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _of_batches(lengths: tuple[int, ...], columns: str, rows):
+    """A mapInArrow kernel that yields rows(strings, number of the length) of every slice and length."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def kernel(batches):
+        for batch in slices(batches, "text", 2 << 20):
+            prepared = None
+            for w, length in enumerate(lengths):
+                strings = Strings(batch, length, prepared)
+                prepared = strings.prepared
+                yield pa.RecordBatch.from_arrays(rows(strings, w), names=names)
+
+    return kernel
+
+
+def _keys(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    def rows(s, w):
+        key, at = np.unique(s.key, return_inverse=True)
+        return [_long(key), pa.array(np.bincount(at, s.places(), len(key)).astype(np.int64))]
+
+    schema = "key bigint, places bigint"
+    return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
+
+
+def _runs(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFrame:
+    """Runs whose key passes: whole: hash of the run's bytes, name: of its own, lo: first start, n: starts, places: of the
+    key's gram."""
 
+    def rows(s, w):
+        some = passes(bitmap.value, s.key)
+        row = pa.array(s.row[some])
+        lo = s.lo - s.off[s.row]
+        return [pa.array(np.full(int(some.sum()), w, np.int32)), _long(s.key[some]), _long(s.whole()[some]), _long(s.names()[some]), s.batch.column(0).take(row), s.batch.column(2).take(row), pa.array(lo[some]), pa.array((s.hi - s.lo)[some].astype(np.int32)), pa.array(s.places()[some])]
 
-def repeated_suffixes(symbols: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which starts have a first ``length`` symbols that equal those of another of the starts."""
-    wanted = np.zeros(len(symbols), bool)
-    wanted[starts] = True
-    order = suffix_order(symbols)
-    order = order[wanted[order]]
-    padded = np.concatenate([symbols, np.full(length, -1)])
-    same = np.zeros(len(order), bool)
-    for cut in range(1, len(order), 1 << 15):
-        a, b = order[cut - 1 : cut - 1 + (1 << 15)], order[cut : cut + (1 << 15)]
-        equal = np.ones(len(b), bool)
-        for k in range(length):
-            equal &= padded[a[: len(b)] + k] == padded[b + k]
-        same[cut : cut + len(b)] = equal
-    hit = same.copy()
-    hit[:-1] |= same[1:]
-    found = np.zeros(len(symbols), bool)
-    found[order[hit]] = True
-    return found[starts]
-
-
-def _runs(texts: DataFrame) -> DataFrame:
-    """key, whole (hash of the run's bytes), doc_id, row, lo (first start), n (starts), places (of the key's gram) of
-    every run."""
+    schema = "w int, key bigint, whole bigint, name bigint, doc_id bigint, row bigint, lo bigint, n int, places int"
+    return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
+
+
+def _pieces(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFrame:
+    """Pieces of the runs whose name passes; rel: first start, counted from the run's."""
+
+    def rows(s, w):
+        name = s.names()
+        p = s.pieces(passes(bitmap.value, name))
+        sides = []
+        for start, size in ((p["at"] + p["v0"], PIECE - 1 - p["v0"]), (p["at"] + s.length, p["v1"])):
+            end = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            sides.append(pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(end.tobytes()), pa.py_buffer(s.buf[ragged(start, size)].tobytes())]))
+        return [_long(p["core"]), _long(p["piece"]), _long(name[p["run"]]), pa.array(p["at"] - s.lo[p["run"]]), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32)), *sides]
+
+    schema = "core bigint, piece bigint, name bigint, rel bigint, v0 int, v1 int, left binary, right binary"
+    return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
+
+
+def ranked(rows: DataFrame, by: list[str], label: str, equal: list[str] | None = None) -> DataFrame:
+    """The rows, sorted by the columns ``by`` over all tasks, with part and k: the place, in its task, of the row's run of equal
+    values in the columns ``equal`` (by default ``by``). Ties are dealt over the tasks by u."""
+    equal = equal or by
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def kernel(batches):
-        for batch in slices(batches, "text", 2 << 20):
-            buf, off = text_buffer(batch.column(1))
-            h = SpanHash(buf.astype(np.uint64) + np.uint64(1), narrow=True)
-            grams = h.sliding(GRAM)
-            key, lo, hi = anchor_runs(grams, off, LENGTH, GRAM)
-            row = row_of(lo, off)
-            at = pa.array(row)
-            count = hi - lo + LENGTH - GRAM
-            equal = np.concatenate([[0], np.cumsum(grams[ragged(lo, count)] == np.repeat(key, count))])
-            end = np.cumsum(count)
-            places = (equal[end] - equal[end - count]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h(lo, hi - 1 + LENGTH).view(np.int64)), batch.column(0).take(at), batch.column(2).take(at), pa.array(lo - off[row]), pa.array((hi - lo).astype(np.int32)), pa.array(places)], names=["key", "whole", "doc_id", "row", "lo", "n", "places"])
-
-    return texts.mapInArrow(kernel, "key bigint, whole bigint, doc_id bigint, row bigint, lo bigint, n int, places int")
-
-
-def cut_pieces(buf: np.ndarray, off: np.ndarray, bitmap: np.ndarray) -> dict[str, np.ndarray]:
-    """Pieces of the runs whose bytes' hash passes the sieve: core, piece (hashes), row, at (first start, in the
-    buffer), v0, v1 (first and last start inside the text)."""
-    h = SpanHash(buf.astype(np.uint64) + np.uint64(1), narrow=True)
-    grams = h.sliding(GRAM)
-    key, lo, hi = anchor_runs(grams, off, LENGTH, GRAM)
-    some = passes(bitmap, h(lo, hi - 1 + LENGTH))
-    key, lo, hi = key[some], lo[some], hi[some]
-    reach = LENGTH - GRAM
-    # every place of the key's gram in a run; a start belongs to the first such place in its string
-    count = hi - lo + reach
-    place, run = ragged(lo, count), np.repeat(np.arange(len(lo)), count)
-    found = grams[place] == key[run]
-    place, run = place[found], run[found]
-    before = np.full(len(place), -1, np.int64)
-    before[1:] = np.where(run[1:] == run[:-1], place[:-1], -1)
-    first, stop = np.maximum(lo[run], before + 1), np.minimum(hi[run], place + 1)
-    ok = first < stop
-    place, run, first, stop = place[ok], run[ok], first[ok], stop[ok]
-    base = place - reach
-    q0, q1 = (first - base) // PIECE, (stop - 1 - base) // PIECE
-    each = np.repeat(np.arange(len(place)), q1 - q0 + 1)
-    q = ragged(q0, q1 - q0 + 1)
-    at = base[each] + q * PIECE
-    run = run[each]
-    row = row_of(lo[run], off)
-    v0, v1 = np.maximum(0, off[row] - at), np.minimum(PIECE - 1, off[row + 1] - LENGTH - at)
-    core = mix64(h(at + PIECE - 1, at + LENGTH) ^ mix64(key[run] + q.astype(np.uint64)))
-    # two cuts of one long run name the pieces at their border twice
-    _, once = np.unique(core + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-    core, at, row, v0, v1 = core[once], at[once], row[once], v0[once], v1[once]
-    left, right = h(at + v0, at + PIECE - 1), h(at + LENGTH, at + v1 + LENGTH)
-    piece = mix64(core ^ mix64(left + np.uint64(3)) ^ mix64(right * np.uint64(5) + v0.astype(np.uint64) * np.uint64(64) + v1.astype(np.uint64)))
-    return {"core": core, "piece": piece, "row": row, "at": at, "v0": v0, "v1": v1}
-
-
-def _pieces(texts: DataFrame, bitmap) -> DataFrame:
+        from pyspark import TaskContext
+
+        part, last, k = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            now = []
+            for name in equal:
+                col = batch.column(batch.schema.get_field_index(name))
+                if pa.types.is_binary(col.type):
+                    col = col.dictionary_encode()
+                    now.append(col.dictionary[col.indices[-1].as_py()].as_py())
+                    head = col.dictionary[col.indices[0].as_py()].as_py()
+                    values = col.indices.to_numpy()
+                else:
+                    values = col.to_numpy()
+                    now.append(int(values[-1]))
+                    head = int(values[0])
+                new[1:] |= values[1:] != values[:-1]
+                new[0] |= last is None or head != last[len(now) - 1]
+            place = k + np.cumsum(new)
+            k, last = int(place[-1]), now
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(new), part, np.int32)), pa.array(place.astype(np.int64))], names=[*batch.schema.names, "part", "k"])
+
+    keys = [*by, "u"]
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return stored(dealt.mapInArrow(kernel, f"{schema}, part int, k bigint"), label)
+
+
+def joints(placed: DataFrame, by: list[str]) -> list[tuple[int, int, bool]]:
+    """Of every task in turn: its number, its distinct values, and whether its first equal the last of the one before."""
+    at = F.struct(*by)
+    edges = placed.groupBy("part").agg(F.max("k").alias("n"), F.min_by(at, "k").alias("first"), F.max_by(at, "k").alias("last")).orderBy("part").collect()
+    return [(r.part, r.n, i > 0 and r.first == edges[i - 1].last) for i, r in enumerate(edges)]
+
+
+def named(rows: DataFrame, by: list[str], label: str) -> DataFrame:
+    """u, p, name of the rows: equal where the columns ``by`` are, and in their order."""
+    placed = ranked(rows, by, label)
+    offsets, total = [], 0
+    for part, n, joined in joints(placed, by):
+        offsets.append((part, total - joined))
+        total += n - joined
+    # a row for each task
+    offsets = rows.sparkSession.createDataFrame(offsets, "part int, off bigint")
+    return placed.join(F.broadcast(offsets), "part").select("u", "p", (F.col("k") + F.col("off")).alias("name"))
+
+
+def _row_arrays(names: DataFrame, positions: list[int], width: int) -> DataFrame:
+    """u, s: array of the names, that of position p at its place in ``positions``; 0 where there is none."""
+    got = names.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("p", "name"))).alias("m"))
+    place = {p: i for i, p in enumerate(positions)}
+    of = {i: p for p, i in place.items()}
+    return got.select("u", F.array(*(F.coalesce(F.element_at("m", F.lit(of[i])), F.lit(0).cast("bigint")) if i in of else F.lit(0).cast("bigint") for i in range(width))).alias("s"))
+
+
+def order(strings: DataFrame, width: int, need: list[int], depth: int, label: str = "order") -> DataFrame:
+    """u, r: the order of the suffixes at the positions ``need`` of each string among those at the same position of other
+    strings of its core; equal where they agree in ``depth`` symbols at least, or to the end.
+
+    strings: core, u (unique), s: array of ``width`` symbols.
+    """
+    if depth <= 1:
+        return strings.select("u", F.array(*(F.get("s", F.lit(x)) for x in need)).alias("r"))
+    symbol = lambda x: F.get("s", F.lit(x)) if x < width else F.lit(0).cast("bigint")
+    # the sampled suffixes that decide: those needed, and those behind the others
+    sample = sorted({x if x % 3 else x + 1 for x in need})
+    triples = sorted({p + 3 * j for p in sample for j in range(-(-depth // 3)) if p + 3 * j < width or not j})
+    places = [*(p for p in triples if p % 3 == 1), *(p for p in triples if p % 3 == 2)]
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), symbol(p).alias("a"), symbol(p + 1).alias("b"), symbol(p + 2).alias("c")) for p in triples)))
+    rows = strings.select("core", "u", each.alias("e")).select("core", "u", "e.*")
+    names = stored(_row_arrays(named(rows, ["core", "p", "a", "b", "c"], f"{label}-triples"), places, len(places)), f"{label}-names")
+    reduced = strings.select("core", "u").join(names, "u")
+    below = order(reduced, len(places), [places.index(p) for p in sample], -(-depth // 3), f"{label}-{len(places)}")
+    at = {p: F.get("r", F.lit(i)) for i, p in enumerate(sample)}
+    met = stored(strings.join(below, "u"), f"{label}-below")
+    rest = [x for x in need if x % 3 == 0]
+    if not rest:
+        return met.select("u", F.array(*(at[x] for x in need)).alias("r"))
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("p"), symbol(x).alias("a"), at[x + 1].alias("b")) for x in rest)))
+    others = named(met.select("core", "u", each.alias("e")).select("core", "u", "e.*"), ["core", "p", "a", "b"], f"{label}-rest")
+    others = _row_arrays(others, rest, len(rest)).select("u", F.col("s").alias("q"))
+    full = met.join(others, "u")
+    return full.select("u", F.array(*(at[x] if x % 3 else F.get("q", F.lit(rest.index(x))) for x in need)).alias("r"))
+
+
+def _symbols(kinds: DataFrame) -> DataFrame:
+    """core, u, s: triples of bytes around the core as numbers, which need no sort to be named: those at 1, 4, ... of the
+    2 * PIECE - 1 symbols, then those at 2, 5, ..."""
+    width = 2 * PIECE - 1
+    places = [*range(1, width, 3), *range(2, width, 3)]
+
     def kernel(batches):
-        for batch in slices(batches, "text", 2 << 20):
-            buf, off = text_buffer(batch.column(1))
-            p = cut_pieces(buf, off, bitmap.value)
-            raw = pa.py_buffer(buf.tobytes())
-            sides = []
-            for start, size in ((p["at"] + p["v0"], PIECE - 1 - p["v0"]), (p["at"] + LENGTH, p["v1"])):
-                data = np.frombuffer(raw, np.uint8)[ragged(start, size)].tobytes()
-                sides.append(pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(data)]))
-            rows = pa.array(p["row"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(p["core"].view(np.int64)), pa.array(p["piece"].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(p["at"] - off[p["row"]]), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32)), *sides],
-                names=["core", "piece", "doc_id", "row", "at", "v0", "v1", "left", "right"],
-            )
-
-    return texts.mapInArrow(kernel, "core bigint, piece bigint, doc_id bigint, row bigint, at bigint, v0 int, v1 int, left binary, right binary")
-
-
-def sort_pieces(table: pa.Table) -> pa.RecordBatch:
-    """core, piece, mask of the pieces of whole groups: the bits of the starts that another piece's start repeats."""
-    n = table.num_rows
-    v0, v1 = (table.column(c).to_numpy() for c in ("v0", "v1"))
-    core = np.unique(table.column("core").to_numpy(), return_inverse=True)[1]
-    width = 2 * PIECE
-    symbols = np.zeros((n, width), np.int64)
-    symbols[:, PIECE - 1] = 257 + core
-    grid = np.arange(width)
-    for name, inside in (("left", (grid >= v0[:, None]) & (grid < PIECE - 1)), ("right", (grid >= PIECE) & (grid < (PIECE + v1)[:, None]))):
-        symbols[inside] = np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint8) + 1
-    valid = (grid[:PIECE] >= v0[:, None]) & (grid[:PIECE] <= v1[:, None])
-    row, t = np.nonzero(valid)
-    hit = repeated_suffixes(symbols.ravel(), row * width + t, PIECE)
-    mask = np.zeros(n, np.int64)
-    np.bitwise_or.at(mask, row[hit], np.int64(1) << t[hit])
-    return pa.RecordBatch.from_arrays([table.column("core").combine_chunks(), table.column("piece").combine_chunks(), pa.array(mask)], names=["core", "piece", "mask"])
-
-
-def _count_strings(wide: DataFrame) -> DataFrame:
-    """As sort_pieces, for groups of any size: strings are counted by their hash."""
-    t = F.explode(F.sequence("v0", "v1"))
-    each = wide.select("core", "piece", "v0", "left", "right", t.alias("t"))
-    string = F.xxhash64("core", "t", F.substring("left", F.col("t") - F.col("v0") + 1, F.lit(PIECE)), F.substring("right", F.lit(1), F.col("t")))
-    each = each.select("core", "piece", "t", string.alias("string"))
-    twice = each.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            s = np.zeros((n, width + 3), np.int64)
+            s[:, PIECE - 1] = 257
+            grid = np.arange(width + 3)
+            v0, v1 = col["v0"].to_numpy(), col["v1"].to_numpy()
+            for name, inside in (("left", (grid >= v0[:, None]) & (grid < PIECE - 1)), ("right", (grid >= PIECE) & (grid < (PIECE + v1)[:, None]))):
+                s[inside] = np.frombuffer(b"".join(col[name].to_pylist()), np.uint8).astype(np.int64) + 1
+            triple = (s[:, :-2] << 18) | (s[:, 1:-1] << 9) | s[:, 2:]
+            out = np.concatenate([triple[:, places], s[:, : PIECE]], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * out.shape[1], out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([col["core"], col["u"], lists], names=["core", "u", "s"])
+
+    return kinds.select("core", "u", "v0", "v1", "left", "right").mapInArrow(kernel, "core bigint, u bigint, s array<bigint>")
+
+
+def equal_strings(kinds: DataFrame) -> DataFrame:
+    """u, t, and n, low, high, first of all kinds that hold the string at start t: sums and extremes over them, first moved
+    by t. Kinds: core, u, v0, v1, left, right, n, low, high, first."""
+    symbols = stored(_symbols(kinds), "symbols")
+    width = 2 * PIECE - 1
+    places = [*range(1, width, 3), *range(2, width, 3)]
+    sample = sorted({t if t % 3 else t + 1 for t in range(PIECE)})
+    below = order(symbols, len(places), [places.index(p) for p in sample], -(-PIECE // 3))
+    # all suffixes by first symbol (of the rest) and order behind it
+    own = {p: F.get("r", F.lit(i)) for i, p in enumerate(sample)}
+    byte = lambda t: F.get("s", F.lit(len(places) + t))
+    zero = F.lit(0).cast("bigint")
+    each = F.array(*(F.struct(F.lit(t).alias("p"), (zero if t % 3 else byte(t)).alias("a"), (own[t] if t % 3 else own[t + 1]).alias("b")) for t in range(PIECE)))
+    suffixes = symbols.join(below, "u").select("u", each.alias("each"))
+    sides = kinds.select("u", "core", "v0", "v1", "left", "right", "n", "low", "high", "first").join(suffixes, "u")
+    rows = sides.select("*", F.explode("each").alias("e")).select("*", "e.*").where("p between v0 and v1")
+    string = F.concat(F.expr("substring(left, p - v0 + 1)"), F.expr("substring(right, 1, p)"))
+    first = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), (F.col("first.at") + F.col("p")).alias("at"))
+    rows = stored(rows.select("core", "u", "p", "a", "b", string.alias("string"), "n", "low", "high", first.alias("first")), "suffixes")
+    # neighbours may differ further on: equal are those whose own symbols are
+    equal = ["core", "p", "string"]
+    placed = ranked(rows, ["core", "p", "a", "b"], "suffix-order", equal)
+    total = [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")]
+    classes = stored(placed.groupBy("part", "k").agg(*total), "string-classes")
+    # classes that go on in the next task: at most one a task
+    group, across = 0, []
+    before = None
+    for part, n, joined in joints(placed, equal):
+        if joined:
+            across += [] if across and across[-1][:2] == before else [(*before, group)]
+            across.append((part, 1, across[-1][2]))
+        group += 1
+        before = (part, n)
+    same = F.broadcast(rows.sparkSession.createDataFrame(across, "part int, k bigint, joint int"))
+    spread = classes.join(same, ["part", "k"])
+    summed = spread.groupBy("joint").agg(*total)
+    whole = spread.select("part", "k", "joint").join(summed, "joint").drop("joint")
+    classes = classes.join(same, ["part", "k"], "left_anti").unionByName(whole)
+    mine = placed.select("part", "k", "u", F.col("p").alias("t"), F.col("first").alias("mine"))
+    return mine.join(classes, ["part", "k"])
+
+
+def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (hash of the text), spans: array of (w, at, n, mask): of the wanted length w, starts at + t, t < n, are
+    repeated where bit t of mask is set, all of them where it is null."""
+    lengths = tuple(length for length, _ in wanted)
+    if min(lengths) < GRAM + 2 * PIECE:
+        raise ValueError(f"strings of fewer than {GRAM + 2 * PIECE} bytes can't be keyed")
+    which = F.array(*(F.lit(how) for _, how in wanted))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
+    keys = _keys(texts, lengths).groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
+    runs = stored(_runs(texts, lengths, sieve(keys, "key")), "runs").withColumn("how", F.get(which, F.col("w")))
+    place = F.struct("doc_id", "row", F.col("lo").alias("at"))
+    # an id that is null is one of its own, before all others
+    low, high = F.min(F.struct("doc_id")).alias("low"), F.max(F.struct("doc_id")).alias("high")
+    classes = stored(runs.groupBy("w", "how", "key", "whole").agg(F.count("*").alias("m"), F.first("places").alias("places"), F.min(F.struct(place.alias("first"), "name")).alias("head"), low, high), "classes")
+    open_ = classes.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
+    reps = stored(classes.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "m", "low", "high"), "open-classes")
+    pieces = _pieces(texts, lengths, sieve(reps, "name")).join(reps, "name")
+    at = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), (F.col("first.at") + F.col("rel")).alias("at"))
+    pieces = stored(pieces.withColumn("at", at), "pieces")
+    body = [F.first(c).alias(c) for c in ("how", "v0", "v1", "left", "right")]
+    kinds = pieces.groupBy("core", "piece").agg(*body, F.sum("m").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("first"))
+    kinds = stored(kinds.withColumn("u", F.monotonically_increasing_id()), "kinds")
+    ways = kinds.groupBy("core").agg(F.count("*").alias("ways")).where("ways > 1").select("core")
+    beside = stored(kinds.join(ways, "core"), "beside")
+
+    def hit(place):
+        return F.when(F.col("how") == ANY, F.col("n") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("first") < place)
+
+    found = equal_strings(beside.drop("piece", "how")).join(beside.select("u", "how"), "u").where(hit(F.col("mine")))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("t"))
-    return each.join(twice, "string").groupBy("core", "piece").agg(F.bit_or(bit).alias("mask"))
+    masks = stored(found.select("u", bit.alias("bit")).groupBy("u").agg(F.bit_or("bit").alias("mask")), "masks")
+    # of a piece all starts if its own kind says so, else those of the kind's mask
+    verdicts = kinds.join(masks, "u", "left").select("core", "piece", "mask", "n", "low", "high", "first")
+    judged = pieces.select("core", "piece", "how", "key", "whole", "rel", "v0", "v1", "at").join(verdicts, ["core", "piece"])
+    every = F.lit(2**PIECE - 1).cast("bigint")
+    judged = judged.select("key", "whole", F.when(hit(F.col("at")), F.struct((F.col("rel") + F.col("v0")).alias("rel"), (F.col("v1") - F.col("v0") + 1).alias("n"), every.alias("mask"))).otherwise(F.struct("rel", F.lit(PIECE).alias("n"), F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))).alias("piece"))
+    parts = judged.where("piece.mask <> 0").groupBy("key", "whole").agg(F.collect_list("piece").alias("parts"))
+    # runs that their class settles, then the others by its pieces
+    settled = F.when(F.col("how") == ANY, F.col("m") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("head.name") != F.col("name"))
+    of_class = stored(classes.drop("places").join(parts, ["key", "whole"], "left").where(F.col("parts").isNotNull() | (F.col("m") > 1)).drop("w", "how"), "verdicts")
+    met = runs.drop("places").join(of_class, ["key", "whole"])
+    null = F.lit(None).cast("bigint")
+    spans = F.when(settled, F.array(F.struct("w", F.col("lo").alias("at"), F.col("n").alias("n"), null.alias("mask")))).otherwise(F.transform("parts", lambda p: F.struct(F.col("w").alias("w"), (F.col("lo") + p["rel"]).alias("at"), p["n"].alias("n"), p["mask"].alias("mask"))))
+    met = met.select("doc_id", "row", spans.alias("spans")).where("spans is not null")
+    return met.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def covered(n_bytes: int, spans: pa.Scalar, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Which bytes the strings at the repeated starts cover, for each length."""
+    w, at, n, mask = (spans.values.field(c) for c in ("w", "at", "n", "mask"))
+    w, at, n, null = w.to_numpy(), at.to_numpy(), n.to_numpy(), mask.is_null().to_numpy(zero_copy_only=False)
+    bits = mask.fill_null(0).to_numpy()
+    out = []
+    for k, length in enumerate(lengths):
+        edge = np.zeros(n_bytes + 1, np.int64)
+        own = null & (w == k)
+        np.add.at(edge, at[own], 1)
+        np.add.at(edge, at[own] + n[own] - 1 + length, -1)
+        for t in range(PIECE):
+            start = at[~null & (w == k) & (t < n) & ((bits >> t) & 1 == 1)] + t
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + length, -1)
+        out.append(np.cumsum(edge)[:n_bytes] > 0)
+    return out
 
 
-def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """doc_id, row (hash of the text), spans: array of (at, n, mask): starts at + t, t < n, are repeated where bit t of
-    mask is set, all of them where it is null."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
-    runs = stored(_runs(texts), "runs")
-    classes = runs.groupBy("key", "whole").agg(F.count("*").alias("m"), F.sum("places").alias("places"))
-    keys = classes.groupBy("key").agg(F.min("m").alias("least"), F.sum("places").alias("all")).where("all > 1")
-    classes = stored(classes.drop("places").join(keys.drop("all"), "key"), "classes")
-    release(spark)
-    everywhere = runs.join(classes.where("m > 1").select("key", "whole"), ["key", "whole"]).select("doc_id", "row", F.col("lo").alias("at"), "n", F.lit(None).cast("bigint").alias("mask"))
-    everywhere = stored(everywhere, "whole-runs")
-    open_ = classes.where("least = 1").select("whole")
-    pieces = stored(_pieces(texts, sieve(open_, "whole")), "pieces")
-    release(spark)
-    kinds = stored(pieces.groupBy("core", "piece").agg(F.count("*").alias("m")), "piece-kinds")
-    ways = kinds.groupBy("core").agg(F.count("*").alias("ways"), F.min("m").alias("least")).where("ways > 1 and least = 1").drop("least")
-    beside = kinds.join(ways, "core")
-    # one of each kind of piece, with its bytes
-    unlike = pieces.select("core", "piece", "v0", "v1", "left", "right").join(ways, "core").groupBy("core", "piece", "v0", "v1", "left", "right", "ways").agg(F.count("*").alias("m"))
-    unlike = stored(unlike, "unlike")
-    release(spark)
-    few = run_packs(unlike.where(F.col("ways") <= group).select("core", "piece", "v0", "v1", "left", "right"), "core", sort_pieces, "core bigint, piece bigint, mask bigint", group)
-    many = _count_strings(unlike.where(F.col("ways") > group))
-    masks = stored(few.unionByName(many).where("mask <> 0"), "masks")
-    met = pieces.select("core", "piece", "doc_id", "row", "at", "v0", "v1")
-    whole_pieces = met.join(kinds.where("m > 1").select("core", "piece"), ["core", "piece"]).select("doc_id", "row", (F.col("at") + F.col("v0")).alias("at"), (F.col("v1") - F.col("v0") + 1).alias("n"), F.lit(None).cast("bigint").alias("mask"))
-    part_pieces = met.join(masks, ["core", "piece"]).select("doc_id", "row", "at", F.lit(PIECE).alias("n"), "mask")
-    spans = everywhere.unionByName(whole_pieces).unionByName(part_pieces)
-    return spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n", "mask")).alias("spans"))
-
-
-def covered(n_bytes: int, spans: pa.Scalar) -> np.ndarray:
-    """Which bytes the strings at the repeated starts cover."""
-    out = np.zeros(n_bytes + 1, np.int64)
-    at, n, mask = (spans.values.field(c) for c in ("at", "n", "mask"))
-    at, n, null = at.to_numpy(), n.to_numpy(), mask.is_null().to_numpy(zero_copy_only=False)
-    bits = mask.fill_null(0).to_numpy()
-    np.add.at(out, at[null], 1)
-    np.add.at(out, at[null] + n[null] - 1 + LENGTH, -1)
-    for t in range(PIECE):
-        hit = at[~null & ((bits >> t) & 1 == 1)] + t
-        np.add.at(out, hit, 1)
-        np.add.at(out, hit + LENGTH, -1)
-    return np.cumsum(out)[:n_bytes] > 0
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256. With texts_out: all columns of docs, the text cut (bytes
-    of a character that was cut through go with it), and n_chars of it."""
-    spark = docs.sparkSession
-    spans = stored(repeated_starts(docs, id_col, text_col), "spans").withColumnsRenamed({"doc_id": "__sd_id", "row": "__sd_row", "spans": "__sd_spans"})
-    release(spark)
-    kept_columns = docs.columns if texts_out else [id_col, text_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
-    joined = rows.join(spans, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__sd_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__sd_row")), "left").drop("__sd_id", "__sd_row")
-
-    def remaining(batch: pa.RecordBatch):
-        buf, off = text_buffer(batch.column(batch.schema.get_field_index(text_col)))
-        spans = batch.column(batch.num_columns - 1)
-        for i in range(batch.num_rows):
-            own = buf[off[i] : off[i + 1]]
-            gone = covered(len(own), spans[i]) if spans[i].is_valid else np.zeros(len(own), bool)
-            yield own, gone
+def _marked(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col: str, text_col: str) -> DataFrame:
+    """All columns of docs and __sd_spans; only texts that have some are shuffled."""
+    spans = stored(repeated_starts(docs, wanted, id_col, text_col), "spans").withColumnsRenamed({"doc_id": "__sd_id", "row": "__sd_row", "spans": "__sd_spans"})
+    bitmap = sieve(spans.select("__sd_row"), "__sd_row")
+    keyed = docs.withColumn("__sd_key", F.xxhash64(F.col(f"`{text_col}`")))
+
+    def chosen(wish: bool):
+        def kernel(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(passes(bitmap.value, batch.column(batch.num_columns - 1).to_numpy().view(_U)) == wish))
+
+        return keyed.mapInArrow(kernel, keyed.schema)
+
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__sd_id")) & (F.col("__sd_key") == F.col("__sd_row"))
+    hit = chosen(True).join(spans, same, "left").drop("__sd_id", "__sd_row")
+    return hit.unionByName(chosen(False), allowMissingColumns=True).drop("__sd_key")
+
+
+def dedup(docs: DataFrame, wanted: tuple[tuple[int, str], ...] = ((LENGTH, ANY), (PASSAGE, OTHER)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id; n_bytes, and by the first of the wanted lengths n_removed, n_spans, kept_sha256; n_passage: bytes that
+    the second covers (by default: strings of ``PASSAGE`` bytes that also start in another document), if there is one."""
+    lengths = tuple(length for length, _ in wanted)
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    joined = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id", "text")
 
     def digests(batches):
-        for batch in slices(batches, text_col):
-            out = [(len(own), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(own[~gone].tobytes()).hexdigest()) for own, gone in remaining(batch)]
+        for batch in slices(batches, "text"):
+            buf, off = text_buffer(batch.column(1))
+            spans, out = batch.column(2), []
+            for i in range(batch.num_rows):
+                own = buf[off[i] : off[i + 1]]
+                gone = covered(len(own), spans[i], lengths) if spans[i].is_valid else [np.zeros(len(own), bool)] * len(lengths)
+                out.append((len(own), int(gone[0].sum()), int((np.diff(gone[0].astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(own[~gone[0]].tobytes()).hexdigest(), int(gone[-1].sum())))
             columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3]), pa.array(columns[4], pa.int64())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
+
+    out = joined.mapInArrow(digests, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage bigint").withColumnRenamed("id", id_col)
+    return out if len(wanted) > 1 else out.drop("n_passage")
+
+
+def dedup_texts(docs: DataFrame, length: int = PASSAGE, which: str = LATER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs, the text cut (bytes of a character that was cut through go with it), and n_chars of it."""
+    joined = _marked(docs, ((length, which),), id_col, text_col)
 
     def texts(batches):
         for batch in slices(batches, text_col):
             at = batch.schema.get_field_index(text_col)
-            cut = [own[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else own.tobytes().decode() for own, gone in remaining(batch)]
-            columns = [pa.array([c if v.is_valid else None for c, v in zip(cut, batch.column(at), strict=True)], pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            buf, off = text_buffer(batch.column(at))
+            spans, cut = batch.column(batch.num_columns - 1), []
+            for i, valid in enumerate(batch.column(at).is_valid().to_pylist()):
+                own = buf[off[i] : off[i + 1]]
+                if spans[i].is_valid:
+                    own = own[~covered(len(own), spans[i], (length,))[0]]
+                cut.append(own.tobytes().decode("utf-8", "ignore") if valid else None)
+            columns = [pa.array(cut, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    if texts_out:
-        out = joined.mapInArrow(texts, rows.schema)
-        return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return joined.mapInArrow(digests, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", id_col)
+    out = joined.mapInArrow(texts, docs.schema)
+    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -38,44 +38,93 @@ def long_corpus(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-@pytest.mark.parametrize("group", [4096, 1])
-def test_suffix_dedup(spark, empty, group, monkeypatch):
-    import functools
+def repeated_bytes(raw, length, how):
+    """raw: (id, bytes, text hash). Which bytes of each a repeated string covers, by brute force."""
+    found = collections.defaultdict(list)
+    for k, x, h in raw:
+        for i in range(len(x) - length + 1):
+            found[x[i : i + length]].append((k is not None, k or 0, h, i))
+    out = []
+    for k, x, h in raw:
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x) - length + 1):
+            all_ = found[x[i : i + length]]
+            if {"any": len(all_) > 1, "other": len({a[:2] for a in all_}) > 1, "later": min(all_) < (k is not None, k or 0, h, i)}[how]:
+                gone[i : i + length] = True
+        out.append(gone)
+    return out
+
+
+def suffix_rows(table):
+    return [(r.doc_id, (r.text or "").encode(), r.h) for r in table.withColumn("h", F.xxhash64("text")).collect()]
 
+
+def test_suffix_dedup(spark, empty):
     from helixframe.llm import suffix_dedup as op
 
     table = long_corpus(spark)
-    monkeypatch.setattr(op, "repeated_starts", functools.partial(op.repeated_starts, group=group))
-    raw = [(r.doc_id, (r.text or "").encode()) for r in table.collect()]
-    n = collections.Counter(x[i : i + 400] for _, x in raw for i in range(len(x) - 399))
-    want = []
-    for k, x in raw:
-        gone = np.zeros(len(x), bool)
-        for i in range(len(x) - 399):
-            if n[x[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        want.append((-1 if k is None else k, len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest()))
-    got = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.dedup(table).collect()]
+    raw, want = suffix_rows(table), []
+    for (k, x, _), gone, passage in zip(raw, repeated_bytes(raw, 400, "any"), repeated_bytes(raw, 200, "other"), strict=True):
+        want.append((-1 if k is None else k, len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest(), int(passage.sum())))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in op.dedup(table).collect()]
     assert sorted(got) == sorted(want)
     assert op.dedup(empty).count() == 0
 
 
-def test_suffix_order():
-    from helixframe.llm.suffix_dedup import suffix_order
+def test_suffix_dedup_leaves_the_first(spark, docs):
+    from helixframe.llm import suffix_dedup as op
+
+    table = long_corpus(spark)
+    raw = suffix_rows(table)
+    want = [(-1 if k is None else k, np.frombuffer(x, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")) for (k, x, _), gone in zip(raw, repeated_bytes(raw, 200, "later"), strict=True)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in op.dedup_texts(table).collect()) == sorted(want)
+    out = op.dedup_texts(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.where("n_chars <> length(text)").count() == 0
+
+
+def test_suffix_order(spark):
+    from helixframe.llm import suffix_dedup as op
 
     rng = np.random.default_rng(1)
-    for n in (1, 2, 3, 4, 5, 10, 50, 200):
-        for a in (1, 2, 4, 100):
-            x = rng.integers(1, a + 1, n)
-            assert suffix_order(x).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
+    width, depth = 31, 16
+    rows = [(int(i % 2), i, rng.integers(1, 3, width).tolist()) for i in range(60)]
+    rows += [(0, 100 + i, [1] * width) for i in range(20)] + [(0, 200 + i, [1] * 14 + [2] + [1] * i + [3] * (16 - i)) for i in range(16)]
+    need = list(range(16))
+    strings = spark.createDataFrame(rows, "core bigint, u bigint, s array<bigint>")
+    got = {r.u: r.r for r in op.order(strings, width, need, depth).collect()}
+    for x in need:
+        for core in (0, 1):
+            mine = sorted((got[u][x], s[x : x + depth], u) for c, u, s in rows if c == core)
+            assert [m[1] for m in mine] == sorted(m[1] for m in mine)
+            for a, b in zip(mine[:-1], mine[1:], strict=True):
+                assert a[0] != b[0] or a[1] == b[1]
+
+
+def test_group_over_many_tasks(spark):
+    """One class of strings that fills several tasks, beside others."""
+    from helixframe.llm import suffix_dedup as op
+
+    r = random.Random(2)
+    line = "".join(r.choice("abcdefgh ") for _ in range(420))
+    rows = [(i, f"{i:05d}" + "".join(r.choice("xyz") for _ in range(25)) + line + f"{i * 7919 % 99991:05d}" + "".join(r.choice("uvw") for _ in range(30))) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    raw = suffix_rows(table)
+    want = {k: int(g.sum()) for (k, _, _), g in zip(raw, repeated_bytes(raw, 400, "any"), strict=True)}
+    assert {r.doc_id: r.n_removed for r in op.dedup(table).collect()} == want
+    first = {k: len(x) - int(g.sum()) for (k, x, _), g in zip(raw, repeated_bytes(raw, 400, "later"), strict=True)}
+    assert {r.doc_id: len(r.text) for r in op.dedup_texts(table, 400).collect()} == first
 
 
-def test_suffix_texts_out_keeps_columns(spark, docs):
+def test_suffix_dedup_tells_confusable_strings_apart(spark):
     from helixframe.llm import suffix_dedup as op
 
-    out = op.dedup(docs, texts_out=True)
-    assert out.columns == docs.columns and out.count() == docs.count()
-    assert out.where("n_chars <> length(text)").count() == 0
+    from .test_texts import thue_morse
+
+    one, two = thue_morse(2048)
+    table = spark.createDataFrame([(1, one), (2, two.replace("a", "c"))], "doc_id bigint, text string")
+    raw = suffix_rows(table)
+    assert sorted((r.doc_id, r.n_removed) for r in op.dedup(table).collect()) == [(k, int(g.sum())) for (k, _, _), g in zip(raw, repeated_bytes(raw, 400, "any"), strict=True)]
 
 
 def test_debruijn_dedup(spark, docs, empty):
