@@ -2,7 +2,8 @@
 
 1. language: documents whose language can't be told go (no letters, or no language reaches ``MIN_SCORE``).
 2. near_duplicates: of each group of near-duplicates one document stays.
-3. substrings: bytes of strings of 400 bytes that also start elsewhere go from the texts.
+3. substrings: bytes of strings of 200 bytes that also start at an earlier place go from the texts: of a repeated passage of
+   some fifty words or more the first occurrence stays.
 4. mixing: texts become the words that the source mix takes of them, a row for each time round.
 5. pieces: texts are encoded; the rows carry the piece ids.
 
@@ -40,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(docs.select(*COLUMNS), texts_out=True).select(*COLUMNS)
+    return suffix_dedup.dedup_texts(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
