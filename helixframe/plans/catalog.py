@@ -31,5 +31,5 @@ def oracles() -> dict[str, str]:
 def _load() -> None:
     import importlib
 
-    for module in ("counting", "alignment", "analytics", "formats", "workflows"):
+    for module in ("counting", "alignment", "analytics", "formats", "workflows", "files"):
         importlib.import_module(f"helixframe.plans.{module}")
