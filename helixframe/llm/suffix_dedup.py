@@ -10,8 +10,9 @@ share nothing with any other, so the order is only built where two strings can b
 1. Each start of a string is keyed by the least hash among the ``GRAM``-byte grams of its string; equal strings have
    equal keys. Neighbouring starts with one key are a run. Where a key's gram occurs once, nothing in its run is repeated.
 2. Runs that agree in all of their bytes are one class: it stands for all of them from here on.
-3. The starts of one run of each class are lined up at the gram and cut into pieces of ``PIECE`` starts. The bytes that all
-   strings of a piece have in common are its core; equal pieces are one kind, and a core of one kind ends there.
+3. The starts of one run of each class are lined up at the gram and cut into pieces of ``COARSE`` starts. The bytes that all
+   strings of a piece have in common are its core; equal pieces are one kind, and a core of one kind ends there. One piece of
+   every kind that is left is cut into pieces of ``PIECE`` starts, and these are sifted alike.
 4. Kinds that share a core and differ beside it are written as symbols: bytes left of the core, one symbol for the
    core, bytes right of it. Their suffixes are ordered by the difference-cover algorithm as Spark sorts (:func:`order`):
    sampled triples (positions 1 and 2 modulo 3) are sorted and named, the strings of names are ordered by recursion, and
@@ -29,18 +30,19 @@ have one place and one id for ``LATER`` and ``OTHER``); rows with a null id take
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import partitions, stored
 from .sieve import passes, sieve
-from .vec import SpanHash, anchor_runs, byte_grams, mix64, ragged, row_of, slices, text_buffer
+from .vec import SpanHash, anchor_runs, byte_grams, mix64, ragged, row_of, slices, sliding_min, text_buffer
 
-GRAM, PIECE = 32, 16
+GRAM, COARSE, PIECE = 32, 128, 16
 ANY, OTHER, LATER = "any", "other", "later"
 #: Bytes of the strings of the contract, and of a passage of about fifty short words.
 LENGTH, PASSAGE = 400, 200
@@ -51,61 +53,79 @@ _U = np.uint64
 class Strings:
     """The runs of a batch's strings of one length."""
 
-    def __init__(self, batch: pa.RecordBatch, length: int, prepared: tuple | None = None):
-        self.length = length
-        if prepared is None:
+    def __init__(self, batch: pa.RecordBatch, length: int, other: Strings | None = None):
+        self.length, self.batch = length, batch
+        if other is None:
             self.buf, self.off = text_buffer(batch.column(1))
-            prepared = self.buf, self.off, SpanHash(self.buf.astype(_U) + _U(1), narrow=True), byte_grams(self.buf, GRAM)
-        self.prepared = prepared
-        self.buf, self.off, self.h, self.grams = prepared
-        least, self.lo, self.hi = anchor_runs(self.grams, self.off, length, GRAM)
-        self.gram = least
-        self.key = mix64(least + _U(length))
+            self.grams = byte_grams(self.buf, GRAM)
+        else:
+            self.buf, self.off, self.grams = other.buf, other.off, other.grams
+            if "h" in other.__dict__:
+                self.h = other.h
+        self.reach = length - GRAM
+        least = sliding_min(self.grams, self.reach + 1)
+        self.gram, self.lo, self.hi = anchor_runs(self.grams, self.off, length, GRAM, least)
+        self.key = mix64(self.gram + _U(length))
         self.row = row_of(self.lo, self.off)
-        self.batch = batch
+        # places that are the least of some string
+        peak = ~sliding_min(np.pad(~least, self.reach, constant_values=np.iinfo(_U).max), self.reach + 1)
+        self.least_at = np.flatnonzero(self.grams == peak) if len(least) else np.zeros(0, np.int64)
 
-    def places(self) -> np.ndarray:
-        """How often each run holds its gram."""
-        count = self.hi - self.lo + self.length - GRAM
-        equal = np.concatenate([[0], np.cumsum(self.grams[ragged(self.lo, count)] == np.repeat(self.gram, count))])
-        end = np.cumsum(count)
-        return (equal[end] - equal[end - count]).astype(np.int32)
+    @functools.cached_property
+    def h(self) -> SpanHash:
+        return SpanHash(self.buf.astype(_U) + _U(1), narrow=True)
 
-    def whole(self) -> np.ndarray:
-        return self.h(self.lo, self.hi - 1 + self.length)
+    def places(self, some=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Every place of its gram in each of these runs, and the run's number."""
+        lo, hi = self.lo[some], self.hi[some]
+        first = np.searchsorted(self.least_at, lo)
+        count = np.searchsorted(self.least_at, hi + self.reach) - first
+        place, run = self.least_at[ragged(first, count)], np.repeat(np.arange(len(lo)), count)
+        found = self.grams[place] == self.gram[some][run]
+        return place[found], run[found]
+
+    def whole(self, some) -> np.ndarray:
+        return self.h(self.lo[some], self.hi[some] - 1 + self.length)
 
+    @functools.cached_property
     def names(self) -> np.ndarray:
-        """A name of each run by its text, id and place."""
+        """A name of each run by its key, text, id and place."""
         of_row = mix64(self.batch.column(2).to_numpy().view(_U) + mix64(self.batch.column(0).fill_null(-1).to_numpy().view(_U)))
         return mix64(self.key ^ mix64(of_row[self.row] + (self.lo - self.off[self.row]).astype(_U)))
 
-    def pieces(self, some: np.ndarray) -> dict[str, np.ndarray]:
-        """Pieces of these runs: core, piece (hashes), run, at (first start, in the buffer), v0, v1 (first and last start
-        that the piece has)."""
-        reach = self.length - GRAM
+    def coarse(self, some: np.ndarray) -> dict[str, np.ndarray]:
+        """Pieces of ``COARSE`` starts of these runs: run, at (first start, in the buffer), v0, v1 (first and last start that the
+        piece has; every start lies in one piece of one run), base (of the piece's places), name."""
         lo, hi = self.lo[some], self.hi[some]
-        # every place of the key's gram in a run; a start belongs to the first such place in its string
-        count = hi - lo + reach
-        place, run = ragged(lo, count), np.repeat(np.arange(len(lo)), count)
-        found = self.grams[place] == self.gram[some][run]
-        place, run = place[found], run[found]
+        # a start belongs to the first place of its gram in its string
+        place, run = self.places(some)
         before = np.full(len(place), -1, np.int64)
         before[1:] = np.where(run[1:] == run[:-1], place[:-1], -1)
         first, stop = np.maximum(lo[run], before + 1), np.minimum(hi[run], place + 1)
         ok = first < stop
         place, run, first, stop = place[ok], run[ok], first[ok], stop[ok]
-        base = place - reach
-        q0, q1 = (first - base) // PIECE, (stop - 1 - base) // PIECE
+        base = place - self.reach
+        q0, q1 = (first - base) // COARSE, (stop - 1 - base) // COARSE
         each = np.repeat(np.arange(len(place)), q1 - q0 + 1)
-        q = ragged(q0, q1 - q0 + 1)
-        at = base[each] + q * PIECE
-        run = run[each]
-        # every start lies in one piece of one run
-        v0, v1 = np.maximum(0, first[each] - at), np.minimum(PIECE - 1, stop[each] - 1 - at)
-        core = mix64(self.h(at + PIECE - 1, at + self.length) ^ mix64(self.key[some][run] + q.astype(_U)))
-        left, right = self.h(at + v0, at + PIECE - 1), self.h(at + self.length, at + v1 + self.length)
-        piece = mix64(mix64(left + _U(3)) ^ mix64(right * _U(5) + v0.astype(_U) * _U(64) + v1.astype(_U)))
-        return {"core": core, "piece": piece, "run": np.flatnonzero(some)[run], "at": at, "v0": v0, "v1": v1}
+        at = base[each] + ragged(q0, q1 - q0 + 1) * COARSE
+        run = np.flatnonzero(some)[run[each]]
+        name = mix64(self.names[run] + (at - self.lo[run]).astype(_U))
+        return {"run": run, "at": at, "v0": np.maximum(0, first[each] - at), "v1": np.minimum(COARSE - 1, stop[each] - 1 - at), "base": base[each], "name": name}
+
+    def hashes(self, p: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """core and piece of pieces of ``size`` starts."""
+        at, v0, v1 = p["at"], p["v0"], p["v1"]
+        core = mix64(self.h(at + size - 1, at + self.length) ^ mix64(self.key[p["run"]] + (at - p["base"]).astype(_U)))
+        left, right = self.h(at + v0, at + size - 1), self.h(at + self.length, at + v1 + self.length)
+        return core, mix64(mix64(left + _U(3)) ^ mix64(right * _U(5) + v0.astype(_U) * _U(1024) + v1.astype(_U)))
+
+    def fine(self, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The pieces cut to ``PIECE`` starts; rel: first start, counted from that of the piece they are of."""
+        j0, j1 = p["v0"] // PIECE, p["v1"] // PIECE
+        of, j = np.repeat(np.arange(len(j0)), j1 - j0 + 1), ragged(j0, j1 - j0 + 1)
+        out = {k: v[of] for k, v in p.items()}
+        rel = j * PIECE
+        return out | {"rel": rel, "at": out["at"] + rel, "v0": np.maximum(0, out["v0"] - rel), "v1": np.minimum(PIECE - 1, out["v1"] - rel)}
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -118,21 +138,23 @@ def _of_batches(lengths: tuple[int, ...], columns: str, rows):
 
     def kernel(batches):
         for batch in slices(batches, "text", 2 << 20):
-            prepared = None
+            strings = None
             for w, length in enumerate(lengths):
-                strings = Strings(batch, length, prepared)
-                prepared = strings.prepared
+                strings = Strings(batch, length, strings)
                 yield pa.RecordBatch.from_arrays(rows(strings, w), names=names)
 
     return kernel
 
 
 def _keys(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Each key of a slice and how often its gram occurs in the runs."""
+
     def rows(s, w):
         key, at = np.unique(s.key, return_inverse=True)
-        return [_long(key), pa.array(np.bincount(at, s.places(), len(key)).astype(np.int64))]
+        _, run = s.places()
+        return [_long(key), pa.array(np.bincount(at[run], minlength=len(key)).astype(np.int32))]
 
-    schema = "key bigint, places bigint"
+    schema = "key bigint, places int"
     return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
 
 
@@ -142,27 +164,41 @@ def _runs(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFrame:
 
     def rows(s, w):
         some = passes(bitmap.value, s.key)
-        row = pa.array(s.row[some])
-        lo = s.lo - s.off[s.row]
-        return [pa.array(np.full(int(some.sum()), w, np.int32)), _long(s.key[some]), _long(s.whole()[some]), _long(s.names()[some]), s.batch.column(0).take(row), s.batch.column(2).take(row), pa.array(lo[some]), pa.array((s.hi - s.lo)[some].astype(np.int32)), pa.array(s.places()[some])]
+        row, n = pa.array(s.row[some]), int(some.sum())
+        places = np.bincount(s.places(some)[1], minlength=n).astype(np.int32)
+        return [pa.array(np.full(n, w, np.int32)), _long(s.key[some]), _long(s.whole(some)), _long(s.names[some]), s.batch.column(0).take(row), s.batch.column(2).take(row), pa.array((s.lo - s.off[s.row])[some]), pa.array((s.hi - s.lo)[some].astype(np.int32)), pa.array(places)]
 
     schema = "w int, key bigint, whole bigint, name bigint, doc_id bigint, row bigint, lo bigint, n int, places int"
     return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
 
 
-def _pieces(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFrame:
-    """Pieces of the runs whose name passes; rel: first start, counted from the run's."""
+def _coarse_pieces(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFrame:
+    """Coarse pieces of the runs whose name passes; rel: first start, counted from the run's; part: the piece's own name."""
 
     def rows(s, w):
-        name = s.names()
-        p = s.pieces(passes(bitmap.value, name))
+        p = s.coarse(passes(bitmap.value, s.names))
+        core, piece = s.hashes(p, COARSE)
+        return [_long(core), _long(piece), _long(s.names[p["run"]]), _long(p["name"]), pa.array(p["at"] - s.lo[p["run"]]), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32))]
+
+    schema = "core bigint, piece bigint, name bigint, part bigint, rel bigint, v0 int, v1 int"
+    return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
+
+
+def _fine_pieces(texts: DataFrame, lengths: tuple[int, ...], runs, parts) -> DataFrame:
+    """Fine pieces of the coarse ones whose run's and own name pass; rel: first start, counted from the coarse one's."""
+
+    def rows(s, w):
+        p = s.coarse(passes(runs.value, s.names))
+        some = passes(parts.value, p["name"])
+        p = s.fine({k: v[some] for k, v in p.items()})
+        core, piece = s.hashes(p, PIECE)
         sides = []
         for start, size in ((p["at"] + p["v0"], PIECE - 1 - p["v0"]), (p["at"] + s.length, p["v1"])):
             end = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             sides.append(pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(end.tobytes()), pa.py_buffer(s.buf[ragged(start, size)].tobytes())]))
-        return [_long(p["core"]), _long(p["piece"]), _long(name[p["run"]]), pa.array(p["at"] - s.lo[p["run"]]), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32)), *sides]
+        return [_long(core), _long(piece), _long(p["name"]), pa.array(p["rel"].astype(np.int32)), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32)), *sides]
 
-    schema = "core bigint, piece bigint, name bigint, rel bigint, v0 int, v1 int, left binary, right binary"
+    schema = "core bigint, piece bigint, part bigint, rel int, v0 int, v1 int, left binary, right binary"
     return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
 
 
@@ -328,51 +364,73 @@ def equal_strings(kinds: DataFrame) -> DataFrame:
     return mine.join(classes, ["part", "k"])
 
 
+def _hit(place) -> Column:
+    """Whether a string at this place is repeated, by what is known of all places that hold it."""
+    return F.when(F.col("how") == ANY, F.col("n") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("first") < place)
+
+
+def _moved(place: str, by: Column) -> Column:
+    return F.struct(F.col(f"{place}.doc_id").alias("doc_id"), F.col(f"{place}.row").alias("row"), (F.col(f"{place}.at") + by).alias("at"))
+
+
 def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (hash of the text), spans: array of (w, at, n, mask): of the wanted length w, starts at + t, t < n, are
     repeated where bit t of mask is set, all of them where it is null."""
     lengths = tuple(length for length, _ in wanted)
-    if min(lengths) < GRAM + 2 * PIECE:
-        raise ValueError(f"strings of fewer than {GRAM + 2 * PIECE} bytes can't be keyed")
+    if min(lengths) < GRAM + COARSE:
+        raise ValueError(f"strings of fewer than {GRAM + COARSE} bytes can't be cut into pieces")
     which = F.array(*(F.lit(how) for _, how in wanted))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
     keys = _keys(texts, lengths).groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
     runs = stored(_runs(texts, lengths, sieve(keys, "key")), "runs").withColumn("how", F.get(which, F.col("w")))
+    # classes of equal runs; an id that is null is one of its own, before all others
     place = F.struct("doc_id", "row", F.col("lo").alias("at"))
-    # an id that is null is one of its own, before all others
-    low, high = F.min(F.struct("doc_id")).alias("low"), F.max(F.struct("doc_id")).alias("high")
-    classes = stored(runs.groupBy("w", "how", "key", "whole").agg(F.count("*").alias("m"), F.first("places").alias("places"), F.min(F.struct(place.alias("first"), "name")).alias("head"), low, high), "classes")
+    ids = [F.min(F.struct("doc_id")).alias("low"), F.max(F.struct("doc_id")).alias("high")]
+    classes = stored(runs.groupBy("w", "how", "key", "whole").agg(F.count("*").alias("n"), F.first("places").alias("places"), F.min(F.struct(place.alias("first"), "name")).alias("head"), *ids), "classes")
     open_ = classes.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
-    reps = stored(classes.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "m", "low", "high"), "open-classes")
-    pieces = _pieces(texts, lengths, sieve(reps, "name")).join(reps, "name")
-    at = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), (F.col("first.at") + F.col("rel")).alias("at"))
-    pieces = stored(pieces.withColumn("at", at), "pieces")
-    body = [F.first(c).alias(c) for c in ("how", "v0", "v1", "left", "right")]
-    kinds = pieces.groupBy("core", "piece").agg(*body, F.sum("m").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("first"))
-    kinds = stored(kinds.withColumn("u", F.monotonically_increasing_id()), "kinds")
-    ways = kinds.groupBy("core").agg(F.count("*").alias("ways")).where("ways > 1").select("core")
-    beside = stored(kinds.join(ways, "core"), "beside")
-
-    def hit(place):
-        return F.when(F.col("how") == ANY, F.col("n") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("first") < place)
-
-    found = equal_strings(beside.drop("piece", "how")).join(beside.select("u", "how"), "u").where(hit(F.col("mine")))
+    reps = stored(classes.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "n", "low", "high"), "open-classes")
+    total = [F.first("how").alias("how"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
+    # kinds of coarse pieces of one run of each class
+    pieces = _coarse_pieces(texts, lengths, sieve(reps, "name")).join(reps, "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    pieces = stored(pieces, "pieces")
+    kinds = stored(pieces.groupBy("core", "piece").agg(*total, F.min(F.struct(F.col("at").alias("first"), "name", "part")).alias("head")), "kinds").withColumn("first", F.col("head.first"))
+    undone = F.max(F.when(F.col("how") == ANY, F.col("n") == 1).when(F.col("how") == OTHER, F.col("low") == F.col("high")).otherwise(True))
+    ways = kinds.groupBy("core").agg(F.count("*").alias("ways"), undone.alias("undone")).where("ways > 1 and undone").select("core")
+    beside = kinds.join(ways, "core").select("how", F.col("core").alias("of_core"), F.col("piece").alias("of_piece"), F.col("head.name").alias("name"), F.col("head.part").alias("part"), "first", "n", "low", "high")
+    beside = stored(beside, "open-kinds")
+    # kinds of fine pieces of one piece of each kind
+    fine = _fine_pieces(texts, lengths, sieve(beside, "name", 25), sieve(beside, "part", 25)).join(beside.drop("name"), "part").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    fine = stored(fine, "fine-pieces")
+    body = [F.first(c).alias(c) for c in ("v0", "v1", "left", "right")]
+    small = stored(fine.groupBy("core", "piece").agg(*body, *total, F.min("at").alias("first")).withColumn("u", F.monotonically_increasing_id()), "fine-kinds")
+    several = small.groupBy("core").agg(F.count("*").alias("ways")).where("ways > 1").select("core")
+    left = stored(small.join(several, "core"), "left")
+    found = equal_strings(left.drop("piece", "how")).join(left.select("u", "how"), "u").where(_hit(F.col("mine")))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("t"))
     masks = stored(found.select("u", bit.alias("bit")).groupBy("u").agg(F.bit_or("bit").alias("mask")), "masks")
-    # of a piece all starts if its own kind says so, else those of the kind's mask
-    verdicts = kinds.join(masks, "u", "left").select("core", "piece", "mask", "n", "low", "high", "first")
-    judged = pieces.select("core", "piece", "how", "key", "whole", "rel", "v0", "v1", "at").join(verdicts, ["core", "piece"])
-    every = F.lit(2**PIECE - 1).cast("bigint")
-    judged = judged.select("key", "whole", F.when(hit(F.col("at")), F.struct((F.col("rel") + F.col("v0")).alias("rel"), (F.col("v1") - F.col("v0") + 1).alias("n"), every.alias("mask"))).otherwise(F.struct("rel", F.lit(PIECE).alias("n"), F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))).alias("piece"))
-    parts = judged.where("piece.mask <> 0").groupBy("key", "whole").agg(F.collect_list("piece").alias("parts"))
-    # runs that their class settles, then the others by its pieces
-    settled = F.when(F.col("how") == ANY, F.col("m") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("head.name") != F.col("name"))
-    of_class = stored(classes.drop("places").join(parts, ["key", "whole"], "left").where(F.col("parts").isNotNull() | (F.col("m") > 1)).drop("w", "how"), "verdicts")
-    met = runs.drop("places").join(of_class, ["key", "whole"])
+    # back: of a fine piece all starts if its own kind says so, else those of the kind's mask
     null = F.lit(None).cast("bigint")
-    spans = F.when(settled, F.array(F.struct("w", F.col("lo").alias("at"), F.col("n").alias("n"), null.alias("mask")))).otherwise(F.transform("parts", lambda p: F.struct(F.col("w").alias("w"), (F.col("lo") + p["rel"]).alias("at"), p["n"].alias("n"), p["mask"].alias("mask"))))
-    met = met.select("doc_id", "row", spans.alias("spans")).where("spans is not null")
-    return met.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    span = lambda at, n, mask: F.struct(at.cast("bigint").alias("at"), n.cast("int").alias("n"), mask.alias("mask"))
+    v0, many = F.col("v0"), F.col("v1") - F.col("v0") + 1
+    verdicts = small.join(masks, "u", "left").select("core", "piece", "mask", "n", "low", "high", "first")
+    judged = fine.select("of_core", "of_piece", "core", "piece", "how", "rel", "v0", "v1", "at").join(verdicts, ["core", "piece"])
+    judged = judged.select("of_core", "of_piece", F.when(_hit(F.col("at")), span(F.col("rel") + v0, many, null)).when(F.col("mask") != 0, span(F.col("rel"), F.lit(PIECE), F.col("mask"))).alias("span"))
+    parts = judged.where("span is not null").groupBy(F.col("of_core").alias("core"), F.col("of_piece").alias("piece")).agg(F.collect_list("span").alias("parts"))
+    shifted = lambda by: F.transform("parts", lambda x: F.struct((x["at"] + by).alias("at"), x["n"].alias("n"), x["mask"].alias("mask")))
+    # of a coarse piece
+    verdicts = stored(kinds.join(parts, ["core", "piece"], "left").select("core", "piece", "parts", "n", "low", "high", "first"), "kind-verdicts")
+    judged = pieces.select("core", "piece", "how", "key", "whole", "rel", "v0", "v1", "at").join(verdicts, ["core", "piece"])
+    judged = judged.select("key", "whole", F.when(_hit(F.col("at")), F.array(span(F.col("rel") + v0, many, null))).otherwise(shifted(F.col("rel"))).alias("parts")).where("parts is not null")
+    parts = judged.groupBy("key", "whole").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    # of a run
+    verdicts = classes.join(parts, ["key", "whole"], "left").where("parts is not null or n > 1").select("key", "whole", "parts", F.col("n").alias("m"), "low", "high", F.col("head.first").alias("first"))
+    verdicts = stored(verdicts, "verdicts")
+    met = runs.drop("places").join(verdicts, ["key", "whole"])
+    whole = span(F.col("lo"), F.col("n"), null)
+    settled = F.when(F.col("how") == ANY, F.col("m") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("first") < place)
+    met = met.select("doc_id", "row", "w", F.when(settled, F.array(whole)).otherwise(shifted(F.col("lo"))).alias("spans")).where("spans is not null")
+    named_ = F.transform("spans", lambda x: F.struct(F.col("w").alias("w"), x["at"].alias("at"), x["n"].alias("n"), x["mask"].alias("mask")))
+    return met.select("doc_id", "row", named_.alias("spans")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def covered(n_bytes: int, spans: pa.Scalar, lengths: tuple[int, ...]) -> list[np.ndarray]:

@@ -198,15 +198,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchor_runs(grams: np.ndarray, offsets: np.ndarray, window: int, gram: int):
+def anchor_runs(grams: np.ndarray, offsets: np.ndarray, window: int, gram: int, least: np.ndarray | None = None):
     """Group the windows of each row by the least hash among the grams they hold.
 
     grams: hash of the gram that starts at each element; offsets: of the rows in elements. Equal windows
     have equal least hashes wherever they lie. Returns (key, first window, last window + 1) of each
-    maximal run of neighbouring windows with one key, cut to at most ``window`` windows.
+    maximal run of neighbouring windows with one key, cut to at most ``window`` windows. least: the windows' least hashes, where
+    they are known.
     """
     none = np.zeros(0, np.int64)
-    least = sliding_min(grams, window - gram + 1)
+    least = sliding_min(grams, window - gram + 1) if least is None else least
     n = len(least)
     if not n:
         return least, none, none
