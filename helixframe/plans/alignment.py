@@ -131,7 +131,10 @@ register(
       SELECT t.chr, t.start, t.gap FROM t JOIN do_ ON do_.chr = t.chr AND do_.p = t.start JOIN ac ON ac.chr = t.chr AND ac.p = t.start + t.gap WHERE coalesce(do_.near >= lim, true) AND coalesce(ac.near >= lim, true)""",
 )
 register("f4_by_sj_out", lambda s, d: J.by_junction_out(junctions(s, d), J.collapse(junctions(s, d)).where("motif = 0 and overhang < 8")), f"WITH {_COL} SELECT DISTINCT read FROM juncs WHERE read NOT IN (SELECT read FROM juncs JOIN col USING (chr, start, gap) WHERE col.motif = 0 AND col.overhang < 8)")
-register("s25_introns", lambda s, d: J.introns(_tr_exons(s, d)), f"""WITH {_TREX}, n AS (SELECT chr, "end" + 1 AS start, lead(start) OVER (PARTITION BY tr ORDER BY start, "end") - 1 AS e, strand FROM tx) SELECT DISTINCT chr, start, e AS "end", strand FROM n WHERE start <= e""")
+# exons of a maker and size class: far enough apart to leave introns
+_sparse = lambda s, d: table(s, d, "part").select(F.col("p_brand").alias("chr"), F.concat("p_brand", F.col("p_size") % 3).alias("tr"), (F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size")).alias("end"), F.when(F.col("p_size") % 3 == 0, "+").otherwise("-").alias("strand"))
+_SPARSE = """tx AS (SELECT p_brand AS chr, p_brand || (p_size % 3) AS tr, p_partkey * 100 AS start, p_partkey * 100 + p_size AS "end", CASE WHEN p_size % 3 = 0 THEN '+' ELSE '-' END AS strand FROM part)"""
+register("s25_introns", lambda s, d: J.introns(_sparse(s, d)), f"""WITH {_SPARSE}, n AS (SELECT chr, "end" + 1 AS start, lead(start) OVER (PARTITION BY tr ORDER BY start, "end") - 1 AS e, strand FROM tx) SELECT DISTINCT chr, start, e AS "end", strand FROM n WHERE start <= e""")
 
 
 def _inserted(s, d):

@@ -51,11 +51,11 @@ register("k9_sorted_umis", lambda s, d: matrix.sorted_umis(matrix.per_cell(cell_
 register("a41_cell_totals", lambda s, d: matrix.totals(cell_matrix(s, d), table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("cb"))), f"WITH {_TOT} SELECT cb, n AS umis, c_acctbal > 0 AS passing FROM tot JOIN customer ON cb = c_custkey")
 register("a42_matrix_from_tags", lambda s, d: matrix.from_tags(reads(s, d).select(F.when(F.col("gene") == "error", "-").otherwise(F.col("gene")).alias("gx"), F.col("cb").cast("string").alias("cb"), F.col("umi").alias("ub"))), f"WITH {READS} SELECT gene AS gx, CAST(cb AS VARCHAR) AS cb, count(DISTINCT umi) AS n FROM reads WHERE gene <> 'error' GROUP BY ALL")
 register("a47_side_by_side", lambda s, d: matrix.side_by_side(table(s, d, "lineitem").withColumn("one", F.lit(1)), "l_suppkey", "l_returnflag", "one", ["A", "N", "R"]), "SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS \"A\", count(*) FILTER (l_returnflag = 'N') AS \"N\", count(*) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY l_suppkey")
-_feat = lambda s, d: table(s, d, "orders").where("o_custkey % 2 = 0 or o_custkey > 1400").groupBy(F.col("o_custkey").alias("cb"), F.col("o_orderpriority").alias("gene")).agg(F.count("*").alias("n"))
-_FEAT = "feat AS (SELECT o_custkey AS cb, o_orderpriority AS gene, count(*) AS n FROM orders WHERE o_custkey % 2 = 0 OR o_custkey > 1400 GROUP BY ALL)"
-register("j23_append_features", lambda s, d: matrix.append_features(cell_matrix(s, d).where("cb % 3 = 0"), _feat(s, d))[0], f"WITH {CELLS}, {_FEAT}, g AS (SELECT * FROM cells WHERE cb % 3 = 0) SELECT gene, cb, n, 'gene' AS kind FROM g UNION ALL SELECT gene, cb, n, 'feature' FROM feat WHERE cb IN (SELECT cb FROM g)")
-register("u3_lost_features", lambda s, d: matrix.append_features(cell_matrix(s, d).where("cb % 3 = 0"), _feat(s, d))[1], f"WITH {CELLS}, {_FEAT} SELECT count(*) AS rows, count(DISTINCT cb) AS cells FROM feat WHERE cb NOT IN (SELECT cb FROM cells WHERE cb % 3 = 0)")
-register("j24_reindex", lambda s, d: matrix.reindex(matrix.reindex(cell_matrix(s, d).where("cb % 3 = 0"), "gene", "row"), "cb", "col").select("row", F.col("col").alias("column"), "n"), f'WITH {CELLS} SELECT dense_rank() OVER (ORDER BY gene) AS row, dense_rank() OVER (ORDER BY cb) AS "column", n FROM cells WHERE cb % 3 = 0')
+_feat = lambda s, d: table(s, d, "customer").groupBy(F.col("c_custkey").alias("cb"), F.col("c_mktsegment").alias("gene")).agg(F.count("*").alias("n"))
+_FEAT = "feat AS (SELECT c_custkey AS cb, c_mktsegment AS gene, count(*) AS n FROM customer GROUP BY ALL)"
+register("j23_append_features", lambda s, d: matrix.append_features(cell_matrix(s, d), _feat(s, d))[0], f"WITH {CELLS}, {_FEAT}, g AS (SELECT * FROM cells) SELECT gene, cb, n, 'gene' AS kind FROM g UNION ALL SELECT gene, cb, n, 'feature' FROM feat WHERE cb IN (SELECT cb FROM g)")
+register("u3_lost_features", lambda s, d: matrix.append_features(cell_matrix(s, d), _feat(s, d))[1], f"WITH {CELLS}, {_FEAT} SELECT count(*) AS rows, count(DISTINCT cb) AS cells FROM feat WHERE cb NOT IN (SELECT cb FROM cells)")
+register("j24_reindex", lambda s, d: matrix.reindex(matrix.reindex(cell_matrix(s, d), "gene", "row"), "cb", "col").select("row", F.col("col").alias("column"), "n"), f'WITH {CELLS} SELECT dense_rank() OVER (ORDER BY gene) AS row, dense_rank() OVER (ORDER BY cb) AS "column", n FROM cells')
 register("j25_compare", lambda s, d: matrix.compare(cell_matrix(s, d), cell_matrix(s, d).where("n < 9 and cb % 2 = 0").withColumn("n", F.col("n") + F.col("cb") % 4)).select("gene", "a", "b", _r("mard"), _r("r")), f"WITH {CELLS}, y0 AS (SELECT cb, gene, n + cb % 4 AS n FROM cells WHERE n < 9 AND cb % 2 = 0), x AS (SELECT * FROM cells WHERE cb IN (SELECT cb FROM y0)), b AS (SELECT gene, cb, coalesce(x.n, 0) AS a, coalesce(y.n, 0) AS b FROM x FULL JOIN y0 y USING (gene, cb)) SELECT gene, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b, {_q('avg(abs(a - b) / (a + b)::DOUBLE)')} AS mard, {_q('corr(ln(1 + a), ln(1 + b))')} AS r FROM b GROUP BY gene")
 register("u2_unique_plus_multi", lambda s, d: matrix.add(cell_matrix(s, d), _feat(s, d).select("cb", F.lit("SMALL").alias("gene"), "n")), f"WITH {CELLS}, {_FEAT} SELECT cb, gene, CAST(sum(n) AS BIGINT) AS n FROM (SELECT cb, gene, n FROM cells UNION ALL SELECT cb, 'SMALL', n FROM feat) GROUP BY ALL")
 register("u8_extract_cells", lambda s, d: matrix.reindex(cell_matrix(s, d).join(cells.knee(_tot(s, d), 300).select("cb"), "cb", "left_semi"), "cb", "col").select(F.col("col").alias("column"), "gene", "n"), f'WITH {_TOT}, t AS (SELECT greatest(1, floor(n / 10.0 + 0.5)) AS t FROM rk WHERE rank = 4), k AS (SELECT cells.* FROM cells JOIN tot ON tot.cb = cells.cb, t WHERE tot.n >= t) SELECT dense_rank() OVER (ORDER BY cb) AS "column", gene, n FROM k')
@@ -77,7 +77,13 @@ register("m14_empty_drops", lambda s, d: cells.empty_drops(cell_matrix(s, d), ce
 _pvals = lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("cb"), ((F.col("c_custkey") * 7919 % 1000 + 1) / 1001.0).alias("p"))
 register("w8_adjust", lambda s, d: cells.adjust(_pvals(s, d)).select("cb", _r("p_adjusted", 5)), f"WITH p AS (SELECT c_custkey AS cb, (c_custkey * 7919 % 1000 + 1) / 1001.0::DOUBLE AS p FROM customer), r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS rk FROM p) SELECT cb, {_q('least(1, min(p * n / rk) OVER (ORDER BY p DESC))', 5)} AS p_adjusted FROM r")
 register("m16_order_of_magnitude", lambda s, d: cells.order_of_magnitude(_tot(s, d), 200, most=2000))
-register("m17_simple_fallback", lambda s, d: cells.low_umi(_tot(s, d), 500 if cells.simple_fallback(90, 500, 60) else 0).select("cb"), f"WITH {_TOT} SELECT cb FROM tot WHERE n >= 500")
+def _fallback(s, d):
+    t = _tot(s, d)
+    n = t.agg(F.count(F.when(F.col("n") <= 20, 1)).alias("low"), F.count(F.when(F.col("n") >= 30, 1)).alias("high")).first()
+    return cells.low_umi(t, 40 if cells.simple_fallback(n.low, n.high, 50) else 25).select("cb")
+
+
+register("m17_simple_fallback", lambda s, d: _fallback(s, d), f"WITH {_TOT} SELECT cb FROM tot WHERE CASE WHEN (SELECT count(*) FILTER (n <= 20) < 100 OR count(*) FILTER (n >= 30) < 100 FROM tot) THEN n >= 40 ELSE n >= 25 END")
 register("m18_crowded", lambda s, d: cells.remove_crowded(table(s, d, "orders").select(F.col("o_custkey").alias("gem"), F.col("o_orderpriority").alias("tag")).distinct(), 4), "WITH x AS (SELECT DISTINCT o_custkey AS gem, o_orderpriority AS tag FROM orders) SELECT * FROM x WHERE gem NOT IN (SELECT gem FROM x GROUP BY gem HAVING count(*) > 4)")
 register("u5_passers", lambda s, d: cells.passers(_tot(s, d).where("n > 60"), _tot(s, d).where("cb % 5 = 0")), f"WITH {_TOT} SELECT cb FROM tot WHERE n > 60 OR cb % 5 = 0")
 register("u6_occupancy_removal", lambda s, d: _tot(s, d).join(_tot(s, d).where("n > 90").select("cb"), "cb", "left_anti"), f"WITH {_TOT} SELECT cb, n FROM tot WHERE n <= 90")
@@ -126,17 +132,19 @@ register("m11_prune", lambda s, d: quant.prune_global(table(s, d, "lineitem").gr
 register("m12_best_hits", lambda s, d: quant.best_hits(table(s, d, "lineitem").select(F.col("l_orderkey").alias("read"), F.col("l_partkey").alias("tid"), F.col("l_quantity").alias("score"), (F.col("l_suppkey") % 9 == 0).alias("decoy")), 0.65).select("read", "tid", "score"), "WITH a AS (SELECT l_orderkey AS read, l_partkey AS tid, l_quantity AS score, l_suppkey % 9 = 0 AS decoy, max(CASE WHEN l_suppkey % 9 <> 0 THEN l_quantity END) OVER o AS b, max(CASE WHEN l_suppkey % 9 = 0 THEN l_quantity END) OVER o AS dd FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)) SELECT read, tid, score FROM a WHERE NOT decoy AND score >= 0.65::DOUBLE * b AND (dd IS NULL OR dd <= b)")
 register("a36_fragment_lengths", lambda s, d: quant.fragment_lengths(table(s, d, "part").groupBy((F.col("p_size") * 10).alias("f")).agg(F.count("*").alias("n"))).select("f", _r("p")))
 register("a50_observed_lengths", lambda s, d: quant.observed_lengths(table(s, d, "part").select((F.col("p_size") - 25).alias("tlen")), 0, 20).select("f", "n", _r("p")), f"WITH a AS (SELECT abs(p_size - 25) AS f, count(*) AS n FROM part WHERE abs(p_size - 25) <= 20 GROUP BY ALL) SELECT f, n, {_q('n / sum(n) OVER ()')} AS p FROM a")
-_gc = lambda s, d, c: quant.gc_histogram(table(s, d, "documents").where(c).select(F.translate(F.substring("text", 1, 100), "eats", "GCAT").alias("seq"), F.lit(1.0).alias("w")))
-_GC = lambda c: f"SELECT floor((length(x) - length(translate(x, 'GCgc', ''))) * 100 / length(x)::DOUBLE + 0.5) AS bin, count(*) AS w FROM (SELECT translate(substr(text, 1, 100), 'eats', 'GCAT') AS x FROM documents WHERE {c}) GROUP BY ALL"
+_gc = lambda s, d, c: quant.gc_histogram(table(s, d, "documents").where(c).where("text <> ''").select(F.translate("text", "eats", "GCAT").alias("seq"), F.lit(1.0).alias("w")))
+_GC = lambda c: f"SELECT floor((length(x) - length(translate(x, 'GCgc', ''))) * 100 / length(x)::DOUBLE + 0.5) AS bin, count(*) AS w FROM (SELECT translate(text, 'eats', 'GCAT') AS x FROM documents WHERE {c} AND text <> '') GROUP BY ALL"
 register("a37_gc_histogram", lambda s, d: _gc(s, d, "true").select("bin", _r("share")), f"WITH h AS ({_GC('true')}) SELECT bin, {_q('w / sum(w) OVER ()')} AS share FROM h")
-register("a51_gc_bias", lambda s, d: quant.gc_bias(_gc(s, d, "doc_id % 2 = 0"), _gc(s, d, "true")).select("bin", _r("ratio", 5)), f"WITH o AS (SELECT bin, w / sum(w) OVER () AS share FROM ({_GC('doc_id % 2 = 0')})), e AS (SELECT bin, w / sum(w) OVER () AS share FROM ({_GC('true')})) SELECT bin, {_q('least(10, greatest(0.1::DOUBLE, coalesce(o.share, 0) / e.share))', 5)} AS ratio FROM e LEFT JOIN o USING (bin)")
+register("a51_gc_bias", lambda s, d: quant.gc_bias(_gc(s, d, "lang = 'en'"), _gc(s, d, "true")).select("bin", _r("ratio", 5)), f"WITH o AS (SELECT bin, w / sum(w) OVER () AS share FROM ({_GC("lang = 'en'")})), e AS (SELECT bin, w / sum(w) OVER () AS share FROM ({_GC('true')})) SELECT bin, {_q('least(10, greatest(0.1::DOUBLE, coalesce(o.share, 0) / e.share))', 5)} AS ratio FROM e LEFT JOIN o USING (bin)")
 _quant = lambda s, d: table(s, d, "part").select(F.col("p_type").alias("gene"), F.when(F.col("p_type") == "SMALL", 0.0).otherwise(F.col("p_size").cast("double")).alias("tpm"), (F.col("p_size") * 2.0).alias("count"), (F.col("p_retailprice")).alias("length"), (F.col("p_retailprice") - 100).alias("eff"))
 _QUANT = "q AS (SELECT p_type AS gene, CASE WHEN p_type = 'SMALL' THEN 0 ELSE p_size END::DOUBLE AS tpm, p_size * 2.0::DOUBLE AS count, p_retailprice AS length, p_retailprice - 100 AS eff FROM part), g AS (SELECT gene, sum(tpm) AS tpm, sum(count) AS count, CASE WHEN sum(tpm) > 0 THEN sum(tpm * length) / sum(tpm) ELSE avg(length) END AS length, CASE WHEN sum(tpm) > 0 THEN sum(tpm * eff) / sum(tpm) ELSE avg(eff) END AS eff FROM q GROUP BY gene)"
 register("a38_by_gene", lambda s, d: quant.by_gene(_quant(s, d)).select("gene", *[_r(c, 4) for c in ("tpm", "count", "length", "eff")]), f"WITH {_QUANT} SELECT gene, {_q('tpm', 4)} AS tpm, {_q('count', 4)} AS count, {_q('length', 4)} AS length, {_q('eff', 4)} AS eff FROM g")
 for _mode, _raw in (("no", None), ("scaledTPM", "tpm"), ("lengthScaledTPM", "tpm * eff")):
     register(f"a39_tximport_{_mode.lower()}", lambda s, d, m=_mode: quant.tximport(_quant(s, d), m).select("gene", _r("count", 3), _r("length", 3)), f"WITH {_QUANT} SELECT gene, {_q('count' if _raw is None else f'({_raw}) * (SELECT sum(count) / sum({_raw}) FROM g)', 3)} AS count, {_q('eff', 3)} AS length FROM g")
 register("o9_gene_order", lambda s, d: quant.gene_order(table(s, d, "nation").select(F.col("n_name").alias("gene"))), "SELECT n_name AS gene FROM nation")
-register("j27_to_genes", lambda s, d: quant.to_genes(table(s, d, "lineitem").select(F.col("l_suppkey").alias("tx")), table(s, d, "supplier").where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("tx"), F.col("s_name").alias("gene")))[1], "SELECT count(*) AS missing FROM lineitem WHERE l_suppkey % 5 = 0")
+_to_genes = lambda s, d: quant.to_genes(table(s, d, "lineitem").select(F.col("l_suppkey").alias("tx"), "l_quantity"), table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("tx"), F.col("s_name").alias("gene")))
+register("j27_to_genes", lambda s, d: _to_genes(s, d)[0].groupBy("gene").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), "SELECT s_name AS gene, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0 GROUP BY s_name")
+register("j27_missing", lambda s, d: _to_genes(s, d)[1], "SELECT count(*) AS missing FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 register("j31_type_vote", lambda s, d: quant.type_vote(table(s, d, "lineitem").select(F.col("l_orderkey").alias("read"), F.col("l_partkey").alias("tx")), table(s, d, "part").select(F.col("p_partkey").alias("tx"), F.col("p_type").alias("type"))), "WITH v AS (SELECT l_orderkey, min(p_type) AS type FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey HAVING count(DISTINCT p_type) = 1) SELECT type, count(*) AS reads FROM v GROUP BY type")
 register("f14_compatible", lambda s, d: quant.compatible(table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "ISF").when(F.col("o_orderkey") % 3 == 1, "ISR").otherwise("OSF").alias("orientation")), "IU").groupBy("orientation").agg(F.count("*").alias("n")), "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'ISF' ELSE 'ISR' END AS orientation, count(*) AS n FROM orders WHERE o_orderkey % 3 < 2 GROUP BY ALL")
 register("a43_library_format", lambda s, d: s.createDataFrame([(quant.library_format(table(s, d, "orders").select(F.col("o_orderkey").alias("read"), F.when(F.col("o_orderkey") % 10 == 0, "ISR").otherwise("ISF").alias("format")), 1000),)], "format string"), "SELECT 'ISF' AS format")

@@ -18,6 +18,13 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
         _ORACLES[name] = oracle
 
 
+def compare(name: str, oracle: str) -> None:
+    """SQL for a query that is registered."""
+    if name not in _QUERIES or name in _ORACLES:
+        raise ValueError(f"{name} isn't registered or has SQL")
+    _ORACLES[name] = oracle
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
     return dict(_QUERIES)
@@ -31,5 +38,5 @@ def oracles() -> dict[str, str]:
 def _load() -> None:
     import importlib
 
-    for module in ("counting", "alignment", "analytics", "formats", "workflows", "files"):
+    for module in ("counting", "alignment", "analytics", "formats", "workflows", "files", "recursion"):
         importlib.import_module(f"helixframe.plans.{module}")

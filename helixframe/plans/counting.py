@@ -122,12 +122,20 @@ register("j8_feature_rescue", _rescue(1), _rescue_sql(1, "w / t > 0.6::DOUBLE"))
 
 
 def _bayes(s, d):
-    r = _seqs(s, d).withColumn("qual", F.lit("5555"))
+    # the first and the last letter are less sure, by the read
+    r = _seqs(s, d).withColumn("qual", F.concat(F.substring(F.lit("#+5?"), (F.col("read") % 4).cast("int") + 1, F.lit(1)), F.lit("55"), F.substring(F.lit("#+5?"), (F.col("read") % 3).cast("int") + 1, F.lit(1))))
     c = barcodes.match(r, _listed(s, d)).where("match <> 'exact'").select("read", "cb", F.lit(0.01).alias("prior"))
-    return barcodes.bayes(r, c, 0.9).select("read", "cb", _r6("posterior").alias("posterior"))
+    return barcodes.bayes(r, c, 0.5, 1.5).select("read", "cb", _r6("posterior").alias("posterior"))
 
 
-register("j7_bayes", _bayes, f"WITH {_MATCH} SELECT read, cb, 1.0::DOUBLE AS posterior FROM cand WHERE match = 'one'")
+register(
+    "j7_bayes",
+    _bayes,
+    f"""WITH {_MATCH}, q AS (SELECT c.read, c.cb, c.seq, substr('#+5?', CAST(read % 4 AS INT) + 1, 1) || '55' || substr('#+5?', CAST(read % 3 AS INT) + 1, 1) AS qual FROM cand c WHERE match <> 'exact'),
+      e AS (SELECT read, cb, sum(CASE WHEN seq[i] = cb[i] THEN ln(1 - pow(10::DOUBLE, -(ascii(qual[i]) - 33) / 10.0::DOUBLE)) ELSE ln(pow(10::DOUBLE, -(ascii(qual[i]) - 33) / 10.0::DOUBLE) / 3) END) AS ll FROM q, range(1, 5) t(i) GROUP BY ALL),
+      p AS (SELECT read, cb, exp(ll) / sum(exp(ll)) OVER (PARTITION BY read) AS p FROM e), r AS (SELECT *, row_number() OVER w AS r, coalesce(lead(p) OVER w, 0) AS second FROM p WINDOW w AS (PARTITION BY read ORDER BY p DESC, cb))
+      SELECT read, cb, floor(p * 1e6 + 0.5) / 1e6 AS posterior FROM r WHERE r = 1 AND p >= 0.5::DOUBLE AND p >= 1.5::DOUBLE * second""",
+)
 register("j10_sample_tag", lambda s, d: barcodes.sample_tag(reads(s, d).select("read", F.concat("umi", "umi").alias("seq")), s.createDataFrame([("ACG", "s1"), ("GTA", "s2"), ("TTT", "s3")], "tag string, sample string"), offset=3, length=3), f"""WITH {READS}, t(turn, pos) AS (VALUES (0, 3), (1, 2), (2, 4), (3, 1), (4, 5)), g(tag, sample) AS (VALUES ('ACG', 's1'), ('GTA', 's2'), ('TTT', 's3'))
   SELECT read, arg_min(sample, turn) AS sample FROM reads, t JOIN g ON substr(umi || umi, pos, 3) = tag GROUP BY read""")
 

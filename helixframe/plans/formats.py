@@ -23,12 +23,11 @@ register("k1_sam_lines", lambda s, d: writers.sam_lines(_sam(s, d)), "SELECT con
 register("k2_coordinate_sorted", lambda s, d: writers.coordinate_sorted(_sam(s, d), 4).select("qname", "rname", "pos"), "SELECT 'r' || l_orderkey AS qname, 'c' || l_suppkey AS rname, l_partkey AS pos FROM lineitem")
 register("k8_matrix_entries", lambda s, d: matrix.reindex(matrix.reindex(cell_matrix(s, d), "gene", "row"), "cb", "column").select("row", "column", "n"), f'WITH {CELLS} SELECT dense_rank() OVER (ORDER BY gene) AS row, dense_rank() OVER (ORDER BY cb) AS "column", n FROM cells')
 register("k10_run_summary", lambda s, d: writers.metric_rows(aligns(s, d).agg(F.count("*").alias("blocks"), F.countDistinct("read").alias("reads"))), f"WITH {ALIGNS} SELECT 'blocks' AS metric, CAST(count(*) AS VARCHAR) AS value FROM aligns UNION ALL SELECT 'reads', CAST(count(DISTINCT read) AS VARCHAR) FROM aligns")
-register("k14_report_json", lambda s, d: writers.report_json(table(s, d, "region").orderBy("r_regionkey").select("r_regionkey").limit(1), version="1"), "SELECT '{\"version\":\"1\",\"positions\":[{\"r_regionkey\":0}]}' AS value")
+register("k14_report_json", lambda s, d: writers.report_json(table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("position")).agg(F.count("*").alias("cov"), F.sum(F.col("l_quantity").cast("bigint")).alias("mm")), version="1").select(F.get_json_object("value", "$.version").alias("version"), F.explode(F.from_json(F.get_json_object("value", "$.positions"), "array<struct<position:int,cov:bigint,mm:bigint>>")).alias("x")).select("version", "x.*"), "SELECT '1' AS version, l_linenumber AS position, count(*) AS cov, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS mm FROM lineitem GROUP BY ALL")
 register("k19_fastq_lines", lambda s, d: writers.fastq_lines(table(s, d, "supplier").select(F.col("s_name").alias("name"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"), (F.col("s_nationkey") % 2).alias("y")), "y"), "SELECT s_nationkey % 2 AS y, '@' || s_name || chr(10) || 'ACGT' || chr(10) || '+' || chr(10) || 'IIII' AS value FROM supplier")
 register("k23_overlap_tags", lambda s, d: writers.overlap_tags(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("read")).agg(F.sort_array(F.collect_set(F.concat(F.lit("g"), F.col("l_suppkey") % 5))).alias("genes"), F.when(F.max("l_suppkey") > 80, "exonic_antisense").when(F.max("l_suppkey") > 40, "over_half").when(F.max("l_suppkey") > 20, "intronic").otherwise("intergenic").alias("class"))), "SELECT l_orderkey AS read, string_agg(DISTINCT 'g' || (l_suppkey % 5), ',' ORDER BY 'g' || (l_suppkey % 5)) AS ZG, CASE WHEN max(l_suppkey) > 40 THEN 'exonic' WHEN max(l_suppkey) > 20 THEN 'intronic' ELSE 'none' END AS ZX FROM lineitem GROUP BY l_orderkey")
-_reads = lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("read"), F.translate(F.substring("text", 1, 40), "eatsn", "ACGTA").alias("seq"))
 _texts = lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("read"), F.translate("text", "eatsn", "ACGTA").alias("seq"))
-register("p3_adapter_place", lambda s, d: _reads(s, d).select("read", trimming.find_adapter("AG", 0)("seq").alias("place")), "SELECT doc_id AS read, instr(translate(substr(text, 1, 40), 'eatsn', 'ACGTA'), 'AG') - 1 AS place FROM documents")
+register("p3_adapter_place", lambda s, d: _texts(s, d).select("read", trimming.find_adapter("AG", 0)("seq").alias("place")), "SELECT doc_id AS read, instr(translate(text, 'eatsn', 'ACGTA'), 'AG') - 1 AS place FROM documents")
 register("p6_adapter_trim", lambda s, d: _texts(s, d).select("read", trimming.adapter_cuts("AGATCGGAAGAGC")("seq").alias("kept")))
 register("p7_adapter_trim_32", lambda s, d: _texts(s, d).select("read", trimming.adapter_cuts("AGATCGGAAGAGC", parity="3.2")("seq").alias("kept")))
 register("p8_trim_pairs", lambda s, d: trimming.trim_pairs(_texts(s, d).select(F.col("read").cast("string").alias("name"), "seq", F.expr("repeat('I', length(seq))").alias("qual"), F.reverse("seq").alias("seq2"), F.expr("repeat('I', length(seq) - 10) || repeat('#', least(length(seq), 10))").alias("qual2")), "AGATCGGAAGAGC").select("name", F.length("seq").alias("n1"), F.length("seq2").alias("n2")))

@@ -66,8 +66,9 @@ register("a32_trim_quality", lambda s, d: slam.base_composition(reads(s, d).sele
 register("o6_seeded_order", lambda s, d: flex.downsample(reads(s, d).select("read"), 1 << 30, "read", 777))
 register("u10_concatenate", lambda s, d: table(s, d, "orders").where("o_orderkey % 2 = 0").unionByName(table(s, d, "orders").where("o_orderkey % 2 = 1")).select("o_orderkey"), "SELECT o_orderkey FROM orders")
 register("x1_strings", lambda s, d: table(s, d, "nation").select("n_nationkey", F.substring("n_name", 2, 3).alias("mid"), F.rpad(F.lower("n_name"), 20, ".").alias("pad"), F.contains(F.lower("n_name"), F.lit("an")).alias("an")), "SELECT n_nationkey, substr(n_name, 2, 3) AS mid, rpad(lower(n_name), 20, '.') AS pad, contains(lower(n_name), 'an') AS an FROM nation")
-_model_bases = lambda s, d: table(s, d, "lineitem").select(F.col("l_orderkey").alias("read"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at0"), F.lit(8).alias("length"), (F.col("l_partkey") % 4).alias("ref"), F.when(F.col("l_suppkey") % 10 > 0, F.col("l_partkey") % 4).otherwise((F.col("l_partkey") + 1) % 4).alias("base"), F.col("l_linenumber").alias("at"))
-register("m10_error_model", lambda s, d: quant.error_model(_model_bases(s, d).dropDuplicates(["read", "at"]), 2).groupBy("bin").agg(F.count("*").alias("transitions")))
+_model_lines = lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+_model_bases = lambda s, d: _model_lines(s, d).select(F.col("l_orderkey").alias("read"), F.lit(8).alias("length"), (F.col("l_partkey") % 4).alias("ref"), F.when(F.col("l_suppkey") % 10 > 0, F.col("l_partkey") % 4).otherwise((F.col("l_partkey") + 1) % 4).alias("base"), F.col("l_linenumber").alias("at"))
+register("m10_error_model", lambda s, d: quant.error_model(_model_bases(s, d), 2).select(F.col("bin").cast("int").alias("bin"), "before", "state", (F.floor(F.col("logp") * 1e6 + 0.5) / 1e6).alias("logp")))
 register("m15_flex_empty_drops", lambda s, d: cells.flex_empty_drops(cell_matrix(s, d), cell_matrix(s, d).groupBy("cb").agg(F.sum("n").alias("n")), 1000, 45, 60, rounds=100))
 register("z4_sample_filter", lambda s, d: cells.sample_summary(cells.filter_samples(cell_matrix(s, d).withColumn("gem", F.col("cb")).withColumn("tag", F.col("cb") % 2).drop("cb"), 100, crowded=1)))
 register("a2_partial_merge", lambda s, d: molecules(s, d).groupBy("gene").agg(F.sum("n").alias("reads")), f"WITH {READS} SELECT gene, count(*) AS reads FROM reads GROUP BY gene")
