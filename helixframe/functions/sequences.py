@@ -131,3 +131,57 @@ def candidate_score(as_: Column, nm: Column) -> Column:
 def translate_feature_barcode(cb: Column) -> Column:
     """P20: the feature chemistry's barcode: letters 8 and 9 complemented."""
     return F.concat(F.substring(cb, 1, 7), F.translate(F.substring(cb, 8, 2), "ACGT", "TGCA"), F.substring(cb, 10, 1000))
+
+
+# fixed values: start and multiplier of the 64-bit FNV-1a hash; start of djb2
+FNV_START, FNV_PRIME, DJB2_START = 0xCBF29CE484222325, 0x100000001B3, 5381
+_LOW = (1 << 32) - 1
+
+
+def _bytes_hash(text: Column, start: int, step) -> Column:
+    """16 hex digits of a 64-bit hash over the UTF-8 bytes; the state is two halves of 32 bits, so that no product overflows."""
+    state = F.struct(F.lit(start >> 32).cast("bigint").alias("hi"), F.lit(start & _LOW).cast("bigint").alias("lo"))
+    octets = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", "$1,"), ","), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("bigint"))
+    end = F.aggregate(octets, state, step)
+    half = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.concat(half(end["hi"]), half(end["lo"]))
+
+
+def fnv1a(text: Column) -> Column:
+    """X9."""
+    low = FNV_PRIME & _LOW  # the multiplier is 2**40 and this
+
+    def step(s: Column, b: Column) -> Column:
+        lo, hi = s["lo"].bitwiseXOR(b), s["hi"]
+        product = lo * low
+        high = hi * low + F.shiftrightunsigned(product, 32) + lo * 256
+        return F.struct(high.bitwiseAND(F.lit(_LOW)).alias("hi"), product.bitwiseAND(F.lit(_LOW)).alias("lo"))
+
+    return _bytes_hash(text, FNV_START, step)
+
+
+def djb2(text: Column) -> Column:
+    """X9."""
+
+    def step(s: Column, b: Column) -> Column:
+        low = s["lo"] * 33 + b
+        return F.struct((s["hi"] * 33 + F.shiftrightunsigned(low, 32)).bitwiseAND(F.lit(_LOW)).alias("hi"), low.bitwiseAND(F.lit(_LOW)).alias("lo"))
+
+    return _bytes_hash(text, DJB2_START, step)
+
+
+def poly_tail(seq: Column, letter: str = "A", least: int = 20, share: int = 7, drop: int = 27) -> Column:
+    """Length of the tail of one letter: from the end, 1 for each of it and -2 for others, the longest stretch with at least
+    ``share`` tenths of its length as score; the search ends where length less score is over ``drop``. 0 if that score is below
+    ``least`` or the read is shorter."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("score"), F.lit(0).alias("length"), F.lit(0).alias("best"), F.lit(True).alias("on"))
+
+    def step(s: Column, c: Column) -> Column:
+        hit, at = c == letter, s["at"] + 1
+        score = s["score"] + F.when(hit, 1).otherwise(-2)
+        longer = s["on"] & hit & (score * 10 >= at * share)
+        on = s["on"] & (hit | (at - score <= drop))
+        return F.struct(at.alias("at"), score.alias("score"), F.when(longer, at).otherwise(s["length"]).alias("length"), F.when(longer, score).otherwise(s["best"]).alias("best"), on.alias("on"))
+
+    end = F.aggregate(F.reverse(F.split(seq, "")), zero, step)
+    return F.when((F.length(seq) >= least) & (end["best"] >= least), end["length"]).otherwise(0)

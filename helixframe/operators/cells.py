@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequences import log_factorial
+from helixframe.functions.sequences import hash31, log_factorial
 
 
 def ranked(cells: DataFrame) -> DataFrame:
@@ -185,6 +185,24 @@ def occupancy_threshold(tags_per_gem: float, partitions: int, rounds: int = 1_00
     return int(np.ceil(np.quantile(held.sum(1), percentile))) if len(n) else 0
 
 
+def tags_per_gem(cells: DataFrame, partitions: int = 115000, recovery: float = 0.6) -> DataFrame:
+    """One row, rate: cells for each GEM that could be seen, partitions * recovery of them (the seen ones at least). cells: gem,
+    tag."""
+    per = cells.groupBy("gem").agg(F.count("*").alias("k"))
+    n = F.count("*")
+    return per.agg((F.sum("k") / F.greatest(n, F.lit(int(partitions * recovery)))).alias("rate"))
+
+
+def hash_occupancy(cells: DataFrame, partitions: int = 115000, percentile: float = 0.999, letters: int = 16) -> DataFrame:
+    """M18, the other mode: cells (cb) of partitions (a hash of the barcode's first letters) with more cells than the percentile
+    of the occupied ones go."""
+    placed = cells.withColumn("_p", hash31(F.substring(F.col("cb").cast("string"), 1, letters), partitions))
+    per = placed.groupBy("_p").agg(F.count("*").alias("_k"))
+    most = per.agg(F.percentile("_k", F.lit(percentile)).alias("_most"))
+    full = per.crossJoin(F.broadcast(most)).where(F.col("_k") > F.col("_most")).select("_p")  # a single number
+    return placed.join(full, "_p", "left_anti").drop("_p")
+
+
 def remove_crowded(cells: DataFrame, threshold: int) -> DataFrame:
     """All cells of a GEM barcode with more tags than the threshold go. cells: gem, tag."""
     crowded = cells.groupBy("gem").agg(F.countDistinct("tag").alias("tags")).where(F.col("tags") > threshold).select("gem")
@@ -235,3 +253,17 @@ def filter_samples(matrix: DataFrame, expected: int, retain: int = 80000, crowde
 def sample_summary(called: DataFrame) -> DataFrame:
     """Tag, cells, molecules, with a TOTAL row."""
     return called.rollup("tag").agg(F.count("*").alias("cells"), F.sum("n").alias("molecules")).select(F.coalesce(F.col("tag").cast("string"), F.lit("TOTAL")).alias("tag"), "cells", "molecules")
+
+
+def sample_table(stages: DataFrame, molecules: DataFrame, expected: DataFrame) -> DataFrame:
+    """Sample, Expected, Retain, Simple_ED, Tail_Tested, ED_Pass, Occ_Rem, Final, Total_UMIs, and a TOTAL row. stages: sample,
+    cb, and whether the cell was retained, simple, tested, passed and crowded; molecules: sample, cb, n; expected: sample,
+    expected."""
+    n = lambda c: F.count(F.when(c, 1))
+    final = F.col("passed") & ~F.col("crowded")
+    s = stages.join(molecules, ["sample", "cb"], "left")
+    per = s.groupBy("sample").agg(n(F.col("retained")).alias("Retain"), n(F.col("simple")).alias("Simple_ED"), n(F.col("tested")).alias("Tail_Tested"), n(F.col("passed")).alias("ED_Pass"), n(F.col("passed") & F.col("crowded")).alias("Occ_Rem"), n(final).alias("Final"), F.coalesce(F.sum(F.when(final, F.col("n"))), F.lit(0)).alias("Total_UMIs"))
+    per = per.join(expected.select("sample", F.col("expected").alias("Expected")), "sample").withColumn("Sample", F.col("sample").cast("string"))
+    names = ["Expected", "Retain", "Simple_ED", "Tail_Tested", "ED_Pass", "Occ_Rem", "Final", "Total_UMIs"]
+    total = per.agg(*[F.sum(c).alias(c) for c in names]).withColumn("Sample", F.lit("TOTAL"))
+    return per.select("Sample", *names).unionByName(total.select("Sample", *names))

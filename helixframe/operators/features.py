@@ -14,12 +14,15 @@ from .barcodes import neighbourhood
 
 def match_features(reads: DataFrame, features: DataFrame, offsets: list[int], length: int, distance: int = 1) -> DataFrame:
     """Read, feature, distance of the best match at any offset (1-based); several best features give none.
-    features: feature, sequence, all of ``length``. Equi-joins with the features and their neighbourhood."""
+    features: feature, sequence, all of ``length``. Equi-joins with the features and their neighbourhood, which holds about
+    (4 * length) ** distance / distance! sequences a feature."""
     exact = features.select(F.col("sequence").alias("k"), "feature", F.lit(0).alias("distance"))
     near = exact
-    if distance:
-        hood = neighbourhood(features.select(F.col("sequence").alias("cb")), "cb", "ACGTN").select("variant", F.col("cb").alias("sequence"))
-        near = exact.unionByName(hood.join(features, "sequence").select(F.col("variant").alias("k"), "feature", F.lit(1).alias("distance")))
+    for d in range(1, distance + 1):
+        # one more letter changed; the least number of changes counts
+        hood = neighbourhood(near.select(F.col("k").alias("cb")).distinct(), "cb", "ACGTN").select("variant", F.col("cb").alias("k"))
+        wider = near.where(F.col("distance") == d - 1).join(hood, "k").select(F.col("variant").alias("k"), "feature", F.lit(d).alias("distance"))
+        near = near.unionByName(wider).groupBy("k", "feature").agg(F.min("distance").alias("distance"))
     tried = reads.select("read", F.explode(F.array_distinct(F.array(*[F.substring("seq", o, length) for o in offsets]))).alias("k"))
     hit = tried.join(near, "k").groupBy("read", "feature").agg(F.min("distance").alias("distance"))
     best = hit.withColumn("_b", F.min("distance").over(Window.partitionBy("read"))).where("distance = _b")
@@ -87,9 +90,9 @@ def two_gaussians(x: np.ndarray, starts: int = 10, rounds: int = 100, tol: float
             total = resp.sum(0)
             mu, pi = (resp * x[:, None]).sum(0) / np.maximum(total, 1e-12), np.maximum(total / len(x), 1e-12)
             var = max(float((resp * (x[:, None] - mu) ** 2).sum() / len(x)), 1e-6)
-            if abs(lse.mean() - last) < tol:
+            if abs(lse.sum() - last) < tol:
                 break
-            last = lse.mean()
+            last = lse.sum()
         if best is None or lse.sum() > best[0]:
             best = (lse.sum(), resp[:, int(mu.argmax())], abs(mu[0] - mu[1]))
     return best[1] if best[2] > 0 else np.zeros(len(x))

@@ -34,6 +34,28 @@ def prune_global(classes: DataFrame, least: float) -> DataFrame:
     return c.select(F.transform("_k", lambda x: x["tids"]).alias("tids"), F.transform("_k", lambda x: x["weights"] / total).alias("weights"), "count")
 
 
+def prune_local(classes: DataFrame, least: float) -> DataFrame:
+    """Ids of weight below least go from their class, the rest is scaled to sum 1; classes without a rest go."""
+    kept = F.filter(F.arrays_zip("tids", "weights"), lambda x: x["weights"] >= least)
+    return _rescaled(classes.withColumn("_k", kept))
+
+
+def prune_abundance(classes: DataFrame, least: float) -> DataFrame:
+    """Ids whose count times weight over all classes is below least go from every class, the rest is scaled to sum 1;
+    classes without a rest go."""
+    x = classes.select("tids", "weights", "count", F.posexplode(F.arrays_zip("tids", "weights")).alias("i", "x"))
+    rare = x.groupBy(F.col("x.tids").alias("tid")).agg(F.sum(F.col("count") * F.col("x.weights")).alias("_a")).where(F.col("_a") < least).select("tid")
+    each = x.select("tids", "weights", "count", "i", "x", F.col("x.tids").alias("tid")).join(rare, "tid", "left_anti")
+    kept = each.groupBy("tids", "weights", "count").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("_k"))
+    return _rescaled(kept)
+
+
+def _rescaled(classes: DataFrame) -> DataFrame:
+    total = F.aggregate("_k", F.lit(0.0), lambda s, x: s + x["weights"])
+    out = classes.where(F.size("_k") > 0)
+    return out.select(F.transform("_k", lambda x: x["tids"]).alias("tids"), F.transform("_k", lambda x: F.when(total > 0, x["weights"] / total).otherwise(x["weights"])).alias("weights"), "count")
+
+
 def best_hits(aligns: DataFrame, fraction: float = 0.65) -> DataFrame:
     """Alignments with score >= fraction of the read's best; decoys that beat all others drop the read."""
     w = Window.partitionBy("read")

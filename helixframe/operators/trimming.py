@@ -1,4 +1,4 @@
-"""Read trimming (P2, P3, P5-P8, P13). Alignments of adapters to reads run as array kernels over distinct reads of a batch."""
+"""Read trimming (P2, P3, P5-P8, P13). Alignments of adapters run as array kernels over all reads of a batch."""
 
 from __future__ import annotations
 
@@ -12,54 +12,99 @@ from pyspark.sql import functions as F
 from helixframe.functions.sequences import quality_cut
 
 
-def adapter_cut(read: str, adapter: str, least_overlap: int = 1, rate: float = 0.1, parity: str | None = None) -> int:
-    """Length of the read before the 3' adapter. Semiglobal alignment, match +1, mismatch -1, indel -2 (parity "3.2":
+#: A table entry is errors * _ERROR - score, so that the least entry has the fewest errors, then the best score.
+_ERROR = 1 << 12
+
+
+def _letters(text: str) -> np.ndarray:
+    """Code points, ASCII letters in upper case."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    return np.where((x >= 97) & (x <= 122), x - 32, x)
+
+
+def adapter_cut(reads: list[str], adapter: str, least_overlap: int = 1, rate: float = 0.1, parity: str | None = None) -> np.ndarray:
+    """Length of each read before the 3' adapter. Semiglobal alignment, match +1, mismatch -1, indel -2 (parity "3.2":
     the same places, chosen by most matches, then fewest errors). A match of aligned adapter length n counts if n is at least
-    the overlap and its errors at most rate * n. Rows of the table are adapter prefixes; a column is one read letter."""
-    a, r = adapter.upper(), read.upper()
-    m, n = len(a), len(r)
-    cost, score, origin = list(range(m + 1)), [-2 * i for i in range(m + 1)], [0] * (m + 1)
-    best: tuple[int, int, int, int] | None = None  # score, errors, start, length
-
-    def offer(found: tuple[int, int, int, int]) -> None:
-        nonlocal best
-        s, e, start, length = found
-        if length < least_overlap or e > int(rate * length):
-            return
-        if best is None:
-            best = found
-        elif parity == "3.2":
-            if (length - e, -e) > (best[3] - best[1], -best[1]):
-                best = found
-        elif s > best[0] and (start <= best[2] + m // 2 or length > best[3]):
-            best = found
-
-    for j in range(1, n + 1):
-        up = (cost[0], score[0], origin[0])
-        cost[0], score[0], origin[0] = 0, 0, j
-        for i in range(1, m + 1):
-            diagonal, left, above = up, (cost[i], score[i], origin[i]), (cost[i - 1], score[i - 1], origin[i - 1])
-            up = left
-            if a[i - 1] == r[j - 1]:
-                cost[i], score[i], origin[i] = diagonal[0], diagonal[1] + 1, diagonal[2]
-            else:
-                options = ((diagonal[0] + 1, diagonal[1] - 1, diagonal[2]), (left[0] + 1, left[1] - 2, left[2]), (above[0] + 1, above[1] - 2, above[2]))
-                cost[i], score[i], origin[i] = min(options, key=lambda o: (o[0], -o[1]))
-        offer((score[m], cost[m], origin[m], m))
-        if best is not None and best[1] == 0 and best[3] == m:
-            return best[2]
+    the overlap and its errors at most rate * n.
+
+    The table's rows are adapter prefixes, its columns the letters of all reads one after another (a column before each read's
+    first); a row is filled for all columns at once. Gaps in the adapter run along the row: a gap costs an error, so that as many
+    passes as errors are allowed settle every entry that can count."""
+    a, x = _letters(adapter), [_letters(r) for r in reads]
+    m, size = len(a), np.array([len(v) for v in x], np.int64)
+    allowed = int(rate * m)
+    stop = np.cumsum(size + 1)
+    start = stop - size - 1
+    letters = np.full(int(stop[-1]) if len(stop) else 0, -1, np.int32)
+    inside = np.ones(len(letters), bool)
+    inside[start] = False
+    letters[inside] = np.concatenate(x) if len(x) else letters[:0]
+    column = np.arange(len(letters)) - np.repeat(start, size + 1)
+    entry, origin = np.zeros(len(letters), np.int64), column.copy()
+    last = np.zeros((m + 1, 2, len(reads)), np.int64)
+    shift = lambda v: np.concatenate([v[:1], v[:-1]])
     for i in range(1, m + 1):
-        offer((score[i], cost[i], origin[i], i))
-    return n if best is None else best[2]
+        diagonal, same = shift(entry), inside & (letters == a[i - 1])
+        above = entry + _ERROR + 2
+        new = np.where(same, diagonal - 1, diagonal + _ERROR + 1)
+        source = shift(origin)
+        up = ~same & (above < new)
+        new, source = np.where(up, above, new), np.where(up, origin, source)
+        new[~inside], source[~inside], up[~inside] = i * (_ERROR + 2), 0, False
+        free = inside & ~same
+        for _ in range(allowed + 1):
+            left = shift(new) + _ERROR + 2
+            better = free & ((left < new) | ((left == new) & up))
+            if not better.any():
+                break
+            source = np.where(better, shift(source), source)
+            new, up = np.where(better, left, new), up & ~better
+        entry, origin = new, source
+        last[i, 0], last[i, 1] = entry[stop - 1], origin[stop - 1]
+    errors = (entry + _ERROR // 2) // _ERROR
+    found = np.flatnonzero(inside & (errors <= allowed)) if m >= least_overlap else np.zeros(0, np.int64)
+    bounds = np.searchsorted(found, np.concatenate([start, stop[-1:]]))
+    out = size.copy()
+    for k in range(len(reads)):
+        best: tuple[int, int, int, int] | None = None  # score, errors, start, length
+        whole = ((int(errors[j]) * _ERROR - int(entry[j]), int(errors[j]), int(origin[j]), m) for j in found[bounds[k] : bounds[k + 1]])
+        for s, e, at, length in _with_end(whole, last[:, :, k], least_overlap, rate, m):
+            if best is None:
+                best = (s, e, at, length)
+            elif parity == "3.2":
+                if (length - e, -e) > (best[3] - best[1], -best[1]):
+                    best = (s, e, at, length)
+            elif s > best[0] and (at <= best[2] + m // 2 or length > best[3]):
+                best = (s, e, at, length)
+            if best[1] == 0 and best[3] == m:
+                break
+        if best is not None:
+            out[k] = best[2]
+    return out
+
+
+def _with_end(whole: Iterator[tuple], last: np.ndarray, least_overlap: int, rate: float, m: int) -> Iterator[tuple[int, int, int, int]]:
+    """Alignments of the whole adapter by where they end, then those of its prefixes at the read's end."""
+    yield from whole
+    for i in range(max(1, least_overlap), m + 1):
+        entry, at = int(last[i, 0]), int(last[i, 1])
+        e = (entry + _ERROR // 2) // _ERROR
+        if e <= int(rate * i):
+            yield e * _ERROR - entry, e, at, i
 
 
 def adapter_cuts(adapter: str, **how):
-    """Column function: :func:`adapter_cut` of each read; each distinct read of a batch is aligned once."""
+    """Column function: :func:`adapter_cut` of each read, some millions of letters at a time."""
 
     @F.pandas_udf("int")
     def cuts(reads: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in reads:
-            yield batch.map({r: adapter_cut(r, adapter, **how) for r in batch.dropna().unique()}).astype("Int32")
+            out = pd.Series(pd.NA, index=batch.index, dtype="Int32")
+            known = batch.dropna()
+            block = known.str.len().cumsum() // (1 << 21)
+            for _, part in known.groupby(block):
+                out.loc[part.index] = adapter_cut(part.tolist(), adapter, **how)
+            yield out
 
     return cuts
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import barcodes, cells, features, flex, matrix, quant, slam, umi
+from helixframe.operators import barcodes, cells, features, flex, matrix, quant, slam, tables, umi
 from helixframe.operators import intervals as I
 
 from .catalog import register
@@ -86,7 +86,7 @@ def _fallback(s, d):
 register("m17_simple_fallback", lambda s, d: _fallback(s, d), f"WITH {_TOT} SELECT cb FROM tot WHERE CASE WHEN (SELECT count(*) FILTER (n <= 20) < 100 OR count(*) FILTER (n >= 30) < 100 FROM tot) THEN n >= 40 ELSE n >= 25 END")
 register("m18_crowded", lambda s, d: cells.remove_crowded(table(s, d, "orders").select(F.col("o_custkey").alias("gem"), F.col("o_orderpriority").alias("tag")).distinct(), 4), "WITH x AS (SELECT DISTINCT o_custkey AS gem, o_orderpriority AS tag FROM orders) SELECT * FROM x WHERE gem NOT IN (SELECT gem FROM x GROUP BY gem HAVING count(*) > 4)")
 register("u5_passers", lambda s, d: cells.passers(_tot(s, d).where("n > 60"), _tot(s, d).where("cb % 5 = 0")), f"WITH {_TOT} SELECT cb FROM tot WHERE n > 60 OR cb % 5 = 0")
-register("u6_occupancy_removal", lambda s, d: _tot(s, d).join(_tot(s, d).where("n > 90").select("cb"), "cb", "left_anti"), f"WITH {_TOT} SELECT cb, n FROM tot WHERE n <= 90")
+register("u6_occupancy_removal", lambda s, d: tables.without(_tot(s, d), _tot(s, d).where("n > 90")), f"WITH {_TOT} SELECT cb, n FROM tot WHERE n <= 90")
 register("a40_share_expected", lambda s, d: cells.share_expected(_tot(s, d).withColumn("tag", F.col("cb") % 4), 1000).select("tag", _r("expected", 3)), f"WITH {_TOT}, t AS (SELECT cb % 4 AS tag, n FROM tot), q AS (SELECT tag, quantile_cont(n, 0.95) AS top FROM t GROUP BY tag), w AS (SELECT tag, sum(least(n, top)) AS w FROM t JOIN q USING (tag) GROUP BY tag) SELECT tag, {_q('1000 * w / (SELECT sum(w) FROM w)', 3)} AS expected FROM w")
 
 # conversions
@@ -169,7 +169,7 @@ register("a45_dispersion", lambda s, d: features.dispersion(cell_matrix(s, d)).s
 register("a46_call_summary", lambda s, d: features.call_summary(_guides(s, d).select(F.col("feature").alias("call"), "n")).select("call", "cells", _r("percent", 4), "median_umis"), f"WITH {_GUIDES} SELECT feature AS call, count(*) AS cells, {_q('100.0::DOUBLE * count(*) / (SELECT count(*) FROM gd)', 4)} AS percent, quantile_cont(n, 0.5) AS median_umis FROM gd GROUP BY feature")
 register("a48_feature_totals", lambda s, d: features.feature_totals(molecules(s, d).groupBy(F.col("gene").alias("feature")).agg(F.count("*").alias("n")), molecules(s, d).select(F.col("gene").alias("feature"), "n")), f"WITH {MOLECULES} SELECT gene AS feature, count(*) AS molecules, CAST(sum(n) AS BIGINT) AS reads FROM mol GROUP BY gene")
 register("a48_umi_histogram", lambda s, d: features.umi_histogram(_guides(s, d)), f"WITH {_GUIDES} SELECT feature, n, count(*) AS cells FROM gd GROUP BY ALL")
-register("j28_covariates", lambda s, d: _guides(s, d).join(table(s, d, "customer").select(F.col("c_custkey").alias("cb"), "c_acctbal"), "cb", "left").groupBy("feature").agg(F.round(F.avg("c_acctbal"), 3).alias("mean")), f"WITH {_GUIDES} SELECT feature, round(avg(c_acctbal), 3) AS mean FROM gd LEFT JOIN customer ON cb = c_custkey GROUP BY feature")
+register("j28_covariates", lambda s, d: tables.with_covariates(_guides(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("cb"), "c_acctbal")).groupBy("feature").agg(F.round(F.avg("c_acctbal"), 3).alias("mean")), f"WITH {_GUIDES} SELECT feature, round(avg(c_acctbal), 3) AS mean FROM gd LEFT JOIN customer ON cb = c_custkey GROUP BY feature")
 
 # probes and read filters
 _probes = lambda s, d: table(s, d, "part").select(F.col("p_type").alias("gene_id"), F.lit("ACGTA").alias("probe_seq"), F.concat("p_name", F.when(F.col("p_size") == 3, "-deprecated").otherwise("")).alias("probe_id"), F.when(F.col("p_size") % 5 == 0, "FALSE").otherwise("TRUE").alias("included"), "p_partkey")
@@ -192,10 +192,10 @@ register("f11_mate_overlap", lambda s, d: flex.mate_overlap_filter(table(s, d, "
 register("f12_pileup_bases", lambda s, d: flex.pileup_bases(table(s, d, "lineitem").select("l_suppkey", F.col("l_quantity").alias("mapq"), (F.col("l_partkey") % 40).alias("qual"), (F.col("l_orderkey") % 4096).cast("int").alias("flag"))).groupBy("l_suppkey").agg(F.count("*").alias("n")), "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity >= 20 AND l_partkey % 40 >= 20 AND (l_orderkey % 4096) & 2304 = 0 GROUP BY l_suppkey")
 register("f15_signal_reads", lambda s, d: flex.signal_reads(table(s, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") % 4096).cast("int").alias("flag"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") - 2).alias("nh"))).groupBy("l_suppkey").agg(F.count("*").alias("n")), "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE (l_orderkey % 4096) & 1024 = 0 AND (l_linenumber <= 1 OR l_linenumber > 2) GROUP BY l_suppkey")
 register("f19_split_by_name", lambda s, d: (lambda a, b: a.withColumn("y", F.lit(True)).unionByName(b.withColumn("y", F.lit(False))))(*flex.split_by_name(table(s, d, "documents").select(F.col("doc_id").alias("name")), table(s, d, "labels").select(F.col("doc_id").alias("name")))), "SELECT doc_id AS name, doc_id IN (SELECT doc_id FROM labels) AS y FROM documents")
-register("o1_coordinate_sort", lambda s, d: aligns(s, d).select(F.when(F.col("chr") != "Brand#1", F.col("chr")).alias("tid"), F.col("start").alias("pos"), "read").orderBy(F.col("tid").asc_nulls_last(), "pos", "read"), f"WITH {ALIGNS} SELECT CASE WHEN chr <> 'Brand#1' THEN chr END AS tid, start AS pos, read FROM aligns ORDER BY tid NULLS LAST, pos, read")
-register("o8_first_reads", lambda s, d: flex.downsample(reads(s, d).select("read", "cb"), 1000, "read"), f"WITH {READS} SELECT read, cb FROM reads ORDER BY read LIMIT 1000")
+register("o1_coordinate_sort", lambda s, d: tables.place_order(aligns(s, d).select(F.when(F.col("nh") < 6, F.col("chr")).alias("chr"), F.col("start").alias("pos"), "read")), f"WITH {ALIGNS} SELECT CASE WHEN nh < 6 THEN chr END AS chr, start AS pos, read FROM aligns ORDER BY chr NULLS LAST, pos, read")
+register("o8_first_reads", lambda s, d: tables.first_rows(reads(s, d).select("read", "cb"), 1000, "read"), f"WITH {READS} SELECT read, cb FROM reads ORDER BY read LIMIT 1000")
 register("o10_background_sites", lambda s, d: flex.background_sites(_sites(s, d).select("chr", "pos"), _sites(s, d).where("k % 2 = 0").select("chr", "pos"), 100))
 register("o11_downsample", lambda s, d: flex.downsample(reads(s, d).select("read", "cb"), 500, "read", 3))
-register("u1_concatenate", lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(0).alias("file")).unionByName(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("file"))), "SELECT c_custkey AS id, 0 AS file FROM customer UNION ALL SELECT o_orderkey, 1 FROM orders")
-register("w9_best_two", lambda s, d: cell_matrix(s, d).withColumn("r", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("cb").orderBy(F.desc("n"), "gene"))).where("r <= 2"), f"WITH {CELLS} SELECT cb, gene, n, row_number() OVER (PARTITION BY cb ORDER BY n DESC, gene) AS r FROM cells QUALIFY r <= 2")
+register("u1_concatenate", lambda s, d: tables.concatenate([table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "orders").select(F.col("o_orderkey").alias("id"))], "file"), "SELECT c_custkey AS id, 0 AS file FROM customer UNION ALL SELECT o_orderkey, 1 FROM orders")
+register("w9_best_two", lambda s, d: tables.best(cell_matrix(s, d), ["cb"], "n", ["gene"]).withColumnRenamed("rank", "r"), f"WITH {CELLS} SELECT cb, gene, n, row_number() OVER (PARTITION BY cb ORDER BY n DESC, gene) AS r FROM cells QUALIFY r <= 2")
 register("j3_one_n", lambda s, d: barcodes.match(reads(s, d).select("read", F.concat(F.substring("umi", 1, 3), F.lit("N")).alias("seq")), reads(s, d).select(F.col("umi").alias("cb")).distinct().where("cb <= 'ACGT'")).groupBy("match").agg(F.count("*").alias("n")), f"WITH {READS}, wl AS (SELECT DISTINCT umi AS cb FROM reads WHERE umi <= 'ACGT'), c AS (SELECT read, count(*) OVER (PARTITION BY read) AS k FROM reads JOIN wl ON substr(reads.umi, 1, 3) = substr(wl.cb, 1, 3)) SELECT CASE WHEN k = 1 THEN 'one' ELSE 'multi' END AS match, count(*) AS n FROM c GROUP BY ALL")

@@ -38,5 +38,5 @@ def oracles() -> dict[str, str]:
 def _load() -> None:
     import importlib
 
-    for module in ("counting", "alignment", "analytics", "formats", "workflows", "files", "recursion"):
+    for module in ("counting", "alignment", "analytics", "formats", "workflows", "files", "recursion", "further"):
         importlib.import_module(f"helixframe.plans.{module}")

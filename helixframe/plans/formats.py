@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
-from helixframe.operators import matrix, trimming
+from helixframe.operators import matrix, tables, trimming
 from helixframe.sources import writers
 
 from .catalog import register
@@ -32,9 +32,9 @@ register("p6_adapter_trim", lambda s, d: _texts(s, d).select("read", trimming.ad
 register("p7_adapter_trim_32", lambda s, d: _texts(s, d).select("read", trimming.adapter_cuts("AGATCGGAAGAGC", parity="3.2")("seq").alias("kept")))
 register("p8_trim_pairs", lambda s, d: trimming.trim_pairs(_texts(s, d).select(F.col("read").cast("string").alias("name"), "seq", F.expr("repeat('I', length(seq))").alias("qual"), F.reverse("seq").alias("seq2"), F.expr("repeat('I', length(seq) - 10) || repeat('#', least(length(seq), 10))").alias("qual2")), "AGATCGGAAGAGC").select("name", F.length("seq").alias("n1"), F.length("seq2").alias("n2")))
 register("p13_mismatch_tags", lambda s, d: trimming.mismatches(table(s, d, "nation").select("n_name", F.rpad("n_name", 12, "x").alias("read_bases"), F.rpad(F.lit("ARGENTINA"), 12, "x").alias("ref_bases"))).select("n_name", "nm", "md"))
-register("p21_contig_names", lambda s, d: table(s, d, "supplier").select("s_suppkey", F.regexp_replace(F.concat(F.lit("ENSG"), "s_suppkey", F.lit("."), "s_nationkey"), r"\.\d+$", "").alias("gene")), "SELECT s_suppkey, 'ENSG' || s_suppkey AS gene FROM supplier")
-register("p22_transcript_sequence", lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("tr")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x")).select("tr", F.array_join(F.transform("x", lambda e: F.substring(F.lit("ACGTACGTAC"), (e["l_partkey"] % 7).cast("int") + 1, F.lit(3))), "").alias("seq")), "SELECT l_orderkey AS tr, string_agg(substr('ACGTACGTAC', CAST(l_partkey % 7 AS INT) + 1, 3), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem GROUP BY l_orderkey")
-register("p23_super_contigs", lambda s, d: table(s, d, "nation").select("n_nationkey", F.coalesce(F.sum(F.length("n_name") + 60).over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("n_regionkey").orderBy("n_nationkey").rowsBetween(-(1 << 31), -1)), F.lit(0)).alias("shift")), "SELECT n_nationkey, CAST(coalesce(sum(length(n_name) + 60) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM nation")
+register("p21_contig_names", lambda s, d: table(s, d, "supplier").select("s_suppkey", tables.unversioned(F.concat(F.lit("ENSG"), "s_suppkey", F.lit("."), "s_nationkey")).alias("gene")), "SELECT s_suppkey, 'ENSG' || s_suppkey AS gene FROM supplier")
+register("p22_transcript_sequence", lambda s, d: tables.transcript_sequence(table(s, d, "lineitem").select(F.col("l_orderkey").alias("tr"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("start"), F.substring(F.lit("ACGTACGTAC"), (F.col("l_partkey") % 7).cast("int") + 1, F.lit(3)).alias("seq"))), "SELECT l_orderkey AS tr, string_agg(substr('ACGTACGTAC', CAST(l_partkey % 7 AS INT) + 1, 3), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem GROUP BY l_orderkey")
+register("p23_super_contigs", lambda s, d: tables.super_contigs(table(s, d, "nation").select(F.col("n_nationkey").alias("contig"), F.length("n_name").alias("length"), "n_regionkey"), "n_regionkey").select(F.col("contig").alias("n_nationkey"), "shift"), "SELECT n_nationkey, CAST(coalesce(sum(length(n_name) + 60) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM nation")
 register("x4_phred", lambda s, d: table(s, d, "nation").select("n_nationkey", (F.floor(S.error_probability(F.substring("n_name", 1, 1)) * 1e6 + 0.5) / 1e6).alias("p")), "SELECT n_nationkey, floor(pow(10::DOUBLE, -(ascii(n_name[1]) - 33) / 10.0::DOUBLE) * 1e6 + 0.5) / 1e6 AS p FROM nation")
 register("x5_log_factorial", lambda s, d: table(s, d, "part").select("p_partkey", (F.floor(S.log_factorial(F.col("p_size")) * 1e6 + 0.5) / 1e6).alias("lf")), "SELECT p_partkey, floor(lgamma(p_size + 1) * 1e6 + 0.5) / 1e6 AS lf FROM part")
 register("x9_hashes", lambda s, d: table(s, d, "nation").select("n_nationkey", F.md5("n_name").alias("md5"), F.sha2("n_name", 256).alias("sha")), "SELECT n_nationkey, md5(n_name) AS md5, sha256(n_name) AS sha FROM nation")

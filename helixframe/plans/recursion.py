@@ -39,7 +39,7 @@ compare(
 )
 compare(
     "m10_error_model",
-    """WITH l AS (SELECT l_orderkey, l_linenumber, unnest(min(struct_pack(l_partkey := l_partkey, l_suppkey := l_suppkey))) FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey AS read, l_linenumber AS place, least(1, l_linenumber * 2 // 8) AS bin, (l_partkey % 4) * 9 + CASE WHEN l_suppkey % 10 > 0 THEN l_partkey % 4 ELSE (l_partkey + 1) % 4 END AS state FROM l),
+    """WITH l AS (SELECT l_orderkey, l_linenumber, x.p AS l_partkey, x.s AS l_suppkey FROM (SELECT l_orderkey, l_linenumber, min(struct_pack(p := l_partkey, s := l_suppkey)) AS x FROM lineitem GROUP BY ALL)), b AS (SELECT l_orderkey AS read, l_linenumber AS place, least(1, l_linenumber * 2 // 8) AS bin, (l_partkey % 4) * 9 + CASE WHEN l_suppkey % 10 > 0 THEN l_partkey % 4 ELSE (l_partkey + 1) % 4 END AS state FROM l),
       t AS (SELECT bin, lag(state) OVER (PARTITION BY read ORDER BY place) AS prior, state FROM b), n AS (SELECT bin, prior, state, count(*) AS n FROM t WHERE prior IS NOT NULL GROUP BY ALL)
       SELECT CAST(bin AS INT) AS bin, prior AS before, state, floor(ln((n + 1.0::DOUBLE) / sum(n + 1.0::DOUBLE) OVER (PARTITION BY bin, prior)) * 1e6 + 0.5) / 1e6 AS logp FROM n""",
 )

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators import barcodes, cells, features, flex, matrix, quant, slam, umi
+from helixframe.operators import barcodes, cells, features, flex, matrix, quant, slam, tables, umi
 
 from .catalog import register
-from .roles import READS, molecules, reads, table
+from .roles import MOLECULES, READS, molecules, reads, table
 from .roles import cells as cell_matrix
 
 
@@ -64,11 +64,11 @@ register("j6_inline_correction", lambda s, d: barcodes.correct_inline(reads(s, d
 register("j29_external_weights", lambda s, d: slam.join_weights(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(0.5).alias("weight")), ["l_orderkey", "l_linenumber"]).groupBy("l_suppkey").agg(F.sum("weight").alias("weight")), "SELECT l_suppkey, sum(CASE WHEN o_orderkey IS NOT NULL THEN 0.5 ELSE 1 END)::DOUBLE AS weight FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderkey % 2 = 0 AND l_linenumber = 1 GROUP BY l_suppkey")
 register("a32_trim_quality", lambda s, d: slam.base_composition(reads(s, d).select((F.col("cb") % 2 + 1).alias("mate"), F.col("umi").alias("seq"), F.lit("I5I5").alias("qual"))), f"""WITH {READS}, e AS (SELECT cb % 2 + 1 AS mate, i - 1 AS pos, umi[i] AS b, CASE WHEN i % 2 = 1 THEN 40 ELSE 20 END AS q FROM reads, range(1, 5) t(i)) SELECT mate, pos, count(*) FILTER (b = 'A') AS "A", count(*) FILTER (b = 'C') AS "C", count(*) FILTER (b = 'G') AS "G", count(*) FILTER (b = 'T') AS "T", count(*) FILTER (b = 'N') AS "N", avg(q) AS mean_qual FROM e GROUP BY ALL""")
 register("o6_seeded_order", lambda s, d: flex.downsample(reads(s, d).select("read"), 1 << 30, "read", 777))
-register("u10_concatenate", lambda s, d: table(s, d, "orders").where("o_orderkey % 2 = 0").unionByName(table(s, d, "orders").where("o_orderkey % 2 = 1")).select("o_orderkey"), "SELECT o_orderkey FROM orders")
+register("u10_concatenate", lambda s, d: tables.concatenate([table(s, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), table(s, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey")], "part"), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS part FROM orders")
 register("x1_strings", lambda s, d: table(s, d, "nation").select("n_nationkey", F.substring("n_name", 2, 3).alias("mid"), F.rpad(F.lower("n_name"), 20, ".").alias("pad"), F.contains(F.lower("n_name"), F.lit("an")).alias("an")), "SELECT n_nationkey, substr(n_name, 2, 3) AS mid, rpad(lower(n_name), 20, '.') AS pad, contains(lower(n_name), 'an') AS an FROM nation")
 _model_lines = lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 _model_bases = lambda s, d: _model_lines(s, d).select(F.col("l_orderkey").alias("read"), F.lit(8).alias("length"), (F.col("l_partkey") % 4).alias("ref"), F.when(F.col("l_suppkey") % 10 > 0, F.col("l_partkey") % 4).otherwise((F.col("l_partkey") + 1) % 4).alias("base"), F.col("l_linenumber").alias("at"))
 register("m10_error_model", lambda s, d: quant.error_model(_model_bases(s, d), 2).select(F.col("bin").cast("int").alias("bin"), "before", "state", (F.floor(F.col("logp") * 1e6 + 0.5) / 1e6).alias("logp")))
 register("m15_flex_empty_drops", lambda s, d: cells.flex_empty_drops(cell_matrix(s, d), cell_matrix(s, d).groupBy("cb").agg(F.sum("n").alias("n")), 1000, 45, 60, rounds=100))
 register("z4_sample_filter", lambda s, d: cells.sample_summary(cells.filter_samples(cell_matrix(s, d).withColumn("gem", F.col("cb")).withColumn("tag", F.col("cb") % 2).drop("cb"), 100, crowded=1)))
-register("a2_partial_merge", lambda s, d: molecules(s, d).groupBy("gene").agg(F.sum("n").alias("reads")), f"WITH {READS} SELECT gene, count(*) AS reads FROM reads GROUP BY gene")
+register("a2_partial_merge", lambda s, d: tables.merge_partials([molecules(s, d).where("cb < 40").groupBy("gene").agg(F.sum("n").alias("reads")), molecules(s, d).where("cb >= 40").groupBy("gene").agg(F.sum("n").alias("reads"), F.count("*").alias("late"))], ["gene"]), f"WITH {MOLECULES} SELECT gene, CAST(sum(n) AS BIGINT) AS reads, count(*) FILTER (cb >= 40) AS late FROM mol GROUP BY gene")

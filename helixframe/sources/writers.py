@@ -131,3 +131,20 @@ def overlap_tags(reads: DataFrame) -> DataFrame:
 def write_tag_table(tags: DataFrame, path: str) -> None:
     """K24."""
     _tsv(tags.select("read", "cb", "ub", "status"), path)
+
+
+#: Tags of the presets (K1).
+TAGS = {"none": [], "standard": ["NH", "HI", "AS", "nM"], "all": ["NH", "HI", "AS", "nM", "NM", "MD", "jM", "jI", "MC", "ch"]}
+
+
+def mapping_quality(hits: Column, unique: int = 255) -> Column:
+    """K1: unique for one place, 3 for two, 1 for three or four, 0 beyond."""
+    return F.when(hits >= 5, 0).when(hits >= 3, 1).when(hits == 2, 3).otherwise(unique)
+
+
+def with_preset(aligns: DataFrame, preset: str = "standard", flag_or: int = 0, flag_and: int = 65535, unique: int = 255) -> DataFrame:
+    """K1: the preset's tags (of the column tags, which has NH), flags combined with both masks, quality by the number of places."""
+    keep = F.array(*map(F.lit, TAGS[preset])) if TAGS[preset] else F.array().cast("array<string>")
+    hits = F.coalesce(F.col("tags")["NH"].cast("int"), F.lit(1))
+    flag = F.col("flag").cast("int").bitwiseOR(F.lit(flag_or)).bitwiseAND(F.lit(flag_and))
+    return aligns.withColumn("mapq", mapping_quality(hits, unique)).withColumn("flag", flag).withColumn("tags", F.map_filter("tags", lambda k, _: F.array_contains(keep, k)))

@@ -33,15 +33,91 @@ def test_quality_cut(spark):
 
 
 def test_adapter_trim():
+    cut = lambda r, a: trimming.adapter_cut([r], a)[0]
     read = "ACGTACGTACGTACGT"
     adapter = "AGATCGGAAGAGC"
-    assert trimming.adapter_cut(read + adapter, adapter) == 16
-    assert trimming.adapter_cut(read + adapter[:5], adapter) == 16
-    assert trimming.adapter_cut("C" * 16, "AGATCGGAAGAGC") == 16
-    assert trimming.adapter_cut(read.lower() + adapter.lower(), adapter) == 16
-    assert trimming.adapter_cut(read + "AGATCGGTAGAGC", adapter) == 16  # a mismatch
-    assert trimming.adapter_cut(read + "AGATCGGAGAGC", adapter) == 16  # a deletion
-    assert trimming.adapter_cut("", adapter) == 0
+    assert cut(read + adapter, adapter) == 16
+    assert cut(read + adapter[:5], adapter) == 16
+    assert cut("C" * 16, "AGATCGGAAGAGC") == 16
+    assert cut(read.lower() + adapter.lower(), adapter) == 16
+    assert cut(read + "AGATCGGTAGAGC", adapter) == 16  # a mismatch
+    assert cut(read + "AGATCGGAGAGC", adapter) == 16  # a deletion
+    assert cut("", adapter) == 0
+
+
+# fixed values: adapter, least overlap, rate, then reads and where they are cut
+ADAPTER_CUTS = [
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTACGTACGTACGTAGATCGGAAGAGC", 16),
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTACGTACGTACGTACGTACGTAGA", 24),
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTACGTACGTACGTACGTACGTA", 24),
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTACGTACGTACGTAGATCGGTAGAGC", 16),
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTACGTACGTACGTACGTACGTACGT", 28),
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTACGTAGATCGGAAGAGCACGTACGT", 8),
+    ("AGATCGGAAGAGC", 1, 0.1, "AGATCGGAAGAGCACGTACGTAAGAGC", 0),
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTACGTACGTACGTACGTACGTAG", 24),
+    ("AGATCGGAAGAGC", 1, 0.1, "AGATCGGAAGAGC", 0),
+    ("AGATCGGAAGAGC", 1, 0.15, "ACGTACGTACGTACGTAGAXTCGGAAGAGC", 16),
+    ("AGATCGGAAGAGC", 1, 0.15, "ACGTACGTACGTACGTAGATCGAAGAGC", 16),
+    ("AGATCGGAAGAGC", 3, 0.1, "ACGTACGTACGTACGTACGTACGTAG", 26),
+    ("AGATCGGAAGAGC", 1, 0.1, "AGATCGGACGTAAGAGCAGATCGGAAGAGC", 17),
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTAGA", 4),
+    ("AGATCGGAAGAGC", 1, 0.1, "ACGTACGTACGTACGTagatcggaagagc", 16),
+]
+
+
+def test_adapter_cuts_of_the_golden_reads():
+    for parity in (None, "3.2"):
+        for adapter, overlap, rate, read, want in ADAPTER_CUTS:
+            assert trimming.adapter_cut([read], adapter, overlap, rate, parity)[0] == want, (read, parity)
+
+
+def plain_adapter_cut(read: str, adapter: str, least_overlap: int = 1, rate: float = 0.1, parity: str | None = None) -> int:
+    """The table letter by letter."""
+    a, r = adapter.upper(), read.upper()
+    m, n = len(a), len(r)
+    cost, score, origin = list(range(m + 1)), [-2 * i for i in range(m + 1)], [0] * (m + 1)
+    best: tuple[int, int, int, int] | None = None  # score, errors, start, length
+
+    def offer(found: tuple[int, int, int, int]) -> None:
+        nonlocal best
+        s, e, start, length = found
+        if length < least_overlap or e > int(rate * length):
+            return
+        if best is None:
+            best = found
+        elif parity == "3.2":
+            if (length - e, -e) > (best[3] - best[1], -best[1]):
+                best = found
+        elif s > best[0] and (start <= best[2] + m // 2 or length > best[3]):
+            best = found
+
+    for j in range(1, n + 1):
+        up = (cost[0], score[0], origin[0])
+        cost[0], score[0], origin[0] = 0, 0, j
+        for i in range(1, m + 1):
+            diagonal, left, above = up, (cost[i], score[i], origin[i]), (cost[i - 1], score[i - 1], origin[i - 1])
+            up = left
+            if a[i - 1] == r[j - 1]:
+                cost[i], score[i], origin[i] = diagonal[0], diagonal[1] + 1, diagonal[2]
+            else:
+                options = ((diagonal[0] + 1, diagonal[1] - 1, diagonal[2]), (left[0] + 1, left[1] - 2, left[2]), (above[0] + 1, above[1] - 2, above[2]))
+                cost[i], score[i], origin[i] = min(options, key=lambda o: (o[0], -o[1]))
+        offer((score[m], cost[m], origin[m], m))
+        if best is not None and best[1] == 0 and best[3] == m:
+            return best[2]
+    for i in range(1, m + 1):
+        offer((score[i], cost[i], origin[i], i))
+    return n if best is None else best[2]
+
+
+def test_adapter_cuts_match_the_plain_table():
+    rng = np.random.default_rng(4)
+    for adapter in ("AGATCGGAAGAGC", "ACAC", "AAAAAAAA"):
+        for rate in (0.0, 0.1, 0.3):
+            for parity in (None, "3.2"):
+                reads = ["".join(rng.choice(list("ACGT"), rng.integers(0, 40))) for _ in range(60)]
+                reads += [r[:12] + adapter[: rng.integers(1, len(adapter) + 1)] + r[12:20] for r in reads[:40]]
+                assert trimming.adapter_cut(reads, adapter, 1, rate, parity).tolist() == [plain_adapter_cut(r, adapter, 1, rate, parity) for r in reads]
 
 
 def test_trim_pairs(spark):
