@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own in the warehouse only where that is unset."""
+    """The folder in spark.checkpoint.dir; one of our own in the warehouse only where that is unset and the session is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
@@ -29,10 +32,29 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
-    """As :func:`cut`, as a Parquet table, which later reads prune by column."""
+#: Tables written since temporary() was entered, of each nesting in turn.
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are stored within are deleted at the end; what is to stay has to be stored by then outside of it, or read."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        release(spark)
+
+
+def stored(frame: DataFrame, label: str, outer: bool = False) -> DataFrame:
+    """As :func:`cut`, as a Parquet table, which later reads prune by column. outer: it outlives the innermost temporary()."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if len(_OPEN) > outer:
+        _OPEN[-1 - outer].append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -52,7 +74,8 @@ def map_batches(frame: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], I
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more."""
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more: it finds them when the driver's
+    memory is collected, which may be long after."""
     import gc
 
     gc.collect()

@@ -21,12 +21,18 @@ from .license_rules import BASE, rules
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CUT = "\x01"
+#: Elements of an array that is gathered are added to a block of so many.
+BLOCK = 256
 _DETECTION = "struct<start:bigint,stop:bigint,rule:int,label:string,priority:int,confidence:double>"
 
 
 def stems() -> list[str]:
     """Pieces of text one of which every keyword holds."""
-    return sorted({"licen" if "licen" in k else k for _, _, _, k, _ in rules()})
+    found: list[str] = ["licen"]
+    for k in sorted({k for _, _, _, k, _ in rules()}, key=lambda k: (len(k), k)):
+        if not any(s in k for s in found):
+            found.append(k)
+    return found
 
 
 def normal_form(text: Column) -> Column:
@@ -44,38 +50,55 @@ def _rule_table() -> Column:
     return F.array(*rows)
 
 
+def _gathered(items: Column, kind: str, state: dict[str, Column], step) -> Column:
+    """Fold over items that gathers an array of ``kind``: step(state, item) gives the new state and the element to add (null:
+    none). Elements are gathered in blocks, so that an array is never copied for each of them."""
+    none = F.array().cast(f"array<{kind}>")
+    first = F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), none.alias("open"), *[v.alias(k) for k, v in state.items()])
+
+    def add(acc: Column, item: Column) -> Column:
+        # neither let() nor a change of type where all that is gathered so far would be copied for it
+        new, one = step(acc, item)
+        added = F.when(one.isNull(), none).otherwise(F.array(one.cast(kind))).cast(f"array<{kind}>")
+        over = F.size(acc["open"]) >= BLOCK
+        full = F.when(over, F.concat(acc["full"], F.array(acc["open"]).cast(f"array<array<{kind}>>"))).otherwise(acc["full"])
+        return F.struct(full.alias("full"), F.when(over, added).otherwise(F.concat(acc["open"], added)).alias("open"), *[new[k].alias(k) for k in state])
+
+    return F.aggregate(items, first, add, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["open"]))))
+
+
 def detections(normal: Column) -> Column:
     """All matches of all rules in a text in normal form."""
 
     def of_rule(rule: Column) -> Column:
         pieces = F.split(F.regexp_replace(normal, rule["pattern"], F.lit(f"{_CUT}$0{_CUT}")), _CUT)
-        none = F.array().cast(f"array<{_DETECTION}>")
-        first = F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(False).alias("hit"), none.alias("found"))
 
-        def add(acc: Column, piece: Column) -> Column:
+        def step(acc: Column, piece: Column):
             n = _spaces(piece)
             one = F.struct(acc["at"].alias("start"), (acc["at"] + n + 1).alias("stop"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"))
-            return F.struct((acc["at"] + n).alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+            return {"at": acc["at"] + n, "hit": ~acc["hit"]}, F.when(acc["hit"], one)
 
-        return F.aggregate(pieces, first, add)["found"]
+        return _gathered(pieces, _DETECTION, {"at": F.lit(-1).cast("bigint"), "hit": F.lit(False)}, step)
 
     return F.flatten(F.transform(F.filter(_rule_table(), lambda r: F.contains(normal, r["keyword"])), of_rule))
 
 
 def kept(found: Column) -> Column:
-    """Detections that none with a better claim contains."""
+    """Detections that none with a better claim contains. In order of start, then longest, highest priority and earliest rule
+    first, a detection is contained in an earlier one of no lower priority exactly if the furthest stop of those so far is not
+    before its own; so one furthest stop for each priority is carried along."""
     base = len(BASE)
+    levels = sorted({p for _, p, _, _, _ in rules()})
+    keyed = F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("far"), (-d["priority"]).alias("low"), d["rule"].alias("rule"), d.alias("d")))
 
-    def beaten(d: Column) -> Column:
-        def by(e: Column) -> Column:
-            inside = (e["start"] <= d["start"]) & (d["stop"] <= e["stop"])
-            longer = (e["stop"] - e["start"]) > (d["stop"] - d["start"])
-            same_place = (e["start"] == d["start"]) & (e["stop"] == d["stop"])
-            return inside & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (same_place & (e["rule"] < d["rule"])))))
-
-        return F.exists(found, by)
+    def step(acc: Column, x: Column):
+        d = x["d"]
+        ahead = F.exists(acc["stops"], lambda s: (s["priority"] >= d["priority"]) & (s["stop"] >= d["stop"]))
+        stops = F.transform(acc["stops"], lambda s: F.struct(s["priority"].alias("priority"), F.when(s["priority"] == d["priority"], F.greatest(s["stop"], d["stop"])).otherwise(s["stop"]).alias("stop")))
+        return {"stops": stops}, F.when((d["rule"] < base) | ~ahead, d)
 
-    return F.filter(found, lambda d: (d["rule"] < base) | ~beaten(d))
+    none = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(-1).cast("bigint").alias("stop")) for p in levels])
+    return F.when(F.size(found) < 2, found).otherwise(_gathered(F.array_sort(keyed), _DETECTION, {"stops": none}, step))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

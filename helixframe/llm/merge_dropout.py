@@ -335,7 +335,7 @@ def _run(docs, model, rate, seed, id_col, text_col, round_col, schema, out):
 
     def kernel(batches):
         coder = get()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = batch.column(1)
             ids, off = coder.encode(texts, batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), *out(coder, texts, ids, off)], names=["id", *names])

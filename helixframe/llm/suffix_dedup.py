@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import partitions, stored
+from .frames import partitions, release, stored, temporary
 from .sieve import passes, sieve
 from .vec import SpanHash, anchor_runs, byte_grams, mix64, ragged, row_of, slices, sliding_min, text_buffer
 
@@ -132,12 +132,17 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _of_batches(lengths: tuple[int, ...], columns: str, rows):
-    """A mapInArrow kernel that yields rows(strings, number of the length) of every slice and length."""
+def _of_batches(lengths: tuple[int, ...], columns: str, rows, texts=None):
+    """A mapInArrow kernel that yields rows(strings, number of the length) of every slice and length. texts: sieve of the texts
+    that matter."""
     names = [c.split()[0] for c in columns.split(", ")]
 
+    def some(batches):
+        for batch in batches:
+            yield batch if texts is None else batch.filter(pa.array(passes(texts.value, batch.column(2).to_numpy().view(_U))))
+
     def kernel(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(some(batches), "text", 2 << 20):
             strings = None
             for w, length in enumerate(lengths):
                 strings = Strings(batch, length, strings)
@@ -172,8 +177,8 @@ def _runs(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFrame:
     return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
 
 
-def _coarse_pieces(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFrame:
-    """Coarse pieces of the runs whose name passes; rel: first start, counted from the run's; part: the piece's own name."""
+def _coarse_pieces(texts: DataFrame, lengths: tuple[int, ...], bitmap, rows_of) -> DataFrame:
+    """Coarse pieces of the runs whose name passes, as their text's hash does; rel: first start, counted from the run's; part: the piece's own name."""
 
     def rows(s, w):
         p = s.coarse(passes(bitmap.value, s.names))
@@ -181,11 +186,11 @@ def _coarse_pieces(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFr
         return [_long(core), _long(piece), _long(s.names[p["run"]]), _long(p["name"]), pa.array(p["at"] - s.lo[p["run"]]), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32))]
 
     schema = "core bigint, piece bigint, name bigint, part bigint, rel bigint, v0 int, v1 int"
-    return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
+    return texts.mapInArrow(_of_batches(lengths, schema, rows, rows_of), schema)
 
 
-def _fine_pieces(texts: DataFrame, lengths: tuple[int, ...], runs, parts) -> DataFrame:
-    """Fine pieces of the coarse ones whose run's and own name pass; rel: first start, counted from the coarse one's."""
+def _fine_pieces(texts: DataFrame, lengths: tuple[int, ...], runs, parts, rows_of) -> DataFrame:
+    """Fine pieces of the coarse ones whose run's and own name pass, as their text's hash does; rel: first start, counted from the coarse one's."""
 
     def rows(s, w):
         p = s.coarse(passes(runs.value, s.names))
@@ -199,7 +204,7 @@ def _fine_pieces(texts: DataFrame, lengths: tuple[int, ...], runs, parts) -> Dat
         return [_long(core), _long(piece), _long(p["name"]), pa.array(p["rel"].astype(np.int32)), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32)), *sides]
 
     schema = "core bigint, piece bigint, part bigint, rel int, v0 int, v1 int, left binary, right binary"
-    return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
+    return texts.mapInArrow(_of_batches(lengths, schema, rows, rows_of), schema)
 
 
 def ranked(rows: DataFrame, by: list[str], label: str, equal: list[str] | None = None) -> DataFrame:
@@ -329,7 +334,8 @@ def equal_strings(kinds: DataFrame) -> DataFrame:
     width = 2 * PIECE - 1
     places = [*range(1, width, 3), *range(2, width, 3)]
     sample = sorted({t if t % 3 else t + 1 for t in range(PIECE)})
-    below = order(symbols, len(places), [places.index(p) for p in sample], -(-PIECE // 3))
+    with temporary(kinds.sparkSession):
+        below = stored(order(symbols, len(places), [places.index(p) for p in sample], -(-PIECE // 3)), "below", True)
     # all suffixes by first symbol (of the rest) and order behind it
     own = {p: F.get("r", F.lit(i)) for i, p in enumerate(sample)}
     byte = lambda t: F.get("s", F.lit(len(places) + t))
@@ -364,6 +370,10 @@ def equal_strings(kinds: DataFrame) -> DataFrame:
     return mine.join(classes, ["part", "k"])
 
 
+def _texts_of(rows: DataFrame):
+    return sieve(rows.select(F.col("first.row").alias("row")), "row", 25)
+
+
 def _hit(place) -> Column:
     """Whether a string at this place is repeated, by what is known of all places that hold it."""
     return F.when(F.col("how") == ANY, F.col("n") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("first") < place)
@@ -376,7 +386,7 @@ def _moved(place: str, by: Column) -> Column:
 def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (hash of the text), spans: array of (w, at, n, mask): of the wanted length w, starts at + t, t < n, are
     repeated where bit t of mask is set, all of them where it is null."""
-    lengths = tuple(length for length, _ in wanted)
+    spark, lengths = docs.sparkSession, tuple(length for length, _ in wanted)
     if min(lengths) < GRAM + COARSE:
         raise ValueError(f"strings of fewer than {GRAM + COARSE} bytes can't be cut into pieces")
     which = F.array(*(F.lit(how) for _, how in wanted))
@@ -388,26 +398,30 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     ids = [F.min(F.struct("doc_id")).alias("low"), F.max(F.struct("doc_id")).alias("high")]
     classes = stored(runs.groupBy("w", "how", "key", "whole").agg(F.count("*").alias("n"), F.first("places").alias("places"), F.min(F.struct(place.alias("first"), "name")).alias("head"), *ids), "classes")
     open_ = classes.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
+    release(spark)
     reps = stored(classes.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "n", "low", "high"), "open-classes")
     total = [F.first("how").alias("how"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
     # kinds of coarse pieces of one run of each class
-    pieces = _coarse_pieces(texts, lengths, sieve(reps, "name")).join(reps, "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    pieces = _coarse_pieces(texts, lengths, sieve(reps, "name"), _texts_of(reps)).join(reps, "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
     pieces = stored(pieces, "pieces")
     kinds = stored(pieces.groupBy("core", "piece").agg(*total, F.min(F.struct(F.col("at").alias("first"), "name", "part")).alias("head")), "kinds").withColumn("first", F.col("head.first"))
     undone = F.max(F.when(F.col("how") == ANY, F.col("n") == 1).when(F.col("how") == OTHER, F.col("low") == F.col("high")).otherwise(True))
     ways = kinds.groupBy("core").agg(F.count("*").alias("ways"), undone.alias("undone")).where("ways > 1 and undone").select("core")
     beside = kinds.join(ways, "core").select("how", F.col("core").alias("of_core"), F.col("piece").alias("of_piece"), F.col("head.name").alias("name"), F.col("head.part").alias("part"), "first", "n", "low", "high")
     beside = stored(beside, "open-kinds")
+    release(spark)
     # kinds of fine pieces of one piece of each kind
-    fine = _fine_pieces(texts, lengths, sieve(beside, "name", 25), sieve(beside, "part", 25)).join(beside.drop("name"), "part").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    fine = _fine_pieces(texts, lengths, sieve(beside, "name", 25), sieve(beside, "part", 25), _texts_of(beside)).join(beside.drop("name"), "part").withColumn("at", _moved("first", F.col("rel"))).drop("first")
     fine = stored(fine, "fine-pieces")
     body = [F.first(c).alias(c) for c in ("v0", "v1", "left", "right")]
     small = stored(fine.groupBy("core", "piece").agg(*body, *total, F.min("at").alias("first")).withColumn("u", F.monotonically_increasing_id()), "fine-kinds")
     several = small.groupBy("core").agg(F.count("*").alias("ways")).where("ways > 1").select("core")
     left = stored(small.join(several, "core"), "left")
-    found = equal_strings(left.drop("piece", "how")).join(left.select("u", "how"), "u").where(_hit(F.col("mine")))
+    release(spark)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("t"))
-    masks = stored(found.select("u", bit.alias("bit")).groupBy("u").agg(F.bit_or("bit").alias("mask")), "masks")
+    with temporary(spark):
+        found = equal_strings(left.drop("piece", "how")).join(left.select("u", "how"), "u").where(_hit(F.col("mine")))
+        masks = stored(found.select("u", bit.alias("bit")).groupBy("u").agg(F.bit_or("bit").alias("mask")), "masks", True)
     # back: of a fine piece all starts if its own kind says so, else those of the kind's mask
     null = F.lit(None).cast("bigint")
     span = lambda at, n, mask: F.struct(at.cast("bigint").alias("at"), n.cast("int").alias("n"), mask.alias("mask"))
@@ -454,7 +468,9 @@ def covered(n_bytes: int, spans: pa.Scalar, lengths: tuple[int, ...]) -> list[np
 
 def _marked(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col: str, text_col: str) -> DataFrame:
     """All columns of docs and __sd_spans; only texts that have some are shuffled."""
-    spans = stored(repeated_starts(docs, wanted, id_col, text_col), "spans").withColumnsRenamed({"doc_id": "__sd_id", "row": "__sd_row", "spans": "__sd_spans"})
+    with temporary(docs.sparkSession):
+        spans = stored(repeated_starts(docs, wanted, id_col, text_col), "spans", True)
+    spans = spans.withColumnsRenamed({"doc_id": "__sd_id", "row": "__sd_row", "spans": "__sd_spans"})
     bitmap = sieve(spans.select("__sd_row"), "__sd_row")
     keyed = docs.withColumn("__sd_key", F.xxhash64(F.col(f"`{text_col}`")))
 

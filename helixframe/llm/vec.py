@@ -68,13 +68,10 @@ class SpanHash:
         """narrow: all values are below 512, and hashed as they are."""
         n = len(values)
         self.lanes = []
-        if narrow:
-            halves = (values.astype(U64, copy=False),) * 2
-        else:
-            mixed = mix64(values)
-            halves = (mixed & U64(_PRIME), (mixed >> U64(31)) & U64(_PRIME))
-        for half, (pw, ipw) in zip(halves, powers(n + 1), strict=True):
-            term = half * pw[:n]
+        values = values.astype(U64, copy=False) if narrow else mix64(values)
+        for lane, (pw, ipw) in enumerate(powers(n + 1)):
+            term = values if narrow else (values >> U64(31 * lane)) & U64(_PRIME)
+            term = term * pw[:n]
             if not narrow or n >= 1 << 23:
                 term = _fold(term)
             sums = np.zeros(n + 1, U64)
@@ -92,13 +89,11 @@ class SpanHash:
 
 
 def byte_grams(buf: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` bytes (a multiple of 8)."""
+    """Hash of each run of ``width`` bytes (a multiple of 8): good enough to order and to group runs by, not to tell them apart."""
     n = max(0, len(buf) - width + 1)
-    padded = np.ascontiguousarray(buf)
-    out = np.zeros(n, U64)
-    for k in range(0, width, 8):
-        eight = np.ndarray((n,), "<u8", padded, offset=k, strides=(1,)) if n else out
-        out = mix64(out ^ eight) * U64(0x9E3779B97F4A7C15 + 2 * k)
+    padded, out = np.ascontiguousarray(buf), np.zeros(n, U64)
+    for k in range(0, width, 8) if n else ():
+        out += np.ndarray((n,), "<u8", padded, offset=k, strides=(1,)) * U64(0x9E3779B97F4A7C15 + (k << 32))
     return mix64(out)
 
 
