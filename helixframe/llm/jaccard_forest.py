@@ -6,8 +6,8 @@ Texts with equal words in equal order are one class; the least id stands for it.
 1. Signatures: ``TREES`` trees of ``DEPTH`` min-hashes of one byte each. A tree's bytes, most significant first, are one
    64-bit key, so that sorted keys are the tree's prefix trie, and a node at depth d is the keys with d equal leading
    bytes.
-2. Prefixes are shortened from the full depth, level by level, until the recall at the threshold, 1 - (1 - t^d)^TREES,
-   reaches the target. Classes below one node of that depth are candidates.
+2. Matched prefixes are shortened from the full depth, level by level, until the recall, measured on the pairs found so far,
+   reaches the target (:func:`candidates`). A node is compared at the depth where it gains members, child against child.
 3. In each node, blocks of signatures are compared; pairs whose signatures agree in too few bytes for the threshold (by
    more than five standard deviations) fall out, and of the rest a spanning forest is returned.
 4. The forests' components are the candidate groups. In each, blocks of exact shingle sets are intersected, and every
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs, run_groups
 from .components import components, local_components
-from .frames import stored
+from .frames import stored, temporary
 from .vec import SpanHash, mix64, slices, text_buffer, white_words
 
 SHINGLE = 5
@@ -36,12 +36,14 @@ _MULTIPLY = (_RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint
 _FLIP = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
-def depth_for(threshold: float, target: float) -> int:
-    """The longest prefix whose recall at the threshold reaches the target; 1 if none does."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < target:
-        depth -= 1
-    return depth
+def estimate(agree):
+    """Likeness of signatures by the bytes that agree, of which one in 256 does by chance."""
+    return np.clip((np.asarray(agree) / (TREES * DEPTH) - 1 / 256) / (1 - 1 / 256), 0, 1)
+
+
+def chance(likeness, depth: int):
+    """That two signatures of this likeness share a prefix of this depth in one tree at least."""
+    return 1 - (1 - likeness**depth) ** TREES
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, SpanHash, np.ndarray]:
@@ -130,30 +132,84 @@ def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], off - off[0]
 
 
-def alike(least: int):
-    """Spanning forest of the pairs of a node whose signatures agree in ``least`` bytes."""
+def alike(least: int, depth: int, threshold: float):
+    """Of a node: a spanning forest (a, b) of the pairs whose signatures agree in ``least`` bytes and that the node's children
+    don't hold already; and rows without a that count (seen), by the bytes that agree (b), the pairs that seem to reach the threshold,
+    each in the node where it is met first."""
 
     def kernel(table: pa.Table) -> pa.RecordBatch | None:
         a, b = _sides(table)
         if not len(a) or not len(b):
             return None
-        first = table.column("first").to_numpy()
+        first, tree = table.column("first").to_numpy(), int(table.column("tree")[0].as_py())
         flat, _ = _flat(table, "trees")
-        sig = flat.view(np.uint8).reshape(len(first), TREES * DEPTH)
-        left, right = [], []
+        # bytes of a key, most significant first
+        sig = flat.view(np.uint8).reshape(len(first), TREES, DEPTH)[:, :, ::-1]
+        whole = np.ascontiguousarray(sig).reshape(len(first), TREES * DEPTH)
+        child = whole[:, tree * DEPTH + depth] if depth < DEPTH else None
+        left, right, agree = [], [], []
         for at in range(0, len(a), 64):
-            same = (sig[a[at : at + 64], None, :] == sig[None, b, :]).sum(2, dtype=np.int16)
-            x, y = np.nonzero(same >= least)
-            left.append(a[at : at + 64][x])
+            some = a[at : at + 64]
+            same = (whole[some, None, :] == whole[None, b, :]).sum(2, dtype=np.int16)
+            hit = (same >= least) & (some[:, None] != b[None, :])
+            if child is not None:
+                hit &= child[some][:, None] != child[b][None, :]
+            x, y = np.nonzero(hit)
+            left.append(some[x])
             right.append(b[y])
-        x, y = np.concatenate(left), np.concatenate(right)
+            agree.append(same[x, y])
+        x, y, n = np.concatenate(left), np.concatenate(right), np.concatenate(agree)
         root = local_components(x, y, len(first))
-        hit = np.flatnonzero(root != np.arange(len(first)))
-        return pa.RecordBatch.from_arrays([pa.array(first[hit]), pa.array(first[root[hit]])], names=["a", "b"]) if len(hit) else None
+        joined = np.flatnonzero(root != np.arange(len(first)))
+        # each pair once: in the first tree whose prefixes of this depth agree, in one order
+        count = np.flatnonzero((estimate(n) >= threshold) & (first[x] < first[y]))
+        seen = np.zeros(TREES * DEPTH + 1, np.int64)
+        for cut in range(0, len(count), 1 << 14):
+            k = count[cut : cut + (1 << 14)]
+            met = (sig[x[k], : tree + 1, :depth] == sig[y[k], : tree + 1, :depth]).all(2)
+            k = k[met.argmax(1) == tree]
+            if depth < DEPTH:  # and not in any tree at a greater depth
+                k = k[~(sig[x[k], :, : depth + 1] == sig[y[k], :, : depth + 1]).all(2).any(1)]
+            seen += np.bincount(n[k], minlength=len(seen))
+        some = np.flatnonzero(seen)
+        one = pa.concat_arrays([pa.array(first[joined]), pa.nulls(len(some), pa.int64())])
+        return pa.RecordBatch.from_arrays([one, pa.array(np.concatenate([first[root[joined]], some])), pa.array(np.concatenate([np.zeros(len(joined), np.int64), seen[some]]))], names=["a", "b", "seen"])
 
     return kernel
 
 
+def candidates(keys: DataFrame, threshold: float, target: float, block: int) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """Edges a, b, whose components hold the candidates; and the depths taken, with the recall measured at each. keys: first, trees.
+
+    The tries are read from the full depth up. At each depth the nodes are compared that have members of several children, and
+    only those with each other. Then the recall is measured: each pair found that seems to reach the threshold stands for the
+    1 / chance(likeness, depth) pairs there should be of it; one pair right at the threshold is assumed to be missed besides, so
+    that few pairs prove nothing. Prefixes are shortened until that reaches the target."""
+    spark = keys.sparkSession
+    share = threshold + (1 - threshold) / 256
+    least = int(TREES * DEPTH * share - 5 * (TREES * DEPTH * share * (1 - share)) ** 0.5)
+    edges, depths, seen = None, [], np.zeros(TREES * DEPTH + 1)
+    for depth in range(DEPTH, 0, -1):
+        node = F.transform("trees", lambda k: F.shiftrightunsigned(k, 8 * (DEPTH - depth)))
+        nodes = keys.select("first", F.posexplode(F.arrays_zip(node.alias("node"), F.col("trees").alias("leaf"))).alias("tree", "x")).select("first", "tree", "x.node", F.shiftrightunsigned(F.col("x.leaf"), 8 * max(0, DEPTH - depth - 1)).alias("child"))
+        several = F.min("child") < F.max("child") if depth < DEPTH else F.count("*") > 1
+        grown = nodes.groupBy("tree", "node").agg(several.alias("grown")).where("grown").select("tree", "node")
+        with temporary(spark):
+            members = nodes.drop("child").join(grown, ["tree", "node"]).join(keys.select("first", "trees"), "first")
+            found = stored(run_groups(block_pairs(members, ["tree", "node"], ["first"], block), alike(least, depth, threshold), "a bigint, b bigint, seen bigint"), "forest", True)
+        new = found.where("a is not null").select("a", "b")
+        edges = new if edges is None else edges.unionByName(new)
+        for r in found.where("a is null").groupBy("b").agg(F.sum("seen").alias("n")).collect():  # a row for each number of bytes
+            seen[r.b] += r.n
+        some = np.flatnonzero(seen)
+        missed = (seen[some] * (1 / chance(estimate(some), depth) - 1)).sum()
+        recall = seen.sum() / (seen.sum() + missed + 1 - chance(threshold, depth)) if len(some) else float(chance(threshold, depth))
+        depths.append((depth, recall))
+        if recall >= target:
+            break
+    return edges, depths
+
+
 def shared_counts(values: np.ndarray, off: np.ndarray, a: np.ndarray, b: np.ndarray, columns: int = 2048) -> np.ndarray:
     """Sizes of the intersections of the sets of rows a with those of rows b, exact."""
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -198,7 +254,7 @@ def linked(threshold: float):
     return kernel
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9995, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class_id (least id with equal words), n_links (other documents linked directly), component_id
     (least id reachable by links), kept (id = component_id)."""
     rows = stored(signatures(docs, id_col, text_col), "signatures")
@@ -206,16 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     classes = stored(rows.where(ok).groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     keys = rows.where(ok).join(classes, ["c1", "c2"]).where("doc_id = first").dropDuplicates(["c1", "c2"]).select("first", "c1", "n", "trees")
     keys = stored(keys, "class-trees")
-    # nodes of the tries, at the depth that the target asks for
-    depth = depth_for(threshold, target)
-    node = F.transform("trees", lambda k: F.shiftrightunsigned(k, 8 * (DEPTH - depth)))
-    nodes = keys.select("first", F.posexplode(node).alias("tree", "node"))
-    many = nodes.groupBy("tree", "node").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    members = nodes.join(many, ["tree", "node"]).join(keys.select("first", "trees"), "first")
-    chance = 1 / 256
-    agree = threshold + (1 - threshold) * chance
-    least = int(TREES * DEPTH * agree - 5 * (TREES * DEPTH * agree * (1 - agree)) ** 0.5)
-    forest = run_groups(block_pairs(members, ["tree", "node"], ["first"], block), alike(least), "a bigint, b bigint")
+    forest, _ = candidates(keys.select("first", "trees"), threshold, target, block)
     groups = stored(components(forest), "candidate-groups")
     # exact sets of the candidates
     chosen = groups.join(keys.select(F.col("first").alias("node"), "c1", "n"), "node").select(F.col("node").alias("first"), "c1", "n", "component")

@@ -263,7 +263,6 @@ def test_pivot_index_lengths_and_few_rows(spark):
 def test_jaccard_forest(spark, docs, empty):
     from helixframe.llm import jaccard_forest as op
 
-    assert op.depth_for(0.8, 0.999) == 6
     table = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     out = {r.doc_id: r for r in op.near_duplicates(table, block=3).collect()}
     sets = {r.doc_id: shingle_set(r.text) for r in table.collect()}
@@ -279,6 +278,65 @@ def test_jaccard_forest(spark, docs, empty):
     assert op.near_duplicates(empty).count() == 0
 
 
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    """Pairs well above the threshold need no shortening; pairs right at it do. Recall is held against all pairs."""
+    from helixframe.llm import jaccard_forest as op
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+
+    def pairs(changed, n=150, size=204):
+        rows = []
+        for i in range(n):
+            one = [word() for _ in range(size)]
+            two = list(one)
+            for k in range(changed):
+                two[10 + k * 8] = word()
+            rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+        return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    depths = {}
+    for changed in (1, 4):
+        table = pairs(changed)
+        keys = op.signatures(table, "doc_id", "text").select(F.col("doc_id").alias("first"), "trees")
+        _, depths[changed] = op.candidates(keys, 0.8, 0.9995, 512)
+        sets = {x.doc_id: shingle_set(x.text) for x in table.collect()}
+        want = {i for i in sets if i % 2 == 0 and jaccard(sets[i], sets[i + 1]) >= 0.8}
+        found = {x.doc_id for x in op.near_duplicates(table).where("n_links > 0 and doc_id % 2 = 0").collect()}
+        assert found <= want and len(found) >= 0.999 * len(want)
+    assert depths[1][-1][0] > depths[4][-1][0]
+    assert all(b >= 0.9995 for *_, (_, b) in depths.values())
+    assert all(a[0] == b[0] + 1 for d in depths.values() for a, b in zip(d[:-1], d[1:], strict=True))
+
+
+def test_jaccard_recall_on_documents(spark):
+    from helixframe.llm import jaccard_forest as op
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {x.doc_id: shingle_set(x.text) for x in table.collect()}
+    holders = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    near = {tuple(sorted((i, j))) for ids in holders.values() if len(ids) > 1 for i in ids for j in ids if i < j}
+    links = collections.Counter()
+    for i, j in near:
+        if jaccard(sets[i], sets[j]) >= 0.8:
+            links[i] += 1
+            links[j] += 1
+    got = {x.doc_id: x.n_links for x in op.near_duplicates(table).collect()}
+    assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.999 * sum(links.values())
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    from helixframe.llm import components as op
+
+    monkeypatch.setattr(op, "HUBS", 4)
+    edges = [(0, i) for i in range(1, 80)] + [(100 + i, 200) for i in range(50)] + [(300, 301)]
+    got = {x.node: x.component for x in op.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(80)} | {100 + i: 100 for i in range(50)} | {200: 100, 300: 300, 301: 300}
+
+
 def test_components(spark):
     from helixframe.llm.components import components
 
