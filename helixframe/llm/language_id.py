@@ -131,7 +131,7 @@ def has_letter(texts: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> np.ndar
     return found
 
 
-def predict_texts(net: ByteConvNet | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+def predict_texts(net: ByteConvNet | None, texts: pa.Array, over_chance: float = 0.0) -> tuple[list[str], np.ndarray]:
     buf, off = text_buffer(texts)
     found = has_letter(texts, buf, off)
     if net is None:
@@ -153,7 +153,8 @@ def predict_texts(net: ByteConvNet | None, texts: pa.Array) -> tuple[list[str],
     share = total / np.maximum(sizes, 1)[:, None]
     best = share.argmax(1)
     score = np.where(found, np.clip(share.max(1), 0, 1), 0.0)
-    return [net.languages[b] if f else UNKNOWN for b, f in zip(best, found, strict=True)], score
+    known = found & (score * len(net.languages) >= over_chance)
+    return [net.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score
 
 
 def row_hash(id_col: str, text_col: str) -> Column:
@@ -187,9 +188,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", over_chance: float = 0.0, **how) -> DataFrame:
     """Every row of docs with its columns, held_out, lang_pred and score, which take the place of columns of docs by these
-    names. labelled: the rows to learn from; by default those of docs that aren't held out."""
+    names. labelled: the rows to learn from; by default those of docs that aren't held out. over_chance: texts whose score is below so many times that of an even distribution
+    over the languages are unknown too."""
     if labelled is None:
         labelled = docs.where(~held_out(id_col))
     net = fit(labelled, id_col, text_col, lang_col, **how)
@@ -200,7 +202,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
 
     def kernel(batches):
         for batch in slices(batches, text_col):
-            names, score = predict_texts(shared.value, batch.column(batch.schema.get_field_index(text_col)))
+            names, score = predict_texts(shared.value, batch.column(batch.schema.get_field_index(text_col)), over_chance)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(kernel, schema)

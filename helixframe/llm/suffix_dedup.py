@@ -2,7 +2,7 @@
 
 A byte goes where it is covered by a string of ``length`` bytes that also starts anywhere else (``ANY``), in a row with another
 id (``OTHER``), or at an earlier place (``LATER``, which leaves the first occurrence; places are ordered by id, text hash and
-offset). Strings are compared inside texts only and judged on the input.
+offset). ``SHARED`` is the cheap side of ``OTHER``: only whole runs (step 2) that stand in a row with another id. Strings are compared inside texts only and judged on the input.
 
 A suffix array over all bytes of a large corpus is sorted many times over to tell apart suffixes of which most
 share nothing with any other, so the order is only built where two strings can be equal:
@@ -43,9 +43,9 @@ from .sieve import passes, sieve
 from .vec import SpanHash, anchor_runs, byte_grams, mix64, ragged, row_of, slices, sliding_min, text_buffer
 
 GRAM, COARSE, PIECE = 32, 128, 16
-ANY, OTHER, LATER = "any", "other", "later"
-#: Bytes of the strings of the contract, and of a passage of about fifty short words.
-LENGTH, PASSAGE = 400, 200
+ANY, OTHER, LATER, SHARED = "any", "other", "later", "shared"
+#: Bytes of the strings of the contract, of a passage of some fifty short words, and of the strings whose runs show passages.
+LENGTH, PASSAGE, SHOWN = 400, 200, 96
 
 _U = np.uint64
 
@@ -142,7 +142,7 @@ def _of_batches(lengths: tuple[int, ...], columns: str, rows, texts=None):
             yield batch if texts is None else batch.filter(pa.array(passes(texts.value, batch.column(2).to_numpy().view(_U))))
 
     def kernel(batches):
-        for batch in slices(some(batches), "text", 2 << 20):
+        for batch in slices(some(batches), "text", 1 << 20):
             strings = None
             for w, length in enumerate(lengths):
                 strings = Strings(batch, length, strings)
@@ -387,7 +387,7 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     """doc_id, row (hash of the text), spans: array of (w, at, n, mask): of the wanted length w, starts at + t, t < n, are
     repeated where bit t of mask is set, all of them where it is null."""
     spark, lengths = docs.sparkSession, tuple(length for length, _ in wanted)
-    if min(lengths) < GRAM + COARSE:
+    if min((length for length, how in wanted if how != SHARED), default=GRAM + COARSE) < GRAM + COARSE:
         raise ValueError(f"strings of fewer than {GRAM + COARSE} bytes can't be cut into pieces")
     which = F.array(*(F.lit(how) for _, how in wanted))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
@@ -397,12 +397,13 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     place = F.struct("doc_id", "row", F.col("lo").alias("at"))
     ids = [F.min(F.struct("doc_id")).alias("low"), F.max(F.struct("doc_id")).alias("high")]
     classes = stored(runs.groupBy("w", "how", "key", "whole").agg(F.count("*").alias("n"), F.first("places").alias("places"), F.min(F.struct(place.alias("first"), "name")).alias("head"), *ids), "classes")
-    open_ = classes.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
+    cut_up = classes.where(F.col("how") != SHARED)
+    open_ = cut_up.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
     release(spark)
-    reps = stored(classes.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "n", "low", "high"), "open-classes")
+    reps = stored(cut_up.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "n", "low", "high"), "open-classes")
     total = [F.first("how").alias("how"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
     # kinds of coarse pieces of one run of each class
-    pieces = _coarse_pieces(texts, lengths, sieve(reps, "name"), _texts_of(reps)).join(reps, "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    pieces = _coarse_pieces(texts, lengths, sieve(reps, "name"), _texts_of(reps)).join(reps.drop("key", "whole"), "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
     pieces = stored(pieces, "pieces")
     kinds = stored(pieces.groupBy("core", "piece").agg(*total, F.min(F.struct(F.col("at").alias("first"), "name", "part")).alias("head")), "kinds").withColumn("first", F.col("head.first"))
     undone = F.max(F.when(F.col("how") == ANY, F.col("n") == 1).when(F.col("how") == OTHER, F.col("low") == F.col("high")).otherwise(True))
@@ -433,15 +434,15 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     shifted = lambda by: F.transform("parts", lambda x: F.struct((x["at"] + by).alias("at"), x["n"].alias("n"), x["mask"].alias("mask")))
     # of a coarse piece
     verdicts = stored(kinds.join(parts, ["core", "piece"], "left").select("core", "piece", "parts", "n", "low", "high", "first"), "kind-verdicts")
-    judged = pieces.select("core", "piece", "how", "key", "whole", "rel", "v0", "v1", "at").join(verdicts, ["core", "piece"])
-    judged = judged.select("key", "whole", F.when(_hit(F.col("at")), F.array(span(F.col("rel") + v0, many, null))).otherwise(shifted(F.col("rel"))).alias("parts")).where("parts is not null")
-    parts = judged.groupBy("key", "whole").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    judged = pieces.select("core", "piece", "how", "name", "rel", "v0", "v1", "at").join(verdicts, ["core", "piece"])
+    judged = judged.select("name", F.when(_hit(F.col("at")), F.array(span(F.col("rel") + v0, many, null))).otherwise(shifted(F.col("rel"))).alias("parts")).where("parts is not null")
+    parts = judged.groupBy("name").agg(F.flatten(F.collect_list("parts")).alias("parts")).join(reps.select("name", "key", "whole"), "name").drop("name")
     # of a run
     verdicts = classes.join(parts, ["key", "whole"], "left").where("parts is not null or n > 1").select("key", "whole", "parts", F.col("n").alias("m"), "low", "high", F.col("head.first").alias("first"))
     verdicts = stored(verdicts, "verdicts")
     met = runs.drop("places").join(verdicts, ["key", "whole"])
     whole = span(F.col("lo"), F.col("n"), null)
-    settled = F.when(F.col("how") == ANY, F.col("m") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("first") < place)
+    settled = F.when(F.col("how") == ANY, F.col("m") > 1).when(F.col("how").isin(OTHER, SHARED), F.col("low") < F.col("high")).otherwise(F.col("first") < place)
     met = met.select("doc_id", "row", "w", F.when(settled, F.array(whole)).otherwise(shifted(F.col("lo"))).alias("spans")).where("spans is not null")
     named_ = F.transform("spans", lambda x: F.struct(F.col("w").alias("w"), x["at"].alias("at"), x["n"].alias("n"), x["mask"].alias("mask")))
     return met.select("doc_id", "row", named_.alias("spans")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -486,9 +487,10 @@ def _marked(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col: str, t
     return hit.unionByName(chosen(False), allowMissingColumns=True).drop("__sd_key")
 
 
-def dedup(docs: DataFrame, wanted: tuple[tuple[int, str], ...] = ((LENGTH, ANY), (PASSAGE, OTHER)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, wanted: tuple[tuple[int, str], ...] = ((LENGTH, ANY), (SHOWN, SHARED)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id; n_bytes, and by the first of the wanted lengths n_removed, n_spans, kept_sha256; n_passage: bytes that
-    the second covers (by default: strings of ``PASSAGE`` bytes that also start in another document), if there is one."""
+    the second covers, if there is one (by default: runs of strings of ``SHOWN`` bytes that stand in another document too, which
+    tells passages of some fifty words without the full price of a shorter length)."""
     lengths = tuple(length for length, _ in wanted)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     joined = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id", "text")

@@ -66,8 +66,12 @@ def test_suffix_dedup(spark, empty):
     raw, want = suffix_rows(table), []
     for (k, x, _), gone, passage in zip(raw, repeated_bytes(raw, 400, "any"), repeated_bytes(raw, 200, "other"), strict=True):
         want.append((-1 if k is None else k, len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest(), int(passage.sum())))
-    got = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in op.dedup(table).collect()]
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in op.dedup(table, ((400, op.ANY), (200, op.OTHER))).collect()]
     assert sorted(got) == sorted(want)
+    # whole runs only, so never more than the strings themselves cover, and most of every long passage
+    shown = {r.doc_id: r.n_passage for r in op.dedup(table).where("doc_id < 40").collect()}
+    every = {k: int(g.sum()) for (k, _, _), g in zip(raw, repeated_bytes(raw, op.SHOWN, "other"), strict=True) if k is not None and k < 40}
+    assert all(0 < shown[k] <= every[k] for k in shown) and sum(shown.values()) > 0.6 * sum(every.values())
     assert op.dedup(empty).count() == 0
 
 
@@ -364,3 +368,48 @@ def test_pipeline_on_small_corpus(spark, docs):
     assert now.where("doc_id is null and n_pieces = 0").count() == 0
     left = pipe.near_duplicates(spark, pipe.language(spark, docs, ""), "")
     assert left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_pipeline_stages_against_brute_force(spark, docs):
+    import corpus_pipeline as pipe
+
+    table = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select(*pipe.COLUMNS)
+    kept = {r.doc_id: r.text for r in pipe.language(spark, table, "").collect()}
+    assert all(any(c.isalpha() for c in t or "") for t in kept.values())
+    near = {r.doc_id for r in pipe.near_duplicates(spark, table, "").collect()}
+    sets = {r.doc_id: shingle_set(r.text) for r in table.collect()}
+    assert all(jaccard(sets[i], sets[j]) < 0.8 for i in near for j in near if i < j and sets[i] and sets[j])
+    assert all(i in near or any(sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8 for j in sets if j < i) for i in sets)
+    passages = table.unionByName(long_corpus(spark).where("doc_id < 100").select((F.col("doc_id") + 5000).alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.length("text").cast("bigint").alias("n_chars")))
+    raw = suffix_rows(passages)
+    want = {k: np.frombuffer(x, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") for (k, x, _), gone in zip(raw, repeated_bytes(raw, 200, "later"), strict=True)}
+    assert {r.doc_id: r.text or "" for r in pipe.substrings(spark, passages, "").collect()} == want
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    mixed, had = collections.Counter(), {r.doc_id: words(r.text) for r in table.collect()}
+    for r in pipe.mixing(spark, table, "").collect():
+        assert words(r.text) and words(r.text) == had[r.doc_id][: len(words(r.text))] or set(words(r.text)) <= set(had[r.doc_id])
+        mixed[r.source] += len(words(r.text))
+    sizes = collections.Counter()
+    for r in table.collect():
+        sizes[r.source] += len(had[r.doc_id])
+    assert all(abs(mixed[k] - v) <= max(5, 0.02 * v) for k, v in fill(dict(sizes)).items())
+
+
+def test_pipeline_on_nothing_and_on_clashing_columns(spark, docs):
+    import corpus_pipeline as pipe
+
+    for table in (docs.limit(0), docs.select(*pipe.COLUMNS).withColumns({c: F.lit("x") for c in ("held_out", "score", "lang_pred", "spans", "first", "key", "row")}).where("doc_id < 12")):
+        n = table.count()
+        for name, stage in pipe.STAGES:
+            out = stage(spark, table, "")
+            assert out.columns == (["doc_id", "pieces", "n_pieces"] if name == "pieces" else pipe.COLUMNS)
+            assert out.count() <= 2 * n
+
+
+def test_texts_that_stand_out_in_no_language(spark):
+    from helixframe.llm import language_id as op
+
+    labelled = spark.createDataFrame([(i, t, g) for i in range(40) for t, g in (("the dog and the fox over there", "en"), ("der hund und der fuchs sind dort", "de"))], "doc_id bigint, text string, lang string")
+    rows = labelled.limit(4)
+    assert {r.lang_pred for r in op.identify(rows, labelled, over_chance=1.2).collect()} <= {"en", "de"}
+    assert {r.lang_pred for r in op.identify(rows, labelled, over_chance=2.1).collect()} == {op.UNKNOWN}
