@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each of which takes all that its predecessor kept.
 
-1. language: documents whose language can't be told go (no letters, or no language reaches ``MIN_SCORE``).
+1. language: documents whose language can't be told go (no letters, or no language stands out by ``OVER_CHANCE``).
 2. near_duplicates: of each group of near-duplicates one document stays.
 3. substrings: bytes of strings of 200 bytes that also start at an earlier place go from the texts: of a repeated passage of
    some fifty words or more the first occurrence stays.
@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 from helixframe.llm import jaccard_forest, language_id, merge_dropout, source_mix, suffix_dedup
 from helixframe.llm.frames import stored
 
-#: Least mean probability of the language found.
-MIN_SCORE = 0.3
+#: Least mean probability of the language found, in shares of an even distribution over all languages.
+OVER_CHANCE = 1.2
 #: Vocabulary file of the last stage.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs.select(*COLUMNS))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    found = language_id.identify(docs.select(*COLUMNS), over_chance=OVER_CHANCE)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mixing", mixing), ("pieces", pieces)]
 
-#: SQL can't train the network of the first stage; the stages are tested against brute force.
+#: SQL can't train the network of the first stage; the stages are tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 
