@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 
+from . import oracles
 from .frames import table
 
 #: Folder of the public tokenizer files.
@@ -75,4 +76,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_fingerprints, op4_suffix_dedup, op5_license_scan, op6_debruijn_dedup, op7_source_mix, op8_merge_dropout, op9_pivot_index, op10_jaccard_forest, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_debruijn_dedup": oracles.OP6, "op9_pivot_index": oracles.OP9, "op10_jaccard_forest": oracles.OP10}
