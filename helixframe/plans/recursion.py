@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .analytics import _HIST, _SITES, _TOT, _q
 from .catalog import compare
+from .counting import _UMI_GENES
 from .roles import MOLECULES
 
 _NEAR = "mol b ON b.cb = a.cb AND b.gene = a.gene AND hamming(b.umi, a.umi) = 1"
@@ -92,3 +93,22 @@ def _digamma(x: str) -> str:
 
 compare("m6_em", _rounds("now"))
 compare("m7_vb", _rounds(f"exp({_digamma('(now + 0.01::DOUBLE)')} - {_digamma('(alls + 0.01::DOUBLE * many)')})"))
+
+# a multi-gene tag's shares, in each cell
+compare(
+    "m5_multi_gene_em",
+    f"""WITH RECURSIVE {_UMI_GENES}, u AS (SELECT cb, gene, count(*) FILTER (genes = 1)::DOUBLE AS uq, coalesce(sum(1.0::DOUBLE / genes) FILTER (genes > 1), 0) AS even FROM com GROUP BY ALL), multi AS (SELECT cb, umi, gene FROM com WHERE genes > 1),
+      s AS (SELECT 0 AS r, cb, gene, uq, uq + even AS now, false AS done FROM u
+        UNION ALL SELECT r + 1, cb, gene, uq, new, max(abs(new - th)) OVER (PARTITION BY cb) < 0.01 FROM (
+          SELECT r, cb, gene, any_value(uq) AS uq, any_value(th) AS th, any_value(uq) + coalesce(sum(CASE WHEN tot > 0 THEN th / tot ELSE 0 END) FILTER (umi IS NOT NULL), 0) AS new FROM (
+            SELECT w.r, w.cb, w.gene, uq, th, m.umi, sum(th) OVER (PARTITION BY w.cb, m.umi) AS tot FROM (SELECT *, CASE WHEN now < 0.01 THEN 0 ELSE now END AS th FROM s WHERE NOT done AND r < 100) w LEFT JOIN multi m ON m.cb = w.cb AND m.gene = w.gene) GROUP BY r, cb, gene))
+      SELECT cb, gene, {_q("now - uq")} AS em FROM s QUALIFY r = max(r) OVER (PARTITION BY cb)""",
+)
+# the normal prior of mean 250 and deviation 25 by Simpson's rule, 32 steps a length
+compare(
+    "a36_fragment_lengths",
+    f"""WITH g AS (SELECT f, sum((CASE WHEN k IN (0, 32) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5::DOUBLE * pow((f - 0.5::DOUBLE + k / 32.0::DOUBLE - 250) / 25.0::DOUBLE, 2))) AS w FROM range(0, 1001) a(f), range(0, 33) b(k) GROUP BY f),
+      kern(d, c) AS (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)), o AS (SELECT least(p_size * 10, 1000) AS f, count(*) AS n FROM part GROUP BY ALL),
+      every AS (SELECT f, w / sum(w) OVER () AS w FROM g UNION ALL SELECT greatest(0, least(1000, f + d)), n * c / 16.0::DOUBLE FROM o, kern), t AS (SELECT f, sum(w) AS w FROM every GROUP BY f)
+      SELECT CAST(f AS INT) AS f, {_q("w / sum(w) OVER ()")} AS p FROM t""",
+)
