@@ -220,7 +220,7 @@ class Coder:
         size = stop - start
         text = row_of(start, off)
         key = mix64(word + mix64(variant.astype(np.int64).astype(np.uint64)[text] + (start - off[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        first, slot = distinct_spans(chars, start, stop)
+        first, slot = distinct_spans(chars, start, stop, word)
         # a slot of the results for each distinct unit, and after them for each occurrence that is merged on its own
         slots = len(first) + (len(start) if self.rate else 0)
         pool, at, n = [], np.zeros(slots, np.int64), np.zeros(slots, np.int64)
@@ -248,8 +248,8 @@ class Coder:
             """Pieces of these units to these slots."""
             for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, SHORT)):
                 group = np.flatnonzero((size[units] > low) & (size[units] <= min(high, SHORT)))
-                for cut in range(0, len(group), 1 << 15):
-                    which = group[cut : cut + (1 << 15)]
+                for cut in range(0, len(group), 1 << 13):
+                    which = group[cut : cut + (1 << 13)]
                     u = units[which]
                     ids = np.full((len(u), int(size[u].max())), -2, np.int64)
                     ids[np.arange(ids.shape[1]) < size[u][:, None]] = self.symbols(chars[ragged(start[u], size[u])])
@@ -335,7 +335,7 @@ def _run(docs, model, rate, seed, id_col, text_col, round_col, schema, out):
 
     def kernel(batches):
         coder = get()
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             texts = batch.column(1)
             ids, off = coder.encode(texts, batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), *out(coder, texts, ids, off)], names=["id", *names])

@@ -142,7 +142,7 @@ def _of_batches(lengths: tuple[int, ...], columns: str, rows, texts=None):
             yield batch if texts is None else batch.filter(pa.array(passes(texts.value, batch.column(2).to_numpy().view(_U))))
 
     def kernel(batches):
-        for batch in slices(some(batches), "text", 1 << 20):
+        for batch in slices(some(batches), "text", 1 << 19):
             strings = None
             for w, length in enumerate(lengths):
                 strings = Strings(batch, length, strings)

@@ -41,7 +41,7 @@ def _rest(x: np.ndarray) -> np.ndarray:
     return np.where(x >= U64(_PRIME), x - U64(_PRIME), x)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for base in _BASES:
@@ -97,16 +97,17 @@ def byte_grams(buf: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def distinct_spans(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_spans(values: np.ndarray, start: np.ndarray, stop: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """First span of each distinct content, and the place of each span's content in that list. Exact: spans of one hash
-    are compared with the first of them, and those that differ are told apart by their own values."""
-    h = SpanHash(values.astype(U64), values.dtype == np.uint8)(start, stop)
+    are compared with the first of them, and those that differ are told apart by their own values. h: the spans' hashes, where
+    they are known."""
+    h = SpanHash(values.astype(U64), values.dtype == np.uint8)(start, stop) if h is None else h
     _, first, slot = np.unique(h, return_index=True, return_inverse=True)
     head = first[slot]
     size = stop - start
     wrong = size != size[head]
-    for cut in range(0, len(start), 1 << 16):
-        part = slice(cut, cut + (1 << 16))
+    for cut in range(0, len(start), 1 << 14):
+        part = slice(cut, cut + (1 << 14))
         n = np.where(wrong[part], 0, size[part])
         differs = values[ragged(start[part], n)] != values[ragged(start[head[part]], n)]
         if differs.any():
