@@ -402,8 +402,9 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     release(spark)
     reps = stored(cut_up.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "n", "low", "high"), "open-classes")
     total = [F.first("how").alias("how"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
-    # kinds of coarse pieces of one run of each class
-    pieces = _coarse_pieces(texts, lengths, sieve(reps, "name"), _texts_of(reps)).join(reps.drop("key", "whole"), "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    # kinds of coarse pieces of one run of each class; strings that are too short to be cut aren't read again
+    long = tuple(length for length, how in wanted if how != SHARED)
+    pieces = _coarse_pieces(texts, long, sieve(reps, "name"), _texts_of(reps)).join(reps.drop("key", "whole"), "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
     pieces = stored(pieces, "pieces")
     kinds = stored(pieces.groupBy("core", "piece").agg(*total, F.min(F.struct(F.col("at").alias("first"), "name", "part")).alias("head")), "kinds").withColumn("first", F.col("head.first"))
     undone = F.max(F.when(F.col("how") == ANY, F.col("n") == 1).when(F.col("how") == OTHER, F.col("low") == F.col("high")).otherwise(True))
@@ -412,7 +413,7 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     beside = stored(beside, "open-kinds")
     release(spark)
     # kinds of fine pieces of one piece of each kind
-    fine = _fine_pieces(texts, lengths, sieve(beside, "name", 25), sieve(beside, "part", 25), _texts_of(beside)).join(beside.drop("name"), "part").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    fine = _fine_pieces(texts, long, sieve(beside, "name", 25), sieve(beside, "part", 25), _texts_of(beside)).join(beside.drop("name"), "part").withColumn("at", _moved("first", F.col("rel"))).drop("first")
     fine = stored(fine, "fine-pieces")
     body = [F.first(c).alias(c) for c in ("v0", "v1", "left", "right")]
     small = stored(fine.groupBy("core", "piece").agg(*body, *total, F.min("at").alias("first")).withColumn("u", F.monotonically_increasing_id()), "fine-kinds")

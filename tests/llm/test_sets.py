@@ -128,6 +128,17 @@ def test_suffix_dedup_tells_confusable_strings_apart(spark):
     assert sorted((r.doc_id, r.n_removed) for r in op.dedup(table).collect()) == [(k, int(g.sum())) for (k, _, _), g in zip(raw, repeated_bytes(raw, 400, "any"), strict=True)]
 
 
+def test_suffix_dedup_where_sieves_let_everything_through(spark, monkeypatch):
+    """As over many keys: short strings that only show passages have no pieces, though their names pass."""
+    from helixframe.llm import suffix_dedup as op
+
+    table = long_corpus(spark).where("doc_id < 12")
+    want = sorted(op.dedup(table).collect())
+    full = spark.sparkContext.broadcast(np.full(1 << 20, ~np.uint64(0)))
+    monkeypatch.setattr(op, "sieve", lambda *_: full)
+    assert sorted(op.dedup(table).collect()) == want
+
+
 def test_debruijn_dedup(spark, docs, empty):
     from helixframe.llm import debruijn_dedup as op
 
