@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import jaccard_forest, language_id, merge_dropout, source_mix, suffix_dedup
-from helixframe.llm.frames import stored
+from helixframe.llm.frames import stored, temporary
 
 #: Least mean probability of the language found, in shares of an even distribution over all languages.
 OVER_CHANCE = 1.2
@@ -32,8 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_forest.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("not kept").select("doc_id").distinct()
+    with temporary(spark):
+        groups = jaccard_forest.near_duplicates(docs.select("doc_id", "text"))
+        gone = stored(groups.where("not kept").select("doc_id").distinct(), "pipeline-gone", True)
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = left.join(again, "doc_id", "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,9 +69,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(frame: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with the columns in the schema's types."""
-    return frame.mapInArrow(kernel, schema)
+def lean(kernel: Callable) -> Callable:
+    """The kernel, which returns what it freed to the system at its end: workers are kept for later tasks, of which only some
+    are busy at a time, and the allocators of those that wait hold on to it."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
+def map_batches(frame: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with the columns in the schema's types; see :func:`lean`."""
+    return frame.mapInArrow(lean(kernel), schema)
 
 
 def release(spark: SparkSession) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs, run_groups
 from .components import components, local_components
-from .frames import stored, temporary
+from .frames import map_batches, stored, temporary
 from .vec import SpanHash, mix64, slices, text_buffer, white_words
 
 SHINGLE = 5
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c1.view(np.int64), mask=empty), pa.array(c2.view(np.int64), mask=empty), trees], names=["doc_id", "c1", "c2", "trees"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(kernel, "doc_id bigint, c1 bigint, c2 bigint, trees array<bigint>")
+    return map_batches(rows, kernel, "doc_id bigint, c1 bigint, c2 bigint, trees array<bigint>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), sets], names=[*names, "set"]).filter(pa.array(own))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
-    return texts.mapInArrow(kernel, f"{schema}, set array<bigint>")
+    return map_batches(texts, kernel, f"{schema}, set array<bigint>")
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

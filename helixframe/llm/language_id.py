@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import map_batches
 from .vec import ragged, slices, text_buffer
 
 WINDOW = 256
@@ -205,4 +206,4 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
             names, score = predict_texts(shared.value, batch.column(batch.schema.get_field_index(text_col)), over_chance)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(kernel, schema)
+    return map_batches(rows, kernel, schema)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import map_batches
 from .vec import SpanHash, distinct_spans, mix64, ragged, row_of, slices
 
 SHORT = 48
@@ -344,7 +345,7 @@ def _run(docs, model, rate, seed, id_col, text_col, round_col, schema, out):
     variant = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(""), F.col(text_col))).otherwise(F.xxhash64(F.col(id_col)))
     variant = F.xxhash64(variant, F.col(round_col)) if round_col else variant
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), variant.alias("variant"))
-    return rows.mapInArrow(kernel, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    return map_batches(rows, kernel, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, model: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
@@ -358,4 +359,4 @@ def decode(rows: DataFrame, model: str, id_col: str = "doc_id", pieces_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = rows.select(id_col).schema[0].dataType.simpleString()
-    return rows.select(F.col(id_col).alias("id"), F.col(pieces_col).alias("pieces")).mapInArrow(kernel, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return map_batches(rows.select(F.col(id_col).alias("id"), F.col(pieces_col).alias("pieces")), kernel, f"id {kind}, text string").withColumnRenamed("id", id_col)

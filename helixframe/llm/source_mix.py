@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, map_batches
 from .vec import slices, text_buffer, white_words
 
 WEIGHTS = (5, 2, 1)
@@ -171,4 +171,4 @@ def mixed_texts(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col
             columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.mapInArrow(kernel, docs.schema)
+    return map_batches(joined, kernel, docs.schema)

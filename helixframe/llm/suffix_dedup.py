@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import partitions, release, stored, temporary
+from .frames import map_batches, partitions, release, stored, temporary
 from .sieve import passes, sieve
 from .vec import SpanHash, anchor_runs, byte_grams, mix64, ragged, row_of, slices, sliding_min, text_buffer
 
@@ -87,6 +87,11 @@ class Strings:
     def whole(self, some) -> np.ndarray:
         return self.h(self.lo[some], self.hi[some] - 1 + self.length)
 
+    @functools.cached_property
+    def wholes(self) -> np.ndarray:
+        """A key of each run by all of its bytes."""
+        return mix64(self.key ^ self.whole(slice(None)))
+
     @functools.cached_property
     def names(self) -> np.ndarray:
         """A name of each run by its key, text, id and place."""
@@ -142,7 +147,7 @@ def _of_batches(lengths: tuple[int, ...], columns: str, rows, texts=None):
             yield batch if texts is None else batch.filter(pa.array(passes(texts.value, batch.column(2).to_numpy().view(_U))))
 
     def kernel(batches):
-        for batch in slices(some(batches), "text", 1 << 19):
+        for batch in slices(some(batches), "text", 1 << 17):
             strings = None
             for w, length in enumerate(lengths):
                 strings = Strings(batch, length, strings)
@@ -151,30 +156,34 @@ def _of_batches(lengths: tuple[int, ...], columns: str, rows, texts=None):
     return kernel
 
 
-def _keys(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """Each key of a slice and how often its gram occurs in the runs."""
+def _keys(texts: DataFrame, wanted: tuple[tuple[int, str], ...]) -> DataFrame:
+    """Each key of a slice and how often its gram occurs in the runs; where only whole runs matter, each key of one and how many
+    have it."""
+    lengths = tuple(length for length, _ in wanted)
 
     def rows(s, w):
-        key, at = np.unique(s.key, return_inverse=True)
-        _, run = s.places()
-        return [_long(key), pa.array(np.bincount(at[run], minlength=len(key)).astype(np.int32))]
+        shared = wanted[w][1] == SHARED
+        key, at = np.unique(s.wholes if shared else s.key, return_inverse=True)
+        return [_long(key), pa.array(np.bincount(at if shared else at[s.places()[1]], minlength=len(key)).astype(np.int32))]
 
     schema = "key bigint, places int"
-    return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
+    return map_batches(texts, _of_batches(lengths, schema, rows), schema)
 
 
-def _runs(texts: DataFrame, lengths: tuple[int, ...], bitmap) -> DataFrame:
-    """Runs whose key passes: whole: hash of the run's bytes, name: of its own, lo: first start, n: starts, places: of the
-    key's gram."""
+def _runs(texts: DataFrame, wanted: tuple[tuple[int, str], ...], bitmap) -> DataFrame:
+    """Runs whose key (see :func:`_keys`) passes: whole: hash of the run's bytes, name: of its own, lo: first start, n: starts,
+    places: of the key's gram (0 where only whole runs matter)."""
+    lengths = tuple(length for length, _ in wanted)
 
     def rows(s, w):
-        some = passes(bitmap.value, s.key)
+        shared = wanted[w][1] == SHARED
+        some = passes(bitmap.value, s.wholes if shared else s.key)
         row, n = pa.array(s.row[some]), int(some.sum())
-        places = np.bincount(s.places(some)[1], minlength=n).astype(np.int32)
+        places = np.zeros(n, np.int32) if shared else np.bincount(s.places(some)[1], minlength=n).astype(np.int32)
         return [pa.array(np.full(n, w, np.int32)), _long(s.key[some]), _long(s.whole(some)), _long(s.names[some]), s.batch.column(0).take(row), s.batch.column(2).take(row), pa.array((s.lo - s.off[s.row])[some]), pa.array((s.hi - s.lo)[some].astype(np.int32)), pa.array(places)]
 
     schema = "w int, key bigint, whole bigint, name bigint, doc_id bigint, row bigint, lo bigint, n int, places int"
-    return texts.mapInArrow(_of_batches(lengths, schema, rows), schema)
+    return map_batches(texts, _of_batches(lengths, schema, rows), schema)
 
 
 def _coarse_pieces(texts: DataFrame, lengths: tuple[int, ...], bitmap, rows_of) -> DataFrame:
@@ -186,7 +195,7 @@ def _coarse_pieces(texts: DataFrame, lengths: tuple[int, ...], bitmap, rows_of)
         return [_long(core), _long(piece), _long(s.names[p["run"]]), _long(p["name"]), pa.array(p["at"] - s.lo[p["run"]]), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32))]
 
     schema = "core bigint, piece bigint, name bigint, part bigint, rel bigint, v0 int, v1 int"
-    return texts.mapInArrow(_of_batches(lengths, schema, rows, rows_of), schema)
+    return map_batches(texts, _of_batches(lengths, schema, rows, rows_of), schema)
 
 
 def _fine_pieces(texts: DataFrame, lengths: tuple[int, ...], runs, parts, rows_of) -> DataFrame:
@@ -204,7 +213,7 @@ def _fine_pieces(texts: DataFrame, lengths: tuple[int, ...], runs, parts, rows_o
         return [_long(core), _long(piece), _long(p["name"]), pa.array(p["rel"].astype(np.int32)), pa.array(p["v0"].astype(np.int32)), pa.array(p["v1"].astype(np.int32)), *sides]
 
     schema = "core bigint, piece bigint, part bigint, rel int, v0 int, v1 int, left binary, right binary"
-    return texts.mapInArrow(_of_batches(lengths, schema, rows, rows_of), schema)
+    return map_batches(texts, _of_batches(lengths, schema, rows, rows_of), schema)
 
 
 def ranked(rows: DataFrame, by: list[str], label: str, equal: list[str] | None = None) -> DataFrame:
@@ -241,7 +250,7 @@ def ranked(rows: DataFrame, by: list[str], label: str, equal: list[str] | None =
 
     keys = [*by, "u"]
     dealt = rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return stored(dealt.mapInArrow(kernel, f"{schema}, part int, k bigint"), label)
+    return stored(map_batches(dealt, kernel, f"{schema}, part int, k bigint"), label)
 
 
 def joints(placed: DataFrame, by: list[str]) -> list[tuple[int, int, bool]]:
@@ -324,7 +333,7 @@ def _symbols(kinds: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * out.shape[1], out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([col["core"], col["u"], lists], names=["core", "u", "s"])
 
-    return kinds.select("core", "u", "v0", "v1", "left", "right").mapInArrow(kernel, "core bigint, u bigint, s array<bigint>")
+    return map_batches(kinds.select("core", "u", "v0", "v1", "left", "right"), kernel, "core bigint, u bigint, s array<bigint>")
 
 
 def equal_strings(kinds: DataFrame) -> DataFrame:
@@ -374,6 +383,14 @@ def _texts_of(rows: DataFrame):
     return sieve(rows.select(F.col("first.row").alias("row")), "row", 25)
 
 
+def _sifted(rows, label: str, *sieves) -> DataFrame:
+    """rows(*sieves), stored; the sieves, of which every machine has a copy on its disk, go."""
+    out = stored(rows(*sieves), label)
+    for bitmap in sieves:
+        bitmap.destroy()
+    return out
+
+
 def _hit(place) -> Column:
     """Whether a string at this place is repeated, by what is known of all places that hold it."""
     return F.when(F.col("how") == ANY, F.col("n") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("first") < place)
@@ -391,21 +408,21 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
         raise ValueError(f"strings of fewer than {GRAM + COARSE} bytes can't be cut into pieces")
     which = F.array(*(F.lit(how) for _, how in wanted))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
-    keys = _keys(texts, lengths).groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
-    runs = stored(_runs(texts, lengths, sieve(keys, "key")), "runs").withColumn("how", F.get(which, F.col("w")))
+    keys = _keys(texts, wanted).groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
+    found = _sifted(lambda bitmap: _runs(texts, wanted, bitmap), "runs", sieve(keys, "key")).withColumn("how", F.get(which, F.col("w")))
+    runs = found.where(F.col("how") != SHARED)
     # classes of equal runs; an id that is null is one of its own, before all others
     place = F.struct("doc_id", "row", F.col("lo").alias("at"))
     ids = [F.min(F.struct("doc_id")).alias("low"), F.max(F.struct("doc_id")).alias("high")]
     classes = stored(runs.groupBy("w", "how", "key", "whole").agg(F.count("*").alias("n"), F.first("places").alias("places"), F.min(F.struct(place.alias("first"), "name")).alias("head"), *ids), "classes")
-    cut_up = classes.where(F.col("how") != SHARED)
-    open_ = cut_up.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
+    open_ = classes.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
     release(spark)
-    reps = stored(cut_up.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "n", "low", "high"), "open-classes")
+    reps = stored(classes.join(open_, "key").select("how", "key", "whole", F.col("head.name").alias("name"), F.col("head.first").alias("first"), "n", "low", "high"), "open-classes")
     total = [F.first("how").alias("how"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
     # kinds of coarse pieces of one run of each class; strings that are too short to be cut aren't read again
     long = tuple(length for length, how in wanted if how != SHARED)
-    pieces = _coarse_pieces(texts, long, sieve(reps, "name"), _texts_of(reps)).join(reps.drop("key", "whole"), "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
-    pieces = stored(pieces, "pieces")
+    cut_up = lambda *sieves: _coarse_pieces(texts, long, *sieves).join(reps.drop("key", "whole"), "name").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    pieces = _sifted(cut_up, "pieces", sieve(reps, "name"), _texts_of(reps))
     kinds = stored(pieces.groupBy("core", "piece").agg(*total, F.min(F.struct(F.col("at").alias("first"), "name", "part")).alias("head")), "kinds").withColumn("first", F.col("head.first"))
     undone = F.max(F.when(F.col("how") == ANY, F.col("n") == 1).when(F.col("how") == OTHER, F.col("low") == F.col("high")).otherwise(True))
     ways = kinds.groupBy("core").agg(F.count("*").alias("ways"), undone.alias("undone")).where("ways > 1 and undone").select("core")
@@ -413,8 +430,8 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     beside = stored(beside, "open-kinds")
     release(spark)
     # kinds of fine pieces of one piece of each kind
-    fine = _fine_pieces(texts, long, sieve(beside, "name", 25), sieve(beside, "part", 25), _texts_of(beside)).join(beside.drop("name"), "part").withColumn("at", _moved("first", F.col("rel"))).drop("first")
-    fine = stored(fine, "fine-pieces")
+    cut_up = lambda *sieves: _fine_pieces(texts, long, *sieves).join(beside.drop("name"), "part").withColumn("at", _moved("first", F.col("rel"))).drop("first")
+    fine = _sifted(cut_up, "fine-pieces", sieve(beside, "name", 25), sieve(beside, "part", 25), _texts_of(beside))
     body = [F.first(c).alias(c) for c in ("v0", "v1", "left", "right")]
     small = stored(fine.groupBy("core", "piece").agg(*body, *total, F.min("at").alias("first")).withColumn("u", F.monotonically_increasing_id()), "fine-kinds")
     several = small.groupBy("core").agg(F.count("*").alias("ways")).where("ways > 1").select("core")
@@ -422,8 +439,8 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     release(spark)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("t"))
     with temporary(spark):
-        found = equal_strings(left.drop("piece", "how")).join(left.select("u", "how"), "u").where(_hit(F.col("mine")))
-        masks = stored(found.select("u", bit.alias("bit")).groupBy("u").agg(F.bit_or("bit").alias("mask")), "masks", True)
+        equal = equal_strings(left.drop("piece", "how")).join(left.select("u", "how"), "u").where(_hit(F.col("mine")))
+        masks = stored(equal.select("u", bit.alias("bit")).groupBy("u").agg(F.bit_or("bit").alias("mask")), "masks", True)
     # back: of a fine piece all starts if its own kind says so, else those of the kind's mask
     null = F.lit(None).cast("bigint")
     span = lambda at, n, mask: F.struct(at.cast("bigint").alias("at"), n.cast("int").alias("n"), mask.alias("mask"))
@@ -443,8 +460,14 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     verdicts = stored(verdicts, "verdicts")
     met = runs.drop("places").join(verdicts, ["key", "whole"])
     whole = span(F.col("lo"), F.col("n"), null)
-    settled = F.when(F.col("how") == ANY, F.col("m") > 1).when(F.col("how").isin(OTHER, SHARED), F.col("low") < F.col("high")).otherwise(F.col("first") < place)
+    settled = F.when(F.col("how") == ANY, F.col("m") > 1).when(F.col("how") == OTHER, F.col("low") < F.col("high")).otherwise(F.col("first") < place)
     met = met.select("doc_id", "row", "w", F.when(settled, F.array(whole)).otherwise(shifted(F.col("lo"))).alias("spans")).where("spans is not null")
+    if SHARED in (how for _, how in wanted):
+        # whole runs need no more than their ids
+        shown = found.where(F.col("how") == SHARED)
+        several = shown.groupBy("key", "whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("none"))
+        several = several.where("low < high or none and low is not null").select("key", "whole")
+        met = met.unionByName(shown.join(several, ["key", "whole"]).select("doc_id", "row", "w", F.array(whole).alias("spans")))
     named_ = F.transform("spans", lambda x: F.struct(F.col("w").alias("w"), x["at"].alias("at"), x["n"].alias("n"), x["mask"].alias("mask")))
     return met.select("doc_id", "row", named_.alias("spans")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -460,10 +483,11 @@ def covered(n_bytes: int, spans: pa.Scalar, lengths: tuple[int, ...]) -> list[np
         own = null & (w == k)
         np.add.at(edge, at[own], 1)
         np.add.at(edge, at[own] + n[own] - 1 + length, -1)
-        for t in range(PIECE):
-            start = at[~null & (w == k) & (t < n) & ((bits >> t) & 1 == 1)] + t
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + length, -1)
+        own = ~null & (w == k)
+        t = np.arange(PIECE)
+        start = (at[own, None] + t)[(t < n[own, None]) & ((bits[own, None] >> t) & 1 == 1)]
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + length, -1)
         out.append(np.cumsum(edge)[:n_bytes] > 0)
     return out
 
@@ -481,7 +505,7 @@ def _marked(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col: str, t
             for batch in batches:
                 yield batch.filter(pa.array(passes(bitmap.value, batch.column(batch.num_columns - 1).to_numpy().view(_U)) == wish))
 
-        return keyed.mapInArrow(kernel, keyed.schema)
+        return map_batches(keyed, kernel, keyed.schema)
 
     same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__sd_id")) & (F.col("__sd_key") == F.col("__sd_row"))
     hit = chosen(True).join(spans, same, "left").drop("__sd_id", "__sd_row")
@@ -507,7 +531,7 @@ def dedup(docs: DataFrame, wanted: tuple[tuple[int, str], ...] = ((LENGTH, ANY),
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3]), pa.array(columns[4], pa.int64())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
 
-    out = joined.mapInArrow(digests, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage bigint").withColumnRenamed("id", id_col)
+    out = map_batches(joined, digests, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage bigint").withColumnRenamed("id", id_col)
     return out if len(wanted) > 1 else out.drop("n_passage")
 
 
@@ -528,5 +552,5 @@ def dedup_texts(docs: DataFrame, length: int = PASSAGE, which: str = LATER, id_c
             columns = [pa.array(cut, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    out = joined.mapInArrow(texts, docs.schema)
+    out = map_batches(joined, texts, docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -17,6 +17,8 @@ U64 = np.uint64
 #: everywhere (Thue-Morse words) would have equal hashes whatever the base.
 _PRIME = (1 << 31) - 1
 _BASES = (0x2C1B3C6D, 0x165667B1)
+#: Values that are worked on at a time where that keeps them in the processor's cache.
+STRETCH = 1 << 14
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -92,9 +94,12 @@ def byte_grams(buf: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` bytes (a multiple of 8): good enough to order and to group runs by, not to tell them apart."""
     n = max(0, len(buf) - width + 1)
     padded, out = np.ascontiguousarray(buf), np.zeros(n, U64)
-    for k in range(0, width, 8) if n else ():
-        out += np.ndarray((n,), "<u8", padded, offset=k, strides=(1,)) * U64(0x9E3779B97F4A7C15 + (k << 32))
-    return mix64(out)
+    for cut in range(0, n, STRETCH):
+        part = out[cut : cut + STRETCH]
+        for k in range(0, width, 8):
+            part += np.ndarray((len(part),), "<u8", padded, offset=cut + k, strides=(1,)) * U64(0x9E3779B97F4A7C15 + (k << 32))
+        part[:] = mix64(part)
+    return out
 
 
 def distinct_spans(values: np.ndarray, start: np.ndarray, stop: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -182,16 +187,19 @@ def white_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each window of this width."""
+    """Minimum of each window of this width: of windows twice as wide at each step, over stretches that stay in the cache."""
     n = len(values) - width + 1
     if n <= 0:
         return values[:0]
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(values.dtype).max, values.dtype)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    out = np.empty(n, values.dtype)
+    for cut in range(0, n, STRETCH):
+        size, span = min(STRETCH, n - cut), 1
+        part = values[cut : cut + size + width - 1]
+        while 2 * span <= width:
+            part = np.minimum(part[:-span], part[span:])
+            span *= 2
+        np.minimum(part[:size], part[width - span : width - span + size], out=out[cut : cut + size])
+    return out
 
 
 def anchor_runs(grams: np.ndarray, offsets: np.ndarray, window: int, gram: int, least: np.ndarray | None = None):

@@ -134,8 +134,8 @@ def test_suffix_dedup_where_sieves_let_everything_through(spark, monkeypatch):
 
     table = long_corpus(spark).where("doc_id < 12")
     want = sorted(op.dedup(table).collect())
-    full = spark.sparkContext.broadcast(np.full(1 << 20, ~np.uint64(0)))
-    monkeypatch.setattr(op, "sieve", lambda *_: full)
+    full = np.full(1 << 20, ~np.uint64(0))
+    monkeypatch.setattr(op, "sieve", lambda *_: spark.sparkContext.broadcast(full))
     assert sorted(op.dedup(table).collect()) == want
 
 
@@ -401,6 +401,30 @@ def test_pipeline_stages_against_brute_force(spark, docs):
     assert all(abs(mixed[k] - v) <= max(5, 0.02 * v) for k, v in fill(dict(sizes)).items())
 
 
+def test_kernels_return_what_they_freed():
+    """Workers that wait for a task count towards an executor's memory: after a kernel's end little of what it took is left."""
+    from helixframe.llm import frames
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    pins = []
+
+    def kernel(batches):
+        for batch in batches:
+            held = []
+            for _ in range(4000):
+                held.append(np.ones(1 << 13))
+                # what is left in between keeps the heap from shrinking by itself
+                pins.append(np.ones(1 << 8))
+            yield batch + len(held)
+
+    before = resident()
+    assert list(frames.lean(kernel)(iter([1, 2]))) == [4001, 4002]
+    assert resident() - before < 64
+
+
 def test_pipeline_on_nothing_and_on_clashing_columns(spark, docs):
     import corpus_pipeline as pipe
 
