@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import map_batches
+
 
 def block_pairs(rows: DataFrame, group: list[str], member: list[str], block: int) -> DataFrame:
     """Each row once for every pair of blocks of its group that holds its own block.
@@ -56,7 +58,7 @@ def run_groups(rows: DataFrame, kernel: Callable[[pa.Table], pa.RecordBatch | No
                 out.append(done)
         yield from out
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(each, schema)
+    return map_batches(rows.repartition("g").sortWithinPartitions("g"), each, schema)
 
 
 def run_packs(rows: DataFrame, key: str, kernel: Callable[[pa.Table], pa.RecordBatch], schema: str, pack: int) -> DataFrame:
@@ -86,4 +88,4 @@ def run_packs(rows: DataFrame, key: str, kernel: Callable[[pa.Table], pa.RecordB
         if held:
             yield kernel(pa.Table.from_batches(held))
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(each, schema)
+    return map_batches(rows.repartition(key).sortWithinPartitions(key), each, schema)

@@ -202,7 +202,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few tens of KB, whatever the input
 
     def kernel(batches):
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 1 << 20):
             names, score = predict_texts(shared.value, batch.column(batch.schema.get_field_index(text_col)), over_chance)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 

@@ -154,7 +154,7 @@ def mixed_texts(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col
     joined = rows.join(ranges, (F.col("__mix_turn") == F.col("__mix_t")) & F.col(id_col).eqNullSafe(F.col("__mix_id"))).select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_ranges")
 
     def kernel(batches):
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 1 << 20):
             at = batch.schema.get_field_index(text_col)
             buf, off = text_buffer(batch.column(at))
             start, stop, word_off = white_words(buf, off)

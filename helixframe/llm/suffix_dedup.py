@@ -521,7 +521,7 @@ def dedup(docs: DataFrame, wanted: tuple[tuple[int, str], ...] = ((LENGTH, ANY),
     joined = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id", "text")
 
     def digests(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             buf, off = text_buffer(batch.column(1))
             spans, out = batch.column(2), []
             for i in range(batch.num_rows):
@@ -540,7 +540,7 @@ def dedup_texts(docs: DataFrame, length: int = PASSAGE, which: str = LATER, id_c
     joined = _marked(docs, ((length, which),), id_col, text_col)
 
     def texts(batches):
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 1 << 20):
             at = batch.schema.get_field_index(text_col)
             buf, off = text_buffer(batch.column(at))
             spans, cut = batch.column(batch.num_columns - 1), []

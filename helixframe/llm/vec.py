@@ -7,8 +7,6 @@ worker handles tens of megabytes a second in bounded memory: callers cut their b
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
@@ -43,7 +41,6 @@ def _rest(x: np.ndarray) -> np.ndarray:
     return np.where(x >= U64(_PRIME), x - U64(_PRIME), x)
 
 
-@functools.lru_cache(maxsize=1)
 def _powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for base in _BASES:
@@ -51,15 +48,26 @@ def _powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
         for b in (base, pow(base, -1, _PRIME)):
             p = np.ones(1, np.uint32)
             while len(p) < size:
-                p = np.concatenate([p, _rest(p.astype(U64) * U64(pow(b, len(p), _PRIME))).astype(np.uint32)])
+                more = min(len(p), size - len(p))
+                p = np.concatenate([p, _rest(p[:more].astype(U64) * U64(pow(b, len(p), _PRIME))).astype(np.uint32)])
             pair.append(p)
         out.append(tuple(pair))
     return out
 
 
+#: The longest tables of powers so far; those of over ``KEPT`` powers, for a text of such length, go after use.
+_TABLES: list[list[tuple[np.ndarray, np.ndarray]]] = []
+KEPT = 5 << 20
+
+
 def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Powers of each base and of its inverse modulo the prime, at least n of each."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    size = -(-n >> 16) << 16
+    if size > KEPT:
+        return _powers(size)
+    if not _TABLES or len(_TABLES[0][0][0]) < size:
+        _TABLES[:] = [_powers(size)]
+    return _TABLES[0]
 
 
 class SpanHash:

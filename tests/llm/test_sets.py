@@ -425,6 +425,30 @@ def test_kernels_return_what_they_freed():
     assert resident() - before < 64
 
 
+def test_powers_are_kept_and_no_more_than_needed(monkeypatch):
+    """Hashes of a batch's bytes, words and shingles need tables of different lengths in turn; a worker keeps one."""
+    from helixframe.llm import vec
+
+    monkeypatch.setattr(vec, "_TABLES", [])
+    table = vec.powers((1 << 20) + 1)
+    assert vec.powers(1000) is table and vec.powers((1 << 20) + 1) is table
+    assert sum(p.nbytes for pair in table for p in pair) < 20 << 20
+    assert all(int(p[k]) * int(q[k]) % vec._PRIME == 1 for p, q in table for k in (0, 1, 65535, 65536, 1 << 20))
+    assert len(vec.powers(vec.KEPT + 1)[0][0]) > vec.KEPT and vec.powers(5) is table
+
+
+def test_kernels_on_groups_return_what_they_freed(spark, monkeypatch):
+    from helixframe.llm import blocks, frames
+
+    seen = []
+    monkeypatch.setattr(frames, "lean", lambda kernel: seen.append(kernel) or kernel)
+    table = spark.range(8).selectExpr("id % 2 as g", "id")
+    kernel = lambda t: t.combine_chunks().to_batches()[0]
+    assert blocks.run_groups(table, kernel, "g bigint, id bigint").count() == 8
+    assert blocks.run_packs(table, "g", kernel, "g bigint, id bigint", 2).count() == 8
+    assert len(seen) == 2
+
+
 def test_pipeline_on_nothing_and_on_clashing_columns(spark, docs):
     import corpus_pipeline as pipe
 
