@@ -37,6 +37,7 @@ from .vec import SpanHash, distinct_spans, mix64, ragged, row_of, slices
 
 SHORT = 48
 _NONE = np.iinfo(np.int32).max
+_FREE = np.iinfo(np.int64).min
 _MARK = "▁"
 
 
@@ -77,6 +78,8 @@ class Coder:
                     self.ids[piece] = i
         if any(_MARK in p.strip(_MARK) or p.rstrip(_MARK) not in (p, "") or "\n" in p for p in self.ids):
             raise ValueError("a piece crosses units")
+        size = np.array([len(r) for r in self.raw], np.int64)
+        self.spelled = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(size) - size, size  # bytes of all pieces, first and number of each
         order = sorted(self.ids, key=lambda p: (-model.scores[self.ids[p]], self.ids[p]))
         # pieces of one score are equals: then the leftmost goes first
         self.rank, last, n = {}, None, -1
@@ -84,11 +87,23 @@ class Coder:
             if model.scores[self.ids[p]] != last:
                 last, n = model.scores[self.ids[p]], n + 1
             self.rank[p] = n
-        # joins: (left id, right id) -> (rank, joined id), sorted by key
+        # joins: (left id, right id) -> (rank, joined id), in a hash table with linear probing; the last entry stands for none
         found = {(self.ids[p[:k]], self.ids[p[k:]]): (self.rank[p], self.ids[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
         keys = np.array([a << 32 | b for a, b in found], np.int64)
-        at = np.argsort(keys)
-        self.keys, self.values = keys[at], np.array(list(found.values()), np.int32)[at]
+        values = np.array(list(found.values()), np.int32).reshape(-1, 2)
+        self.bits = (4 * len(keys) + 1).bit_length()
+        self.keys = np.full(1 << self.bits, _FREE)
+        entry = np.full(1 << self.bits, len(keys))
+        at, left = self.slot(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == _FREE)
+            at_free, which = np.unique(at[free], return_index=True)
+            self.keys[at_free], entry[at_free] = keys[left[free[which]]], left[free[which]]
+            rest = np.ones(len(left), bool)
+            rest[free[which]] = False
+            at, left = self.after(at[rest]), left[rest]
+        entry = np.append(entry, len(keys))
+        self.ranks, self.joined = np.append(values[:, 0], np.int32(_NONE))[entry], np.append(values[:, 1], np.int32(-1))[entry]
         self.one = {c: i for c, i in self.ids.items() if len(c) == 1 and c != _MARK}
         top = max(map(ord, self.one)) + 1
         self.of_char = np.full(max(top, 256), -1, np.int32)
@@ -104,11 +119,24 @@ class Coder:
         where = (start.astype(np.uint64) << np.uint64(42)) | (mid.astype(np.uint64) << np.uint64(21)) | stop.astype(np.uint64)
         return mix64(where + np.uint64(self.seed))
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def after(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
     def join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        ok = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(ok, self.values[at, 0], _NONE), np.where(ok, self.values[at, 1], -1)
+        """rank and joined piece of each pair, _NONE and -1 where the two have none."""
+        key = (left.astype(np.int64) << 32 | right).ravel()
+        at = self.slot(key)
+        got = self.keys[at]
+        other = np.flatnonzero((got != key) & (got != _FREE))
+        while len(other):
+            at[other] = self.after(at[other])
+            got[other] = self.keys[at[other]]
+            other = other[(got[other] != key[other]) & (got[other] != _FREE)]
+        at[got != key] = len(self.keys)
+        return self.ranks[at].reshape(left.shape), self.joined[at].reshape(left.shape)
 
     def symbols(self, chars: np.ndarray) -> np.ndarray:
         """Piece of each code point, -1 where it has none."""
@@ -124,47 +152,49 @@ class Coder:
         unit = unit if drop else np.zeros(len(ids), np.uint64)
         n, width = ids.shape
         count = size.copy()
-        start = np.broadcast_to(np.arange(width, dtype=np.int32), ids.shape).copy()
-        stop = start + 1
-        out_ids, out_start, out_count = np.full_like(ids, -2), start.copy(), count.copy()
-        rank, joined = self.join(ids[:, :-1], ids[:, 1:]) if width > 1 else (np.full((n, 0), _NONE), np.zeros((n, 0), np.int64))
+        # symbol k of a row lies between edge k and edge k + 1; pieces and ranks have columns beside them, so that one index serves all
+        ids = np.concatenate([ids.astype(np.int32), np.full((n, 1), -2, np.int32)], axis=1)
+        edge = np.broadcast_to(np.arange(width + 1, dtype=np.int32), ids.shape).copy()
+        out_ids, out_edge, out_count = np.full((n, width), -2, np.int32), edge[:, :-1].copy(), count.copy()
+        rank = np.full(ids.shape, _NONE, np.int32)
+        rank[:, :-1] = self.join(ids[:, :-1], ids[:, 1:])[0]
         if drop:
             r, c = np.nonzero(rank < _NONE)
-            gone = self.dropped(unit[r], start[r, c], start[r, c + 1], stop[r, c + 1])
+            gone = self.dropped(unit[r], edge[r, c], edge[r, c + 1], edge[r, c + 2])
             rank[r[gone], c[gone]] = _NONE
         rows = np.arange(n)
         while len(rows):
-            best = rank.argmin(1) if rank.shape[1] else np.zeros(len(rows), np.int64)
-            go = rank[np.arange(len(rows)), best] < _NONE if rank.shape[1] else np.zeros(len(rows), bool)
-            done = ~go
+            i, best = np.arange(len(rows)), rank.argmin(1)
+            done = rank[i, best] == _NONE
             if done.any():
-                out_ids[rows[done], : ids.shape[1]], out_start[rows[done], : ids.shape[1]], out_count[rows[done]] = ids[done], start[done], count[done]
-                rows, best, ids, start, stop, rank, joined, count, unit = (a[go] for a in (rows, best, ids, start, stop, rank, joined, count, unit))
-                if not len(rows):
+                w, of, done = ids.shape[1] - 1, rows[done], np.flatnonzero(done)
+                out_ids[of, :w], out_edge[of, :w], out_count[of] = ids[done, :w], edge[done, :w], count[done]
+                go = np.delete(i, done)
+                if not len(go):
                     break
-            i = np.arange(len(rows))
-            new, end = joined[i, best], stop[i, best + 1]
+                rows, best, ids, edge, rank, count, unit = (a[go] for a in (rows, best, ids, edge, rank, count, unit))
+                i = i[: len(go)]
+            new = self.join(ids[i, best], ids[i, best + 1])[1]
             if made is not None:
-                made.append((rows, self.merge_key(start[i, best], start[i, best + 1], end)))
-            # close the gap at best + 1
+                made.append((rows, self.merge_key(edge[i, best], edge[i, best + 1], edge[i, best + 2])))
+            # close the gap at best + 1; the two pairs at the join follow below
             col = np.arange(ids.shape[1] - 1)
             source = col + (col > best[:, None])
-            take = lambda a, s=source: np.take_along_axis(a, s, 1)
-            ids, start, stop = take(ids), take(start), take(stop)
-            ids[i, best], stop[i, best] = new, end
-            count -= 1
-            pair = np.arange(rank.shape[1] - 1)  # those beyond the join were one further on; the two at it follow below
-            pair = pair + (pair > best[:, None])
-            rank, joined = take(rank, pair), take(joined, pair)
-            for at, ok in ((best - 1, best >= 1), (best, best + 1 < ids.shape[1])):
+            source += (i * ids.shape[1])[:, None]
+            ids, edge, rank = (a.ravel()[source] for a in (ids, edge, rank))
+            ids[i, best] = new
+            count = count - 1
+            for at, ok in ((best - 1, best >= 1), (best, best + 2 < edge.shape[1])):
                 k, a = i[ok], at[ok]
                 if len(k):
-                    p, q = self.join(ids[k, a], ids[k, a + 1])
-                    hit = np.flatnonzero(p < _NONE) if drop else np.zeros(0, np.int64)
-                    gone = hit[self.dropped(unit[k[hit]], start[k[hit], a[hit]], start[k[hit], a[hit] + 1], stop[k[hit], a[hit] + 1])]
-                    p[gone] = _NONE
-                    rank[k, a], joined[k, a] = p, q
-        return out_ids, out_start, out_count
+                    p = self.join(ids[k, a], ids[k, a + 1])[0]
+                    if drop:
+                        hit = np.flatnonzero(p < _NONE)
+                        gone = hit[self.dropped(unit[k[hit]], edge[k[hit], a[hit]], edge[k[hit], a[hit] + 1], edge[k[hit], a[hit] + 2])]
+                        p[gone] = _NONE
+                    rank[k, a] = p
+            rank[i[best + 2 >= edge.shape[1]], best[best + 2 >= edge.shape[1]]] = _NONE
+        return out_ids, out_edge, out_count
 
     def alone(self, ids: list[int], unit: int) -> list[tuple[int, int]]:
         """(piece, first symbol) of one unit, by a heap."""
@@ -196,7 +226,7 @@ class Coder:
             offer(i)
         return [(ids[i], i) for i in range(n) if live[i]]
 
-    @functools.lru_cache(maxsize=1 << 17)  # noqa: B019
+    @functools.lru_cache(maxsize=1 << 15)  # noqa: B019
     def pair(self, a: int, b: int) -> tuple[int, int]:
         rank, joined = self.join(np.array([a]), np.array([b]))
         return int(rank[0]), int(joined[0])
@@ -252,7 +282,7 @@ class Coder:
                 for cut in range(0, len(group), 1 << 13):
                     which = group[cut : cut + (1 << 13)]
                     u = units[which]
-                    ids = np.full((len(u), int(size[u].max())), -2, np.int64)
+                    ids = np.full((len(u), int(size[u].max())), -2, np.int32)
                     ids[np.arange(ids.shape[1]) < size[u][:, None]] = self.symbols(chars[ragged(start[u], size[u])])
                     steps: list = []
                     got, where, counts = self.together(ids, size[u], key[u] if drop else None, steps if made is not None else None)
@@ -290,7 +320,7 @@ class Coder:
         return pool_[ragged(at[slot], lengths)], where[unit_at]
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join([self.raw[i] for i in ids.tolist()])
+        raw = self.spelled[0][ragged(self.spelled[1][ids], self.spelled[2][ids])].tobytes()
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 

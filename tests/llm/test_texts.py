@@ -200,6 +200,25 @@ def test_heap_and_arrays_agree(monkeypatch):
     assert a.tolist() == b.tolist()
 
 
+def test_joins_are_found_in_any_table(monkeypatch):
+    """Pairs are looked up by hash: every join of the model, and nothing for others, however many share a place; equal ranks go leftmost first."""
+    from helixframe.llm import merge_dropout as op
+
+    model = op.PieceModel(["▁", "a", "b", "aa", "ab", "aab", "ba"], [1] * 7, [0.0, 0.0, 0.0, -1.0, -1.0, -2.0, -3.0], True)
+    want = {(1, 1): (1, 3), (1, 2): (1, 4), (1, 4): (2, 5), (3, 2): (2, 5), (2, 1): (3, 6)}
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(op.Coder, "slot", lambda self, key: np.zeros(key.shape, np.int64) + (1 << self.bits) - 2)
+        coder = op.Coder(model, 0.0, 1)
+        left, right = (x.astype(np.int32) for x in np.meshgrid(np.arange(-2, 7), np.arange(-2, 7), indexing="ij"))
+        rank, joined = coder.join(left, right)
+        assert {(int(a), int(b)): (int(r), int(j)) for a, b, r, j in zip(left.ravel(), right.ravel(), rank.ravel(), joined.ravel(), strict=True) if j >= 0} == want
+        assert ((joined >= 0) == (rank < op._NONE)).all()
+        ids, start, n = coder.together(np.array([[1, 1, 2, 1], [2, 1, 1, -2], [1, -2, -2, -2]]), np.array([4, 3, 1]), None)
+        assert [(i[:k].tolist(), s[:k].tolist()) for i, s, k in zip(ids, start, n, strict=True)] == [([5, 1], [0, 3]), ([2, 3], [0, 1]), ([1], [0])]
+        assert coder.decode(np.array([0, 5, 6])) == "aabba"
+
+
 def test_every_occurrence_is_cut_anew(spark):
     from helixframe.llm import merge_dropout as op
 
