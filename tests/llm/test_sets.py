@@ -128,6 +128,21 @@ def test_suffix_dedup_tells_confusable_strings_apart(spark):
     assert sorted((r.doc_id, r.n_removed) for r in op.dedup(table).collect()) == [(k, int(g.sum())) for (k, _, _), g in zip(raw, repeated_bytes(raw, 400, "any"), strict=True)]
 
 
+def test_pieces_have_names_of_their_own():
+    """Where a gram comes again after a multiple of COARSE bytes, pieces of two of its places begin at one byte."""
+    import random
+
+    import pyarrow as pa
+
+    from helixframe.llm import suffix_dedup as op
+
+    r = random.Random(5)
+    block = "".join(r.choice("abcdefgh") for _ in range(op.COARSE))
+    s = op.Strings(pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([block * 9, block * 5 + "x" * 700]), pa.array([3, 4])], names=["doc_id", "text", "row"]), 400)
+    p = s.coarse(np.ones(len(s.lo), bool))
+    assert len(set(zip(p["run"].tolist(), p["at"].tolist(), strict=True))) < len(p["at"]) == len(set(p["name"].tolist()))
+
+
 def test_suffix_dedup_where_sieves_let_everything_through(spark, monkeypatch):
     """As over many keys: short strings that only show passages have no pieces, though their names pass."""
     from helixframe.llm import suffix_dedup as op
