@@ -56,10 +56,27 @@ def stored(frame: DataFrame, label: str, outer: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if len(_OPEN) > outer:
         _OPEN[-1 - outer].append(path)
-    frame.write.parquet(path)
+    with _hash_joins(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Size, as it is shuffled, up to which every part of a join's side has to be for the join to go by hash table, without sorting.
+HASHED = "8m"
+
+
+@contextlib.contextmanager
+def _hash_joins(spark: SparkSession):
+    """Joins that run within go by hash table where Spark has found that the parts of a side are small."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, HASHED)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

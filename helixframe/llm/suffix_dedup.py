@@ -49,6 +49,8 @@ ANY, OTHER, LATER, SHARED = "any", "other", "later", "shared"
 KNOWN = ["n", "low", "high", "first"]
 #: Bytes of the strings of the contract, of a passage of some fifty short words, and of the strings whose runs show passages.
 LENGTH, PASSAGE, SHOWN = 400, 200, 96
+#: Bits of the sketch of repeated keys, as a power of two; keys that a task holds before they are sent.
+SKETCH, HELD = 26, 1 << 19
 
 _U = np.uint64
 
@@ -66,13 +68,16 @@ class Strings:
             if "h" in other.__dict__:
                 self.h = other.h
         self.reach = length - GRAM
-        least = sliding_min(self.grams, self.reach + 1)
-        self.gram, self.lo, self.hi = anchor_runs(self.grams, self.off, length, GRAM, least)
+        self.least = sliding_min(self.grams, self.reach + 1)
+        self.gram, self.lo, self.hi = anchor_runs(self.grams, self.off, length, GRAM, self.least)
         self.key = mix64(self.gram + _U(length))
         self.row = row_of(self.lo, self.off)
-        # places that are the least of some string
-        peak = ~sliding_min(np.pad(~least, self.reach, constant_values=np.iinfo(_U).max), self.reach + 1)
-        self.least_at = np.flatnonzero(self.grams == peak) if len(least) else np.zeros(0, np.int64)
+
+    @functools.cached_property
+    def least_at(self) -> np.ndarray:
+        """Places that are the least of some string."""
+        peak = ~sliding_min(np.pad(~self.least, self.reach, constant_values=np.iinfo(_U).max), self.reach + 1)
+        return np.flatnonzero(self.grams == peak) if len(self.least) else np.zeros(0, np.int64)
 
     @functools.cached_property
     def h(self) -> SpanHash:
@@ -88,12 +93,16 @@ class Strings:
         return place[found], run[found]
 
     def whole(self, some) -> np.ndarray:
-        return self.h(self.lo[some], self.hi[some] - 1 + self.length)
+        return self.all_whole[some] if "all_whole" in self.__dict__ else self.h(self.lo[some], self.hi[some] - 1 + self.length)
+
+    @functools.cached_property
+    def all_whole(self) -> np.ndarray:
+        return self.h(self.lo, self.hi - 1 + self.length)
 
     @functools.cached_property
     def wholes(self) -> np.ndarray:
         """A key of each run by all of its bytes."""
-        return mix64(self.key ^ self.whole(slice(None)))
+        return mix64(self.key ^ self.all_whole)
 
     @functools.cached_property
     def names(self) -> np.ndarray:
@@ -160,23 +169,76 @@ def _of_batches(lengths: tuple[int, ...], columns: str, rows, texts=None):
     return kernel
 
 
-def _keys(texts: DataFrame, wanted: tuple[tuple[int, str], ...]) -> DataFrame:
-    """Each key of a slice and how often its gram occurs in the runs; where only whole runs matter, each key of one and how many
-    have it."""
-    lengths = tuple(length for length, _ in wanted)
+def _repeated(texts: DataFrame, wanted: tuple[tuple[int, str], ...]):
+    """As :func:`sieve`, the set of keys whose gram occurs more than once in the runs; where only whole runs matter, of keys that
+    several runs have. Keys travel in bytes, one row for those of a task's stretch that lie in one part of the sketch; each
+    part of the sketch is put together from its rows, one after another."""
+    spark = texts.sparkSession
+    deep = min(SKETCH - 6, (4 * partitions(spark)).bit_length())
 
-    def rows(s, w):
-        shared = wanted[w][1] == SHARED
-        key, at = np.unique(s.wholes if shared else s.key, return_inverse=True)
-        return [_long(key), pa.array(np.bincount(at if shared else at[s.places()[1]], minlength=len(key)).astype(np.int32))]
+    def packed(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        key, many = _summed(np.concatenate(keys), np.concatenate(counts))
+        edge = np.searchsorted(key >> _U(64 - deep), np.arange((1 << deep) + 1, dtype=_U))
+        some = np.flatnonzero(edge[1:] > edge[:-1])
+        edge = np.append(edge[some], len(key)).astype(np.int32)
+        binary = lambda values, size: pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((edge * np.int32(size)).tobytes()), pa.py_buffer(values.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), binary(key, 8), binary(many, 1)], names=["part", "keys", "many"])
 
-    schema = "key bigint, places int"
-    return map_batches(texts, _of_batches(lengths, schema, rows), schema)
+    def kernel(batches):
+        keys, counts, n = [], [], 0
+        for batch in slices(batches, "text", 1 << 17):
+            strings = None
+            for length, how in wanted:
+                s = strings = Strings(batch, length, strings)
+                key, at = np.unique(s.wholes if how == SHARED else s.key, return_inverse=True)
+                keys.append(key)
+                counts.append(np.minimum(np.bincount(at if how == SHARED else at[s.places()[1]], minlength=len(key)), 2).astype(np.uint8))
+                n += len(key)
+            if n >= HELD:
+                yield packed(keys, counts)
+                keys, counts, n = [], [], 0
+        if n:
+            yield packed(keys, counts)
+
+    def sketched(batches):
+        last, keys, counts = None, [], []
+
+        def done():
+            key, many = _summed(np.concatenate(keys), np.concatenate(counts))
+            bits = np.zeros(1 << (SKETCH - deep), np.uint8)
+            bits[(key[many > 1] >> _U(64 - SKETCH)).astype(np.int64) & (len(bits) - 1)] = 1
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for part, some, many in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if part != last and keys:
+                    yield done()
+                    keys, counts = [], []
+                last = part
+                keys.append(np.frombuffer(some.as_py(), _U))
+                counts.append(np.frombuffer(many.as_py(), np.uint8))
+        if keys:
+            yield done()
+
+    rows = map_batches(texts, kernel, "part int, keys binary, many binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros(1 << (SKETCH - 6), _U)
+    for r in map_batches(rows, sketched, "part int, bits binary").collect():
+        size = len(out) >> deep
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, _U)
+    return spark.sparkContext.broadcast(out)
+
+
+def _summed(key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and their counts (2: or more)."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.minimum(np.add.reduceat(many[order].astype(np.int32), first), 2).astype(np.uint8) if len(key) else many
 
 
 def _runs(texts: DataFrame, wanted: tuple[tuple[int, str], ...], bitmap) -> DataFrame:
-    """Runs whose key (see :func:`_keys`) passes: whole: hash of the run's bytes, name: of its own, lo: first start, n: starts,
-    places: of the key's gram (0 where only whole runs matter)."""
+    """Runs whose key (see :func:`_repeated`) passes: whole: hash of the run's bytes, name: of its own, lo: first start, n: starts,
+    places: of the key's gram (name and places 0 where only whole runs matter)."""
     lengths = tuple(length for length, _ in wanted)
 
     def rows(s, w):
@@ -184,7 +246,8 @@ def _runs(texts: DataFrame, wanted: tuple[tuple[int, str], ...], bitmap) -> Data
         some = passes(bitmap.value, s.wholes if shared else s.key)
         row, n = pa.array(s.row[some]), int(some.sum())
         places = np.zeros(n, np.int32) if shared else np.bincount(s.places(some)[1], minlength=n).astype(np.int32)
-        return [pa.array(np.full(n, w, np.int32)), _long(s.key[some]), _long(s.whole(some)), _long(s.names[some]), s.batch.column(0).take(row), s.batch.column(2).take(row), pa.array((s.lo - s.off[s.row])[some]), pa.array((s.hi - s.lo)[some].astype(np.int32)), pa.array(places)]
+        name = np.zeros(n, np.int64) if shared else s.names[some]
+        return [pa.array(np.full(n, w, np.int32)), _long(s.key[some]), _long(s.whole(some)), _long(name), s.batch.column(0).take(row), s.batch.column(2).take(row), pa.array((s.lo - s.off[s.row])[some]), pa.array((s.hi - s.lo)[some].astype(np.int32)), pa.array(places)]
 
     schema = "w int, key bigint, whole bigint, name bigint, doc_id bigint, row bigint, lo bigint, n int, places int"
     return map_batches(texts, _of_batches(lengths, schema, rows), schema)
@@ -432,8 +495,7 @@ def repeated_starts(docs: DataFrame, wanted: tuple[tuple[int, str], ...], id_col
     total = _totals([c for c in known if c != "first"])
     open_w = [w for w, (_, how) in enumerate(wanted) if how != SHARED]
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
-    keys = _keys(texts, wanted).groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
-    found = _sifted(lambda bitmap: _runs(texts, wanted, bitmap), "runs", sieve(keys, "key"))
+    found = _sifted(lambda bitmap: _runs(texts, wanted, bitmap), "runs", _repeated(texts, wanted))
     runs = found.where(F.col("w").isin(open_w))
     # classes of equal runs, and one of each that stands for them; an id that is null is one of its own, before all others
     place = F.struct("doc_id", "row", F.col("lo").alias("at"))

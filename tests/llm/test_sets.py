@@ -154,6 +154,50 @@ def test_suffix_dedup_where_sieves_let_everything_through(spark, monkeypatch):
     assert sorted(op.dedup(table).collect()) == want
 
 
+def test_repeated_keys_travel_in_bytes(spark, monkeypatch):
+    """The sketch holds exactly the keys of which there is more than one, by places or by whole runs, over all tasks."""
+    import pyarrow as pa
+
+    from helixframe.llm import suffix_dedup as op
+    from helixframe.llm.sieve import passes
+
+    monkeypatch.setattr(op, "HELD", 64)
+    texts = [t for _, t, *_ in cases.corpus()]
+    wanted = ((200, op.ANY), (96, op.SHARED))
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array(range(len(texts)), pa.int64())], names=["doc_id", "text", "row"])
+    long = op.Strings(batch, 200)
+    shown = op.Strings(batch, 96, long)
+    keys, n = np.unique(np.concatenate([long.key[long.places()[1]], shown.wholes]), return_counts=True)
+    bits = np.zeros(1 << op.SKETCH, bool)
+    bits[(keys[n > 1] >> np.uint64(64 - op.SKETCH)).astype(np.int64)] = True
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id bigint, text string, row bigint").repartition(5)
+    got = op._repeated(rows, wanted).value
+    assert 0 < bits.sum() < len(keys)
+    assert (np.unpackbits(got.view(np.uint8), bitorder="little") == bits).all()
+    assert passes(got, keys[n > 1]).all()
+    assert not op._repeated(rows.limit(0), wanted).value.any()
+
+
+def test_stored_tables_join_by_hash(spark):
+    """Tables are written under the setting that lets Spark join by hash; the session's own is back afterwards."""
+    from helixframe.llm import frames
+
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before, seen = spark.conf.get(name), []
+    rows = spark.range(20).select("id", (F.col("id") % 7).alias("k"))
+
+    class Writer:
+        def parquet(self, path):
+            seen.append(spark.conf.get(name))
+            rows.write.parquet(path)
+
+    class Frame:
+        sparkSession, schema, write = spark, rows.schema, Writer()
+
+    assert frames.stored(Frame(), "joined").count() == 20
+    assert seen == [frames.HASHED] and spark.conf.get(name) == before
+
+
 def test_debruijn_dedup(spark, docs, empty):
     from helixframe.llm import debruijn_dedup as op
 
