@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import jaccard_forest, language_id, merge_dropout, source_mix, suffix_dedup
-from helixframe.llm.frames import stored, temporary
+from helixframe.llm.frames import release, stored, temporary
 
 #: Least mean probability of the language found, in shares of an even distribution over all languages.
 OVER_CHANCE = 1.2
@@ -27,11 +27,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     found = language_id.identify(docs.select(*COLUMNS), over_chance=OVER_CHANCE)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     with temporary(spark):
         groups = jaccard_forest.near_duplicates(docs.select("doc_id", "text"))
         gone = stored(groups.where("not kept").select("doc_id").distinct(), "pipeline-gone", True)
@@ -42,14 +44,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return suffix_dedup.dedup_texts(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return source_mix.mixed_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     # rows of one id, from the rounds of the mix, are cut differently; those with one text too
     again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars"))
     rounds = docs.select("doc_id", "text", F.xxhash64("text", again).alias("round"))

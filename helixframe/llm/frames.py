@@ -109,8 +109,12 @@ def map_batches(frame: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], I
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs that nothing refers to any more: it finds them when the driver's
-    memory is collected, which may be long after."""
+    memory is collected, which may be long after. Executors collect theirs too, and give back what heap and buffers are free:
+    between steps they hold next to nothing, but keep all that the largest step took."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    # as many tasks as there are cores, so that no executor is left out
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()

@@ -508,6 +508,17 @@ def test_kernels_on_groups_return_what_they_freed(spark, monkeypatch):
     assert len(seen) == 2
 
 
+def test_executors_collect_their_memory_between_steps(spark):
+    """Not only the driver: the heap of a large step stays with the executors for good otherwise."""
+    from helixframe.llm import frames
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = beans()
+    frames.release(spark)
+    # here the driver is the executor: its own collection, and that of a task at least
+    assert beans() >= before + 2
+
+
 def test_pipeline_on_nothing_and_on_clashing_columns(spark, docs):
     import corpus_pipeline as pipe
 
