@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs, run_groups
 from .components import components, local_components
-from .frames import map_batches, stored, temporary
+from .frames import map_batches, release, stored, temporary
 from .vec import SpanHash, mix64, slices, text_buffer, white_words
 
 SHINGLE = 5
@@ -264,6 +264,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     keys = stored(keys, "class-trees")
     forest, _ = candidates(keys.select("first", "trees"), threshold, target, block)
     groups = stored(components(forest), "candidate-groups")
+    release(keys.sparkSession)
     # exact sets of the candidates
     chosen = groups.join(keys.select(F.col("first").alias("node"), "c1", "n"), "node").select(F.col("node").alias("first"), "c1", "n", "component")
     texts = docs.select(F.col(id_col).cast("bigint").alias("first"), F.col(text_col).alias("text"))
