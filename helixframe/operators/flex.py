@@ -15,10 +15,15 @@ def probe_status(probes: DataFrame, genes: DataFrame, length: int = 50) -> DataF
     return known.withColumn("status", status).drop("_known")
 
 
-def probe_index(probes: DataFrame, most: int = 32767) -> DataFrame:
-    """Index from 1 in order of gene, probe; without deprecated ones, up to ``most``."""
+def probe_index(probes: DataFrame, most: int | None = 32767) -> DataFrame:
+    """Index from 1 in order of gene, probe; without deprecated ones, up to ``most`` (None: all). Genes are ranked over their
+    counts first, so that no task holds all probes."""
     kept = probes.where(~F.upper("probe_id").contains("DEPRECATED"))
-    return kept.withColumn("index", F.row_number().over(Window.orderBy("gene_id", "probe_id"))).where(F.col("index") <= most)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_gene").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    genes = kept.groupBy(F.col("gene_id").alias("_gene")).agg(F.count("*").alias("_n")).select("_gene", before.alias("_before"))
+    ranked = kept.withColumn("_r", F.row_number().over(Window.partitionBy("gene_id").orderBy("probe_id"))).join(genes, F.col("gene_id").eqNullSafe(F.col("_gene")))
+    index = ranked.withColumn("index", (F.col("_before") + F.col("_r")).cast("int")).drop("_gene", "_before", "_r")
+    return index if most is None else index.where(F.col("index") <= most)
 
 
 def tag_variants(variants: DataFrame, most: int = 8) -> DataFrame:

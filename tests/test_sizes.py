@@ -1,8 +1,8 @@
 """Queries on small tables made up for what shows at size only, against their SQL."""
 
 import duckdb
-import pytest
 
+from helixframe.operators import flex
 from helixframe.plans import catalog
 
 
@@ -21,3 +21,16 @@ def same(spark, folder, name, **tables):
 def test_circular_junctions_at_any_distance(spark, tmp_path):
     lines = spark.createDataFrame([(k, p, 3, 10.0, "O") for k, p in enumerate((301, 1_000_201, 1_200_001, 3_000_000_001))], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_linestatus string")
     assert len(same(spark, tmp_path, "f16_circular", lineitem=lines)) == 4
+
+
+def test_every_probe_has_an_index(spark, tmp_path):
+    parts = spark.range(40_000).selectExpr("id AS p_partkey", "concat('blue bolt', id % 7) AS p_name", "concat('T', id % 3) AS p_type", "cast(id % 50 + 1 AS int) AS p_size")
+    rows = same(spark, tmp_path, "s12_probe_index", part=parts)
+    assert [r[1] for r in sorted(rows, key=lambda r: r[1])] == list(range(1, 39_201))
+
+
+def test_probe_index_up_to_a_limit(spark):
+    probes = spark.createDataFrame([(None, "z"), ("b", "y"), ("a", "x"), ("a", "w"), ("a", "v-Deprecated"), ("b", None)], "gene_id string, probe_id string")
+    got = lambda *most: {(r.gene_id, r.probe_id): r["index"] for r in flex.probe_index(probes, *most).collect()}
+    assert got() == got(None) == {(None, "z"): 1, ("a", "w"): 2, ("a", "x"): 3, ("b", "y"): 4}
+    assert got(2) == {(None, "z"): 1, ("a", "w"): 2}
