@@ -38,10 +38,10 @@ def _stages(s, d):
     return _tot(s, d).select((F.col("cb") % 3).alias("sample"), "cb", "n", (n >= 10).alias("retained"), (n >= 50).alias("simple"), n.between(20, 49).alias("tested"), (n >= 30).alias("passed"), (n > 70).alias("crowded"))
 
 
-# Pruning; weights by the supplier
+# Pruning; weights by the supplier. Halves are rounded to even, as SQL's printf does: format_string would round 5/64 up
 _weighted = lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("tids")).groupBy("tids").agg(F.count("*").alias("count")).withColumn("weights", F.transform("tids", lambda t: (t % 7 + 1) / 8.0))
 _WEIGHTED = "cl AS (SELECT tids, count(*) AS n FROM (SELECT list_sort(list(DISTINCT l_suppkey)) AS tids FROM lineitem GROUP BY l_orderkey) GROUP BY tids), el AS (SELECT tids AS ts, n, unnest(tids) AS t FROM cl), w AS (SELECT *, (t % 7 + 1) / 8.0::DOUBLE AS w FROM el)"
-_out = lambda c: c.select(F.array_join(F.col("tids").cast("array<string>"), ",").alias("tids"), F.array_join(F.transform("weights", lambda w: F.format_string("%.5f", w)), ",").alias("weights"), "count").groupBy("tids", "weights").agg(F.sum("count").alias("count"))
+_out = lambda c: c.select(F.array_join(F.col("tids").cast("array<string>"), ",").alias("tids"), F.array_join(F.transform("weights", lambda w: F.call_function("format_number", w, F.lit("0.00000"))), ",").alias("weights"), "count").groupBy("tids", "weights").agg(F.sum("count").alias("count"))
 _SHOWN = "SELECT tids, weights, CAST(sum(n) AS BIGINT) AS count FROM (SELECT string_agg(t, ',' ORDER BY t) AS tids, string_agg(printf('%.5f', w / total), ',' ORDER BY t) AS weights, n FROM (SELECT *, sum(w) OVER (PARTITION BY ts) AS total FROM k) GROUP BY ts, n) GROUP BY ALL"
 register("m11_prune_local", lambda s, d: _out(quant.prune_local(_weighted(s, d), 0.4)), f"WITH {_WEIGHTED}, k AS (SELECT * FROM w WHERE w >= 0.4::DOUBLE) {_SHOWN}")
 register("m11_prune_abundance", lambda s, d: _out(quant.prune_abundance(_weighted(s, d), 300.0)), f"WITH {_WEIGHTED}, k AS (SELECT * FROM w WHERE t NOT IN (SELECT t FROM w GROUP BY t HAVING sum(n * w) < 300)) {_SHOWN}")

@@ -1,6 +1,7 @@
 """Queries on small tables made up for what shows at size only, against their SQL."""
 
 import duckdb
+import pytest
 
 from helixframe.operators import flex
 from helixframe.plans import catalog
@@ -34,3 +35,12 @@ def test_probe_index_up_to_a_limit(spark):
     got = lambda *most: {(r.gene_id, r.probe_id): r["index"] for r in flex.probe_index(probes, *most).collect()}
     assert got() == got(None) == {(None, "z"): 1, ("a", "w"): 2, ("a", "x"): 3, ("b", "y"): 4}
     assert got(2) == {(None, "z"): 1, ("a", "w"): 2}
+
+
+@pytest.mark.parametrize("name", ["m11_prune_local"])
+def test_pruned_weights_round_halves_to_even(spark, tmp_path, name):
+    # suppliers that weigh 7, 7, 7, 7, 6, 7, 5, 7, 5 and 6 eighths: of 64, 5 are 0.078125
+    suppliers = [6, 13, 20, 27, 5, 34, 4, 41, 11, 12]
+    lines = spark.range(600).selectExpr("id AS l_orderkey", f"explode(array({', '.join(f'{s}L' for s in suppliers)})) AS l_suppkey")
+    ((_, weights, count),) = same(spark, tmp_path, name, lineitem=lines)
+    assert "0.07812" in weights.split(",") and count == 600
