@@ -37,7 +37,7 @@ def test_probe_index_up_to_a_limit(spark):
     assert got(2) == {(None, "z"): 1, ("a", "w"): 2}
 
 
-@pytest.mark.parametrize("name", ["m11_prune_local"])
+@pytest.mark.parametrize("name", ["m11_prune_local", "m11_prune_abundance"])
 def test_pruned_weights_round_halves_to_even(spark, tmp_path, name):
     # suppliers that weigh 7, 7, 7, 7, 6, 7, 5, 7, 5 and 6 eighths: of 64, 5 are 0.078125
     suppliers = [6, 13, 20, 27, 5, 34, 4, 41, 11, 12]
