@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Generator, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.sources.shared import scratch
+
 
 def equivalence_classes(aligns: DataFrame) -> DataFrame:
     """Tids (ordered ids), count, weights (summed element by element). aligns: read, tid, w; a read's ids in order of tid."""
@@ -92,59 +98,174 @@ class ClassTable:
         return np.bincount(self.tid[ok], self.counts[self.cls[ok]] * v[ok] / total[self.cls[ok]], self.n)
 
 
-def em(t: ClassTable, rounds: int = 10000, least: int = 100, tol: float = 0.01, seen: float = 5e6) -> np.ndarray:
-    """M6: expected counts. Starts at projected counts mixed with equal ones by min(0.999, total / seen)."""
-    total = t.counts.sum()
-    projected = t.expected(np.ones(t.n))
+def _rounds(total: float, n: int, theta: Callable, rounds: int = 10000, least: int = 100, tol: float = 0.01, seen: float = 5e6) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
+    """Yields weights of the transcripts, takes the counts expected by them, and returns the last. Starts at projected counts mixed
+    with equal ones by min(0.999, total / seen)."""
     share = min(0.999, total / seen)
-    now = share * projected + (1 - share) * total / max(t.n, 1)
+    now = share * (yield np.ones(n)) + (1 - share) * total / max(n, 1)
     for r in range(rounds):
-        new = t.expected(now)
+        new = yield theta(now)
         big = new > 0.01
         change = np.abs(new - now)[big] / new[big]
         now = new
         if r + 1 >= least and change.max(initial=0) < tol:
             break
-    now[now <= 1e-8] = 0
-    return now
+    return np.where(now <= 1e-8, 0, now)
 
 
-def vb(t: ClassTable, prior: float = 0.01, rounds: int = 10000, least: int = 100, tol: float = 0.01, seen: float = 5e6) -> np.ndarray:
-    """M7: variational Bayes counts."""
-    total = t.counts.sum()
-    share = min(0.999, total / seen)
-    now = share * t.expected(np.ones(t.n)) + (1 - share) * total / max(t.n, 1)
-    for r in range(rounds):
+def _em(total: float, n: int, **how) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
+    return _rounds(total, n, lambda now: now, **how)
+
+
+def _vb(total: float, n: int, prior: float = 0.01, **how) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
+    def theta(now: np.ndarray) -> np.ndarray:
         alpha = now + prior
-        theta = np.where(alpha > 1e-10, np.exp(digamma(np.maximum(alpha, 1e-10)) - digamma(np.array([alpha.sum()]))[0]), 0)
-        new = t.expected(theta)
-        big = new > 0.01
-        change = np.abs(new - now)[big] / new[big]
-        now = new
-        if r + 1 >= least and change.max(initial=0) < tol:
-            break
-    now[now <= 1e-8] = 0
-    return now
+        return np.where(alpha > 1e-10, np.exp(digamma(np.maximum(alpha, 1e-10)) - digamma(np.array([alpha.sum()]))[0]), 0)
+
+    return _rounds(total, n, theta, **how)
+
+
+def _solved(solver: Generator[np.ndarray, np.ndarray, np.ndarray], expected: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    theta = next(solver)
+    while True:
+        try:
+            theta = solver.send(expected(theta))
+        except StopIteration as end:
+            return end.value
+
+
+def em(t: ClassTable, **how) -> np.ndarray:
+    """M6: expected counts. how: rounds, least, tol, seen."""
+    return _solved(_em(t.counts.sum(), t.n, **how), t.expected)
+
+
+def vb(t: ClassTable, **how) -> np.ndarray:
+    """M7: variational Bayes counts. how: prior, and as for :func:`em`."""
+    return _solved(_vb(t.counts.sum(), t.n, **how), t.expected)
+
+
+#: Members of a block of classes, at least and at most; in between as many as there are transcripts.
+_LEAST, _MOST = 1 << 18, 1 << 21
+#: Arrays that a block of classes carries, as bytes: of its members, then of its classes.
+_PARTS = {"tid": np.int32, "aux": np.float64, "size": np.int32, "count": np.float64}
+#: Numbers that the driver holds at once as weights of samples.
+_HELD = 1 << 22
+
+
+def _blocks(classes: DataFrame, lengths: Broadcast, n: int) -> DataFrame:
+    """sample, total (of counts), and the arrays of up to some 10^6 members in a row. classes: sample, tids, weights, count."""
+    schema = pa.schema([("sample", pa.string()), ("total", pa.float64()), *[(c, pa.binary()) for c in _PARTS]])
+    enough = min(max(n, _LEAST), _MOST)
+
+    def block(sample: str | None, held: list[tuple]) -> pa.RecordBatch:
+        parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+        total, full = parts[3].sum(), parts[2] > 0
+        parts[2:] = parts[2][full], parts[3][full]
+        return pa.RecordBatch.from_pylist([{"sample": sample, "total": float(total)} | {c: x.astype(t).tobytes() for (c, t), x in zip(_PARTS.items(), parts, strict=True)}], schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, members, of = [], 0, None
+        for b in batches:
+            size = b.column("tids").value_lengths().fill_null(0).to_numpy()
+            tid, w = b.column("tids").flatten().to_numpy().astype(np.int32), b.column("weights").flatten().to_numpy(zero_copy_only=False)
+            aux, count, ends = w / np.maximum(lengths.value[tid], 1e-9), b.column("count").to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(size)])
+            names = b.column("sample").dictionary_encode(null_encoding="encode")
+            code = names.indices.to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)] if len(code) else [0]
+            for lo, hi in zip(bounds, bounds[1:]):
+                sample, (first, last) = names.dictionary[int(code[lo])].as_py(), (ends[lo], ends[hi])
+                if held and (sample != of or members >= enough):
+                    yield block(of, held)
+                    held, members = [], 0
+                held.append((tid[first:last], aux[first:last], size[lo:hi], count[lo:hi]))
+                members, of = members + last - first, sample
+        if held:
+            yield block(of, held)
+
+    order = classes.sortWithinPartitions("sample", "tids")  # sums don't depend on the order in which rows come
+    return order.mapInArrow(pack, "sample string, total double, tid binary, aux binary, size binary, count binary")
+
+
+def _expected(blocks: DataFrame, theta: dict[str | None, np.ndarray], n: int) -> dict[str | None, np.ndarray]:
+    """As :meth:`ClassTable.expected`, for the samples of theta: each task sums up its blocks."""
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast(theta)
+    schema = pa.schema([("sample", pa.string()), ("sums", pa.binary())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str | None, np.ndarray] = {}
+        for b in batches:
+            for i, sample in enumerate(b.column("sample").to_pylist()):
+                tid, aux, size, count = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in _PARTS.items())
+                if sample not in shared.value or not len(size):
+                    continue
+                v = shared.value[sample][tid] * aux
+                total = np.add.reduceat(v, np.cumsum(size) - size)
+                none = ~(total > 0)
+                if none.any():
+                    v[np.repeat(none, size)], total[none] = 0, 1
+                v /= np.repeat(total, size)
+                v *= np.repeat(count, size)
+                got = np.bincount(tid, v, n)
+                out[sample] = out[sample] + got if sample in out else got
+        yield pa.RecordBatch.from_pylist([{"sample": s, "sums": x.tobytes()} for s, x in out.items()], schema)
+
+    found = {s: np.zeros(n) for s in theta}
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"  # a record is a whole block
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 4)
+    try:
+        for r in blocks.mapInArrow(sums, "sample string, sums binary").collect():
+            found[r["sample"]] += np.frombuffer(r["sums"])
+    finally:
+        spark.conf.set(limit, before)
+        shared.destroy()
+    return found
 
 
 def quantify(classes: DataFrame, lengths: DataFrame, method: str = "em", sample: str | None = None, **how) -> DataFrame:
     """M6/M7: sample, tid, count, tpm. classes: [sample,] tids, weights, count; lengths: tid (dense from 0), eff.
 
-    A sample's classes go to one task: their number is bounded by the transcriptome, not by the reads; the transcripts'
-    lengths (fixed by the annotation) go to every task."""
+    Classes stay dealt over the tasks, in blocks on the executors' disks, so that no task holds a sample's; the rounds are run here,
+    each a pass over the blocks that returns a sum for each transcript and task. The driver holds a number for each transcript
+    of some samples at once; samples beyond :data:`_HELD` numbers follow one after another."""
+    spark = classes.sparkSession
     eff = lengths.orderBy("tid").select("eff").toPandas()["eff"].to_numpy(float)
-    shared = classes.sparkSession.sparkContext.broadcast(eff)
-    solver = {"em": em, "vb": vb}[method]
-
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        e = shared.value
-        g = g.sort_values("_key")
-        c = solver(ClassTable(list(g["tids"]), list(g["weights"]), g["count"].to_numpy(), len(e), e), **how)
-        rate = c / np.maximum(e, 1e-9)
-        return pd.DataFrame({"sample": g["sample"].iloc[0], "tid": np.arange(len(e)), "count": c, "tpm": rate / rate.sum() * 1e6 if rate.sum() else rate})
-
-    c = classes.withColumn("sample", F.col(sample).cast("string") if sample else F.lit("all")).withColumn("_key", F.concat_ws(",", F.col("tids").cast("array<string>")))
-    return c.groupBy("sample").applyInPandas(kernel, "sample string, tid bigint, count double, tpm double")
+    n, solver = len(eff), {"em": _em, "vb": _vb}[method]
+    shared = spark.sparkContext.broadcast(eff)
+    named = classes.select((F.col(sample).cast("string") if sample else F.lit("all")).alias("sample"), "tids", F.col("weights").cast("array<double>").alias("weights"), F.col("count").cast("double").alias("count"))
+    blocks = _blocks(named, shared, n).persist(StorageLevel.DISK_ONLY)
+    schema = "sample string, tid bigint, count double, tpm double"
+    try:
+        totals = {r["sample"]: r["total"] for r in blocks.groupBy("sample").agg(F.sum("total").alias("total")).collect()}
+        names = sorted(totals, key=lambda s: (s is not None, s or ""))
+        at_once, dealt, out = max(1, _HELD // max(n, 1)), blocks.coalesce(spark.sparkContext.defaultParallelism), []
+        for k in range(0, len(names), at_once):
+            some = names[k : k + at_once]
+            part = dealt if len(some) == len(names) else dealt.where(F.col("sample").isin([s for s in some if s is not None]) | (F.col("sample").isNull() & F.lit(None in some)))
+            running = {s: solver(totals[s], n, **how) for s in some}
+            theta, counts = {s: next(g) for s, g in running.items()}, {}
+            while theta:
+                for s, x in _expected(part, theta, n).items():
+                    try:
+                        theta[s] = running[s].send(x)
+                    except StopIteration as end:
+                        counts[s] = end.value
+                        del theta[s]
+            out.append(spark.createDataFrame(pa.concat_tables([_shown(s, counts[s], eff) for s in some]), schema))
+            if len(some) < len(names):
+                path = scratch(spark, "quantify")
+                out[-1].write.parquet(path)
+                out[-1] = spark.read.schema(schema).parquet(path)
+    finally:
+        blocks.unpersist()
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
+
+
+def _shown(sample: str | None, count: np.ndarray, eff: np.ndarray) -> pa.Table:
+    rate = count / np.maximum(eff, 1e-9)
+    tpm = rate / rate.sum() * 1e6 if rate.sum() else rate
+    return pa.table({"sample": pa.array([sample] * len(eff), pa.string()), "tid": np.arange(len(eff)), "count": count, "tpm": tpm})
 
 
 def effective_lengths(transcripts: DataFrame, pmf: DataFrame) -> DataFrame:

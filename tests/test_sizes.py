@@ -1,9 +1,13 @@
 """Queries on small tables made up for what shows at size only, against their SQL."""
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from helixframe.operators import flex
+from helixframe.operators import flex, quant
 from helixframe.plans import catalog
 
 
@@ -44,3 +48,29 @@ def test_pruned_weights_round_halves_to_even(spark, tmp_path, name):
     lines = spark.range(600).selectExpr("id AS l_orderkey", f"explode(array({', '.join(f'{s}L' for s in suppliers)})) AS l_suppkey")
     ((_, weights, count),) = same(spark, tmp_path, name, lineitem=lines)
     assert "0.07812" in weights.split(",") and count == 600
+
+
+@pytest.mark.parametrize("method", ["em", "vb"])
+def test_quantified_classes_stay_dealt_over_tasks(spark, monkeypatch, method):
+    r, n, rows = random.Random(5), 32, {}
+    for sample in ("a", None, "b"):
+        for _ in range(150):
+            tids = tuple(sorted(r.sample(range(n - 2), r.randrange(0, 6))))
+            rows[sample, tids] = ([r.choice([0.0, 1.0, r.random()]) for _ in tids], r.randrange(1, 50))
+    classes = spark.createDataFrame([(s, list(t), w, k) for (s, t), (w, k) in rows.items()], "sample string, tids array<bigint>, weights array<double>, count bigint").repartition(4)
+    eff = np.array([50.0 + i * 7 % 40 for i in range(n)])
+    lengths = spark.createDataFrame(list(enumerate(eff.tolist())), "tid bigint, eff double")
+    # a block holds no more than some members of one sample, wherever they come from
+    monkeypatch.setattr(quant, "_LEAST", 10)
+    blocks = quant._blocks(classes, spark.sparkContext.broadcast(eff), 1).select("sample", (F.length("tid") / 4).alias("members"), F.spark_partition_id().alias("task")).collect()
+    assert len({b.task for b in blocks}) == 4 and sum(b.members for b in blocks) == sum(len(t) for _, t in rows)
+    how = {"rounds": 4, "least": 4}
+    for held in (n, 2 * n, 1 << 22):  # one sample after another, two, all at once
+        monkeypatch.setattr(quant, "_HELD", held)
+        got = quant.quantify(classes, lengths, method, "sample", **how).toPandas()
+        assert len(got) == 3 * n
+        for sample in ("a", None, "b"):
+            x = [(t, *wk) for (s, t), wk in rows.items() if s == sample]
+            want = getattr(quant, method)(quant.ClassTable([t for t, _, _ in x], [w for _, w, _ in x], np.array([k for _, _, k in x]), n, eff), **how)
+            mine = got[got["sample"].isna() if sample is None else got["sample"] == sample].sort_values("tid")
+            assert np.allclose(mine["count"], want, rtol=1e-9, atol=1e-12) and abs(mine["tpm"].sum() - 1e6) < 1e-3
