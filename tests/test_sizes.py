@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import flex, quant
+from helixframe.operators import flex, quant, trimming
 from helixframe.plans import catalog
 
+from .test_kernels import brute_cut, plain_adapter_cut
+
 
 def same(spark, folder, name, **tables):
     """The query's rows, which equal its SQL's."""
@@ -74,3 +76,44 @@ def test_quantified_classes_stay_dealt_over_tasks(spark, monkeypatch, method):
             want = getattr(quant, method)(quant.ClassTable([t for t, _, _ in x], [w for _, w, _ in x], np.array([k for _, _, k in x]), n, eff), **how)
             mine = got[got["sample"].isna() if sample is None else got["sample"] == sample].sort_values("tid")
             assert np.allclose(mine["count"], want, rtol=1e-9, atol=1e-12) and abs(mine["tpm"].sum() - 1e6) < 1e-3
+
+
+def test_adapters_in_long_reads(monkeypatch):
+    rng, adapter = np.random.default_rng(11), "AGATCGGAAGAGC"
+    filled, table = [], trimming._table
+    monkeypatch.setattr(trimming, "_table", lambda reads, *a: filled.append(sum(map(len, reads))) or table(reads, *a))
+    reads = []
+    for k in range(120):
+        r = "".join(rng.choice(list("ACGTo é𝄞" if k % 2 else "ACGTohu"), rng.integers(0, 900)))
+        for _ in range(rng.integers(0, 4)):  # whole or cut adapters with errors
+            x = list(adapter[: rng.integers(1, 14)] if rng.integers(2) else adapter)
+            for _ in range(rng.integers(0, 3)):
+                i = rng.integers(0, len(x))
+                x[i] = ["", "T", x[i] + "A", x[i].lower()][rng.integers(4)]
+            i = len(r) if rng.integers(3) == 0 else rng.integers(0, len(r) + 1)
+            r = r[:i] + "".join(x) + r[i:]
+        reads.append(r)
+    for rate in (0.0, 0.1, 0.2, 0.34):
+        for overlap, parity in ((1, None), (3, None), (1, "3.2")):
+            assert trimming.adapter_cut(reads, adapter, overlap, rate, parity).tolist() == [plain_adapter_cut(r, adapter, overlap, rate, parity) for r in reads], (rate, overlap, parity)
+    filled.clear()
+    trimming.adapter_cut(["the quick brown fox " * 5000, "é" * 9000 + adapter + "x" * 9000], adapter)
+    assert sum(filled) < 300  # the table is filled around what can be an adapter only
+
+
+def test_kept_by_quality():
+    r = random.Random(2)
+    for n in [0, 1, 63, 64, 65, 300, 2000]:
+        for top in (24, 41):
+            q = [r.randrange(2, top) for _ in range(n)]
+            assert trimming.quality_kept("".join(chr(33 + x) for x in q), 20) == brute_cut(q, 20)
+
+
+def test_pairs_are_cut_in_one_pass(spark):
+    text = "ACGTACGTACGTACGTACGTACGTAGATCGGAAGAGCTT"
+    rows = [("a", text, "I" * 39, text, "I" * 30 + "#" * 9), ("b", text, None, text, "I" * 39), ("c", None, "I", None, "I"), ("d", text, "I" * 39, "", ""), ("e", text, "I" * 39, None, None)]
+    out = trimming.trim_pairs(spark.createDataFrame(rows, "name string, seq string, qual string, seq2 string, qual2 string"), "AGATCGGAAGAGC")
+    assert {(r.name, len(r.seq), len(r.qual), r.seq2 and len(r.seq2), r.qual2 and len(r.qual2)) for r in out.collect()} == {("a", 24, 24, 24, 24), ("e", 24, 24, None, None)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    front = trimming.trim_pairs(spark.createDataFrame([("a", text, "###" + "I" * 36, text, "I" * 39)], "name string, seq string, qual string, seq2 string, qual2 string"), "AGATCGGAAGAGC", five_prime=True).first()
+    assert (front.seq, front.seq2) == (text[3:24], text[:24])
